@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import idstore, langid, media, packing
+from . import idstore, jaccard, langid, media, packing
 from .common import bucket_of, documents
 
 
@@ -22,6 +22,10 @@ def op4_idstore(spark: SparkSession, sf_dir: str) -> DataFrame:
     return idstore.digest_of(idstore.read(spark, store))
 
 
+def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(documents(spark, sf_dir), n=3, percent=90)
+
+
 def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.store_and_read(documents(spark, sf_dir)).drop("duration_s", "frames", "seek_offsets")
 
@@ -37,6 +41,7 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_idstore": op4_idstore,
+    "op6_jaccard": op6_jaccard,
     "op8_media": op8_media,
     "op9_packing": op9_packing,
     "op10_langid": op10_langid,
