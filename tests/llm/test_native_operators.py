@@ -1,0 +1,183 @@
+"""Secret scan, mixing and quality rules against plain Python."""
+
+import collections
+import hashlib
+import re
+
+import duckdb
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from tripleloom.llm import forest, mixing, quality_rules, secrets_scan
+
+PYTHON = re.compile("Python|Pandas|Arrow")
+
+
+def no_python(df):
+    assert not PYTHON.search(df._jdf.queryExecution().executedPlan().toString())
+
+
+# ---- secrets ----
+
+
+def brute_scan(text, path, trees):
+    out = []
+    for m in re.finditer(secrets_scan.CANDIDATE, text or ""):
+        a, b = m.span()
+        row = secrets_scan.plain_features(m.group(), text[max(0, a - 48) : a], text[b : b + 16], path or "")
+        out.append((a + 1, b - a, m.group(), round(forest.predict(trees, np.array(row)), 9)))
+    return out
+
+
+def test_scan_equals_plain_python(small, odd):
+    trees = secrets_scan.trained()
+    for docs in (small, odd):
+        got = collections.Counter((r["doc_id"], r["start"], r["length"], r["candidate"], round(r["score"], 9)) for r in secrets_scan.scan(docs).collect())
+        want = collections.Counter((r["doc_id"], *x) for r in docs.select("doc_id", "text", "source").collect() for x in brute_scan(r["text"], r["source"], trees))
+        assert got == want
+    no_python(secrets_scan.scan(small))
+
+
+def test_held_out_findings():
+    trees = secrets_scan.trained()
+    held = secrets_scan.labelled_findings(2000, seed=99)
+    right = [(forest.predict(trees, np.array(secrets_scan.plain_features(*f[:4]))) >= 0.5) == f[4] for f in held]
+    assert np.mean(right) > 0.97
+
+
+def test_redaction(spark, empty):
+    key, card = "04dbebab91ab85687d33eeaaf9ac699e1188f962", "4316522678525456"
+    text = f'a word token = "{key}" and é card {card} then secret = "{key}" end'
+    rows = [(1, text, "en", "s", len(text)), (2, None, None, None, None), (3, "plain", "en", "s", 5), (3, "plain", "en", "s", 5)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = {(r["doc_id"], r["text"], r["n_chars"]) for r in secrets_scan.redact(docs).collect()}
+    clean = text.replace(key, "[SECRET]")
+    assert got == {(1, clean, len(clean)), (2, None, None), (3, "plain", 5)}
+    assert secrets_scan.redact(docs).count() == 4 and secrets_scan.redact(docs).columns == docs.columns
+    assert secrets_scan.redact(empty).collect() == secrets_scan.scan(empty).collect() == []
+
+
+def test_other_labelled_findings(spark, small):
+    rows = spark.createDataFrame(secrets_scan.labelled_findings(200), "candidate string, before string, after string, path string, label int")
+    assert secrets_scan.scan(small, findings=secrets_scan.labelled_from(rows)).count() == secrets_scan.scan(small).count()
+    with pytest.raises(ValueError, match="labelled"):
+        secrets_scan.trained([("a", "", "", "", 0)] * 20_001)
+
+
+# ---- mixing ----
+
+
+def test_mixing_equals_sql(spark):
+    path = "/root/testdata/sf0.01/documents.parquet"
+    got = mixing.mixed(spark.read.parquet(path))
+    no_python(got)
+    want = duckdb.connect().execute(mixing.ORACLE.replace("FROM documents", f"FROM '{path}'")).fetchall()
+    key = lambda r: tuple(str(x) for x in r)
+    assert sorted(map(key, got.collect())) == sorted(map(key, want))
+
+
+def fill(budget, nodes):
+    """Plain repeated sharing: {name: share} of [(name, weight, capacity)], real numbers."""
+    got, open_ = {n: 0.0 for n, _, _ in nodes}, [x for x in nodes if x[1] > 0]
+    while open_ and budget > 1e-9:
+        w = sum(x[1] for x in open_)
+        short = [x for x in open_ if x[2] <= x[1] * budget / w]
+        if not short:
+            for n, weight, _ in open_:
+                got[n] = weight * budget / w
+            break
+        for n, _, cap in short:
+            got[n] = cap
+            budget -= cap
+        open_ = [x for x in open_ if x not in short]
+    return got
+
+
+def test_budgets(spark):
+    leaves = [("web", "en", "a", 100), ("web", "en", "b", 10_000), ("web", "de", "c", 50), ("web", None, "c", 7000), ("books", "en", None, 20), ("code", "fr", "d", 0)]
+    mix = mixing.Mix(budget=12_000, max_epochs=2, sources={"a": 30})
+    got = {(r["domain"], r["lang"], r["source"]): r["leaf_budget"] for r in mixing.budgets(spark.createDataFrame(leaves, "domain string, lang string, source string, tokens long"), mix).collect()}
+    caps = collections.defaultdict(int)
+    for d, la, s, t in leaves:
+        for k in ((d,), (d, la), (d, la, s)):
+            caps[k] += t * mix.max_epochs
+    weight = {1: lambda k: mix.domains.get(k[0], mix.other), 2: lambda k: mix.langs.get(k[1], mix.other), 3: lambda k: mix.sources.get(k[2], mix.other)}
+    want = {(): 12_000.0}
+    for level in (1, 2, 3):
+        for parent in [k for k in want if len(k) == level - 1]:
+            want |= fill(want[parent], [(k, weight[level](k), c) for k, c in caps.items() if len(k) == level and k[:-1] == parent])
+    for k, v in got.items():
+        assert abs(v - want[k]) <= 4, (k, v, want[k])
+    assert sum(got.values()) <= 12_000
+
+
+def test_epochs_and_prefixes(spark, odd, empty):
+    docs = spark.createDataFrame([(i, "w " * (i % 7), "en", "s1") for i in range(200)], "doc_id long, text string, lang string, source string")
+    mix = mixing.Mix(budget=1000, max_epochs=3)
+    got = {r["doc_id"]: r for r in mixing.mixed(docs, mix).collect()}
+    total = sum(i % 7 for i in range(200))
+    full, rest, at = 1000 // total, 1000 % total, 0
+    for i in sorted(range(200), key=lambda i: hashlib.md5(f"20:{full}:{i}".encode()).hexdigest()):
+        assert got[i]["tokens_taken"] == full * (i % 7) + max(0, min(i % 7, rest - at))
+        at += i % 7
+    assert sum(r["tokens_taken"] for r in got.values()) == 1000
+    assert mixing.mixed(odd).count() == odd.count()
+    assert mixing.mixed(empty).collect() == mixing.choose(empty, mix).collect() == []
+    assert mixing.choose(odd, mixing.Mix(budget=10**9)).columns == odd.columns
+
+
+# ---- quality rules ----
+
+
+def brute_base(text):
+    text = text or ""
+    words = [w.decode() for w in text.encode().split()]
+    seen, again = set(), 0
+    for line in text.split("\n"):
+        if line.encode().split():
+            again += line in seen
+            seen.add(line)
+    windows = [tuple(words[i : i + 3]) for i in range(len(words) - 2)]
+    counts, covered = collections.Counter(windows), set()
+    for i, w in enumerate(windows):
+        if counts[w] > 1:
+            covered |= {i, i + 1, i + 2}
+    return len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text), again, len(covered)
+
+
+def test_base_counts(small, odd, empty):
+    for docs in (small, odd):
+        got = quality_rules.base_counts(docs, 1000, 2).collect()
+        want = sorted((str(r["doc_id"]), *brute_base(r["text"])) for r in docs.select("doc_id", "text").collect())
+        assert sorted((str(r["doc_id"]), r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) for r in got) == want
+        no_python(quality_rules.base_counts(docs, 1000, 2))
+    assert quality_rules.base_counts(empty, 1000, 2).collect() == []
+
+
+def test_repeats(spark):
+    rows = ["a b c a b c", "a a a a", "a a a", "x a b c d a b c y", "a b c b c a b c", "l\nl\n\n \nl\n l", "one two"]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    got = {r["doc_id"]: r for r in quality_rules.base_counts(docs, 100, 2).collect()}
+    for i, t in enumerate(rows):
+        assert (got[i]["n_repeat_words"], got[i]["n_dup_lines"]) == (brute_base(t)[4], brute_base(t)[3])
+
+
+def test_ratio_and_verdict(spark, odd, empty):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    got = {r["doc_id"]: r for r in quality_rules.judge(docs, labels).collect()}
+    quality = {r["doc_id"]: r["quality"] for r in labels.collect()}
+    good = [r for r in got.values() if quality.get(r["doc_id"]) == 1 and not r["base_failed"]]
+    junk = [r for r in got.values() if quality.get(r["doc_id"]) == 0]
+    assert np.mean([r["kept"] for r in good]) > 0.99 and np.mean([r["kept"] for r in junk]) < 0.1
+    # the ratio by a plain loop over the counted grams
+    counted = quality_rules.base_counts(docs, 10_000, 2)
+    rows = {r["doc_id"]: r["grams"] for r in counted.select("doc_id", "grams").collect()}
+    raw = collections.Counter(b for g in rows.values() for b in g)
+    target = collections.Counter(b for i, g in rows.items() if quality.get(i) == 1 for b in g)
+    table = [np.log((target[b] + 1) / (target.total() + 10_000)) - np.log((raw[b] + 1) / (raw.total() + 10_000)) for b in range(10_000)]
+    for i, g in rows.items():
+        assert got[i]["ratio"] == pytest.approx(sum(table[b] for b in g) / max(1, len(g)), abs=1e-9)
+    assert quality_rules.judge(odd, labels).count() == odd.count()
+    assert quality_rules.judge(empty, labels).collect() == []
+    assert quality_rules.judge(odd, labels.filter(F.lit(False))).filter("doc_id = 1").first()["base_failed"]
