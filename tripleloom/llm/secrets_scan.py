@@ -24,6 +24,7 @@ import uuid
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from . import forest
 
@@ -209,13 +210,14 @@ def scan(docs: DataFrame, threshold: float = 0.5, path: str = "source", findings
 
 
 def redact(docs: DataFrame, threshold: float = 0.5, path: str = "source", findings: list | None = None) -> DataFrame:
-    """docs with every secret replaced by a mark; all columns and all rows stay, n_chars follows the text."""
+    """docs with every secret replaced by a mark; all columns and all rows stay, a whole-number n_chars follows the text."""
     names = docs.columns
     rows = with_findings(docs.withColumnsRenamed({c: f"c_{c}" for c in names}), "c_text", f"c_{path}", trained(findings), threshold)
     # from the last to the first, so that earlier places stay right
     secrets = F.reverse(F.filter("findings", lambda f: f["secret"]))
     clean = F.aggregate(secrets, F.col("c_text").cast("string"), lambda t, f: F.overlay(t, F.lit(MARK), f["start"], F.length(f["cand"])))
     out = rows.withColumn("_clean", clean)
-    pick = {"text": F.col("_clean"), "n_chars": F.when(F.size("findings") > 0, F.length("_clean")).otherwise(F.col("c_n_chars")).cast(docs.schema["n_chars"].dataType) if "n_chars" in names else None}
+    pick = {"text": F.col("_clean")}
+    if "n_chars" in names and isinstance(docs.schema["n_chars"].dataType, IntegralType):
+        pick["n_chars"] = F.when(F.size("findings") > 0, F.length("_clean")).otherwise(F.col("c_n_chars")).cast(docs.schema["n_chars"].dataType)
     return out.select(*((pick[c] if c in pick else F.col(f"c_{c}")).alias(c) for c in names))
-
