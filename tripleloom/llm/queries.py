@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import idstore, jaccard, langid, media, mixing, packing, quality_rules, secrets_scan
+from . import idstore, jaccard, langid, lm, media, mixing, packing, quality_mil, quality_rules, secrets_scan
 from .common import bucket_of, documents
 
 
@@ -22,6 +22,14 @@ def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("candidate_sha256", F.sha2("candidate", 256)).drop("candidate")
 
 
+def op2_quality_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_mil.score(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"), bucket_of("doc_id", 5) == 0)
+
+
+def op3_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(documents(spark, sf_dir), bucket_of("doc_id", 7) == 2)
+
+
 def op4_idstore(spark: SparkSession, sf_dir: str) -> DataFrame:
     store = idstore.write(documents(spark, sf_dir), tokenizer_path(), end_id=1)
     return idstore.digest_of(idstore.read(spark, store))
@@ -54,6 +62,8 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secrets": op1_secrets,
+    "op2_quality_mil": op2_quality_mil,
+    "op3_lm": op3_lm,
     "op4_idstore": op4_idstore,
     "op5_mixing": op5_mixing,
     "op6_jaccard": op6_jaccard,
