@@ -147,15 +147,18 @@ def read(spark: SparkSession, store: Store) -> DataFrame:
     recipes = spark.read.schema("doc_id long, n_tokens long, recipe array<binary>, root binary, run long, start long").parquet(store.recipes)
     asked = recipes.select("doc_id", "start", "n_tokens", "root", F.posexplode("recipe").alias("place", "chunk_id"))
     found = asked.join(spark.table(store.chunks), "chunk_id", "left")
-    whole = found.groupBy("doc_id", "start", "n_tokens", "root").agg(F.sort_array(F.collect_list(F.struct("place", "chunk_id", "body"))).alias("parts"))
+    whole = found.groupBy("doc_id", "start", "n_tokens", "root").agg(F.sort_array(F.collect_list(F.struct("place", "body"))).alias("parts"))
     width = store.width
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
-            for n, root, parts in zip(batch.column("n_tokens").to_pylist(), batch.column("root").to_pylist(), batch.column("parts").to_pylist(), strict=True):
-                bodies = [p["body"] for p in parts]
-                if None in bodies or merkle([hashlib.blake2b(b, digest_size=16).digest() for b in bodies]) != root:
+            parts = batch.column("parts")
+            ends = parts.offsets.to_pylist()
+            pieces = parts.values.field("body").to_pylist()
+            for n, root, a, b in zip(batch.column("n_tokens").to_pylist(), batch.column("root").to_pylist(), ends, ends[1:], strict=False):
+                bodies = pieces[a:b]
+                if None in bodies or merkle([hashlib.blake2b(x, digest_size=16).digest() for x in bodies]) != root:
                     raise ValueError("a stored document differs from its recipe")
                 ids = np.frombuffer(b"".join(bodies), dtype=width).astype("<u4")
                 if len(ids) != n:
