@@ -199,10 +199,38 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def stars(edges: DataFrame, per_task: int = 500_000) -> DataFrame:
+    """Fewer edges (a, b) with the same components: each task turns up to ``per_task`` of them into stars around smallest nodes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+
+        def reduced() -> np.ndarray:
+            nodes, at = np.unique(np.concatenate(held), return_inverse=True)
+            trees = Forest(len(nodes))
+            for i, j in at.reshape(-1, 2).tolist():
+                trees.join(i, j)
+            roots = nodes[[trees.root(i) for i in range(len(nodes))]]
+            return np.stack([roots, nodes], axis=1)[roots != nodes]
+
+        for batch in batches:
+            held.append(np.stack([batch.column("a").to_numpy(), batch.column("b").to_numpy()], axis=1))
+            if sum(map(len, held)) > 2 * per_task:
+                pairs, held = reduced(), []
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+        if sum(map(len, held)):
+            pairs = reduced()
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+
+    tasks = edges.count() // per_task + 1
+    return edges.select("a", "b").coalesce(tasks).mapInArrow(run, "a long, b long")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node, comp (the smallest node reachable), for every node of an edge (a, b)."""
     spark = edges.sparkSession
-    both = stored(edges.select("a", "b").union(edges.select("b", "a")).filter("a != b").distinct(), "edges")
+    fewer = stored(stars(stored(edges.select("a", "b").filter("a != b"), "edges")), "stars")
+    both = stored(fewer.union(fewer.select("b", "a")).distinct(), "edges")
     labels = stored(both.groupBy("a").agg(F.min("b").alias("low")).select(F.col("a").alias("node"), F.least("a", "low").alias("comp"), F.lit(True).alias("moved")), "labels")
     while True:
         heard = both.join(labels.select(F.col("node").alias("b"), "comp"), "b").groupBy("a").agg(F.min("comp").alias("low"))
