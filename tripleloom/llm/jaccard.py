@@ -12,8 +12,9 @@ Two documents link when 100 * |x ∩ y| >= percent * |x ∪ y|. Steps, all of th
    hashes of parts; the documents of one key are tied to its smallest id, so a key of m documents gives m - 1
    edges, and a map task first ties those it holds itself.
 3. Tiles: each component of that graph is one tile, or, when it has over ``tile_docs`` classes, is cut into blocks of
-   neighbouring sizes; a tile is then a pair of blocks whose sizes can link. Within a tile, hashed bitmaps bound the
-   overlap from above, |x ∩ y| <= (|x| + |y| - popcount(X xor Y)) / 2; the pairs that pass are checked by
+   neighbouring sizes. First each block is a tile, with one pivot document in all blocks of a component; a group of near
+   copies comes together there. What stays outside a component's largest joined part then meets the component's other
+   documents in pairs of blocks whose sizes can link. Within a tile, hashed bitmaps bound the overlap from above, |x ∩ y| <= (|x| + |y| - popcount(X xor Y)) / 2; the pairs that pass are checked by
    intersecting the sorted arrays, the closest first, and a pair that is already connected is passed over. A tile
    returns a spanning forest of its links, so no set of all pairs is ever made.
 4. Components of the links by minimum labels with pointer jumping.
@@ -316,20 +317,45 @@ def tile_links(ids: list[int], sides: np.ndarray, sets: list[np.ndarray], percen
     return links
 
 
-def tiles_of(members: DataFrame, percent: int, tile_docs: int) -> DataFrame:
-    """doc_id, tile, side: the tiles of each member (doc_id, comp, n)."""
-    counts = members.groupBy("comp", "n").agg(F.count(F.lit(1)).alias("of"))
-    by_size = Window.partitionBy("comp").orderBy("n")
-    placed = counts.withColumns({"before": F.sum("of").over(by_size) - F.col("of"), "all": F.sum("of").over(Window.partitionBy("comp"))}).filter("all > 1")
-    block = F.floor((F.col("before") + F.pmod(F.xxhash64("doc_id"), F.col("of"))) / F.lit(tile_docs))
-    blocked = members.join(placed, ["comp", "n"]).select("doc_id", "comp", "n", F.when(F.col("all") > tile_docs, block).otherwise(0).cast("int").alias("block"))
-    ends = blocked.groupBy("comp", "block").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
-    one = ends.select("comp", F.col("block").alias("i"), F.col("hi").alias("hi_i"))
-    two = ends.select("comp", F.col("block").alias("j"), F.col("lo").alias("lo_j"))
-    pairs = one.join(two, "comp").filter((F.col("i") <= F.col("j")) & (100 * F.col("hi_i") >= percent * F.col("lo_j")))
-    sides = F.when(F.col("i") == F.col("j"), F.array(F.struct(F.col("i").alias("block"), F.lit(0).alias("side")))).otherwise(F.array(F.struct(F.col("i").alias("block"), F.lit(0).alias("side")), F.struct(F.col("j").alias("block"), F.lit(1).alias("side"))))
-    listed = pairs.select("comp", F.xxhash64("comp", "i", "j").alias("tile"), F.explode(sides).alias("s")).select("comp", "tile", "s.block", "s.side")
-    return blocked.join(listed, ["comp", "block"]).select("doc_id", "tile", "side")
+def in_blocks(members: DataFrame, group: list[str], tile_docs: int) -> DataFrame:
+    """members (doc_id, n, group columns) with ``block``: runs of about ``tile_docs`` rows of a group by size; ``all``: rows of the group."""
+    counts = members.groupBy(*group, "n").agg(F.count(F.lit(1)).alias("of"))
+    by_size = Window.partitionBy(*group).orderBy("n")
+    placed = counts.withColumns({"before": F.sum("of").over(by_size) - F.col("of"), "all": F.sum("of").over(Window.partitionBy(*group))})
+    block = F.floor((F.col("before") + F.pmod(F.xxhash64("doc_id"), F.col("of"))) / F.lit(tile_docs)).cast("int")
+    return members.join(placed, [*group, "n"]).select("doc_id", *group, "n", "all", block.alias("block"))
+
+
+def first_tiles(members: DataFrame, tile_docs: int) -> DataFrame:
+    """doc_id, tile, side: a tile for each block of each component (doc_id, comp, n); in a component of several blocks one
+    document, the pivot, is in all of them, so that a group of near copies comes together in this round."""
+    blocked = in_blocks(members, ["comp"], tile_docs).filter("all > 1").withColumn("tile", F.xxhash64("comp", "block"))
+    large = blocked.filter(F.col("all") > tile_docs)
+    pivots = large.groupBy("comp").agg(F.min_by("doc_id", F.struct(F.xxhash64("doc_id"), F.col("doc_id"))).alias("doc_id"))
+    more = large.select("comp", "tile").distinct().join(pivots, "comp").select("doc_id", "tile")
+    return blocked.select("doc_id", "tile").unionByName(more).distinct().withColumn("side", F.lit(0))
+
+
+def second_tiles(members: DataFrame, joined: DataFrame, percent: int, tile_docs: int) -> DataFrame:
+    """Tiles for what the first round may have left apart in components of several blocks: documents outside a
+    component's largest joined part meet all its other documents, block by block, where sizes can link; the largest
+    part is one already and does not meet itself."""
+    sizes = members.groupBy("comp").agg(F.count(F.lit(1)).alias("all")).filter(F.col("all") > tile_docs)
+    large = members.join(sizes.select("comp"), "comp", "left_semi")
+    placed = large.join(joined.select(F.col("node").alias("doc_id"), F.col("comp").alias("part")), "doc_id", "left").withColumn("part", F.coalesce("part", "doc_id"))
+    most = placed.groupBy("comp", "part").agg(F.count(F.lit(1)).alias("of")).groupBy("comp").agg(F.max_by("part", F.struct(F.col("of"), F.col("part"))).alias("most"))
+    marked = placed.join(most, "comp").select("doc_id", "comp", "n", (F.col("part") == F.col("most")).alias("whole"))
+    blocked = in_blocks(marked, ["comp", "whole"], tile_docs)
+    ends = blocked.groupBy("comp", "whole", "block").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
+    one = ends.filter("not whole").select("comp", F.col("block").alias("i"), F.col("lo").alias("lo_i"), F.col("hi").alias("hi_i"))
+    two = ends.select("comp", "whole", F.col("block").alias("j"), F.col("lo").alias("lo_j"), F.col("hi").alias("hi_j"))
+    near = (100 * F.col("hi_i") >= percent * F.col("lo_j")) & (100 * F.col("hi_j") >= percent * F.col("lo_i"))
+    pairs = one.join(two, "comp").filter(near & (F.col("whole") | (F.col("i") <= F.col("j"))))
+    at = lambda whole, block, side: F.struct(whole.alias("whole"), F.col(block).alias("block"), F.lit(side).alias("side"))
+    own = at(F.lit(False), "i", 0)
+    sides = F.when(~F.col("whole") & (F.col("i") == F.col("j")), F.array(own)).otherwise(F.array(own, at(F.col("whole"), "j", 1)))
+    listed = pairs.select("comp", F.xxhash64("comp", "whole", "i", "j").alias("tile"), F.explode(sides).alias("s")).select("comp", "tile", "s.whole", "s.block", "s.side")
+    return blocked.join(listed, ["comp", "whole", "block"]).select("doc_id", "tile", "side")
 
 
 def links(docs: DataFrame, tiles: DataFrame, n: int, percent: int) -> DataFrame:
@@ -380,8 +406,11 @@ def join(docs: DataFrame, n: int = 3, percent: int = 90, tile_docs: int = 2000)
     # a document of several different rows is never left out as a copy
     left_out = copies.join(sizes.filter("n = least").select("doc_id"), "doc_id", "left_semi")
     members = near.withColumnRenamed("node", "doc_id").join(left_out, "doc_id", "left_anti").join(sizes, "doc_id").select("doc_id", "comp", "n")
-    tiles = stored(tiles_of(members, percent, tile_docs), "tiles")
-    found = stored(links(named, tiles, n, percent), "links")
+    members = stored(members, "members")
+    found = stored(links(named, stored(first_tiles(members, tile_docs), "tiles"), n, percent), "links")
+    if not members.groupBy("comp").count().filter(F.col("count") > tile_docs).isEmpty():
+        tiles = stored(second_tiles(members, components(found), percent, tile_docs), "tiles")
+        found = found.unionByName(stored(links(named, tiles, n, percent), "links"))
     release(spark)
     final = components(found.unionByName(same))
     out = rows.join(final.withColumnRenamed("node", "doc_id"), "doc_id", "left")
