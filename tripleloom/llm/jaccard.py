@@ -358,6 +358,58 @@ def second_tiles(members: DataFrame, joined: DataFrame, percent: int, tile_docs:
     return blocked.join(listed, ["comp", "whole", "block"]).select("doc_id", "tile", "side")
 
 
+# ---- id filters ----
+
+#: Largest size of a broadcast id filter, in bits. A filter that is too full lets more rows through, never fewer.
+FILTER_BITS = 1 << 26
+FILTER_PARTS = 16
+
+
+def id_spots(ids: np.ndarray, bits: int) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        a = mix(ids.astype(np.int64).view(np.uint64) * GOLD + np.uint64(7))
+        step = mix(a + GOLD) | np.uint64(1)
+        return ((a[:, None] + np.arange(4, dtype=np.uint64)[None, :] * step[:, None]) & np.uint64(bits - 1)).astype(np.int64)
+
+
+def id_filter(ids: DataFrame) -> np.ndarray:
+    """A Bloom filter of the doc_id column, at most FILTER_BITS / 8 bytes."""
+    bits = 1 << min(FILTER_BITS.bit_length() - 1, max(10, int(16 * ids.count()).bit_length()))
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros(bits, dtype=bool)
+        for batch in batches:
+            held[id_spots(batch.column("doc_id").to_numpy(), bits).ravel()] = True
+        if held.any():
+            parts = np.split(np.packbits(held, bitorder="little"), FILTER_PARTS)
+            yield pa.RecordBatch.from_arrays([pa.array(range(FILTER_PARTS), pa.int32()), pa.array([x.tobytes() for x in parts], pa.binary())], names=["part", "body"])
+
+    def either(table: pa.Table) -> pa.Table:
+        both = np.bitwise_or.reduce([np.frombuffer(x, dtype=np.uint8) for x in table.column("body").to_pylist()])
+        return pa.table({"part": table.column("part").slice(0, 1), "body": pa.array([both.tobytes()], pa.binary())})
+
+    rows = ids.select("doc_id").mapInArrow(fill, "part int, body binary").groupBy("part").applyInArrow(either, "part int, body binary").collect()  # 16 rows
+    out = np.zeros((FILTER_PARTS, bits // 8 // FILTER_PARTS), dtype=np.uint8)
+    for r in rows:
+        out[r["part"]] = np.frombuffer(r["body"], dtype=np.uint8)
+    return out.ravel()
+
+
+def filtered(docs: DataFrame, found: np.ndarray, inside: bool) -> DataFrame:
+    """Rows whose doc_id may be in the filter, or those that are certainly not (null ids among them)."""
+    shared = docs.sparkSession.sparkContext.broadcast(found)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = shared.value
+        for batch in batches:
+            ids = batch.column("doc_id")
+            at = id_spots(ids.fill_null(0).to_numpy(zero_copy_only=False), len(bits) * 8)
+            may = np.all(bits[at >> 3] >> (at & 7).astype(np.uint8) & 1, axis=1) & ids.is_valid().to_numpy(zero_copy_only=False)
+            yield batch.filter(pa.array(may == inside))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def links(docs: DataFrame, tiles: DataFrame, n: int, percent: int) -> DataFrame:
     """Verified links (a, b) of all tiles."""
 
@@ -384,7 +436,8 @@ def links(docs: DataFrame, tiles: DataFrame, n: int, percent: int) -> DataFrame:
         if held:
             yield done()
 
-    asked = docs.join(tiles, "doc_id").select("tile", "side", "doc_id", "text")
+    few = filtered(docs.select("doc_id", "text"), id_filter(tiles), True)  # most texts stay where they are
+    asked = few.join(tiles, "doc_id").select("tile", "side", "doc_id", "text")
     return asked.mapInArrow(sets, "tile long, side int, doc_id long, body binary").repartition("tile").sortWithinPartitions("tile").mapInArrow(solve, "a long, b long")
 
 
@@ -419,5 +472,7 @@ def join(docs: DataFrame, n: int = 3, percent: int = 90, tile_docs: int = 2000)
 
 def keep_one(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """The rows of docs without those linked to a document of smaller doc_id; all columns stay."""
-    gone = join(docs, n, percent).filter("component_id < doc_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    gone = stored(join(docs, n, percent).filter("component_id < doc_id").select("doc_id").distinct(), "gone")
+    found = id_filter(gone)
+    doubtful = filtered(docs, found, True).join(gone, "doc_id", "left_anti").select(docs.columns)
+    return filtered(docs, found, False).unionByName(doubtful)
