@@ -149,6 +149,24 @@ def test_a_small_filter_keeps_the_most_frequent(spark):
         assert level >= q if q >= model.first_level else True  # no entry is ever missed
 
 
+def test_pairs_with_rare_tokens_count(small):
+    """With few counts held, pairs with any other token still have their level."""
+    for held in (0, 300):
+        check(small, lm.Params(held=held, bits=60), 1)
+
+
+def test_the_filter_grows_with_its_entries(spark, small, monkeypatch):
+    monkeypatch.setattr(lm, "SEGMENT_ENTRIES", 10)
+    monkeypatch.setattr(lm, "SCORED_BYTES", 1 << 12)
+    model, _ = lm.learn(small, lm.Params())
+    assert model.first_level == 1 and model.segments > lm.SEGMENTS and model.filter.size == 0
+    bodies = dict(model.bodies())
+    assert {len(b) for b in bodies.values()} == {-(-sum(map(len, bodies.values())) // len(bodies))} and max(map(len, bodies.values())) < 100
+    pairs = lm.pair_levels(small, None).toPandas()
+    assert (model.level(pairs["h"].to_numpy().view(np.uint64)) >= pairs["q"].to_numpy()).all()  # no entry is ever missed
+    check(small, lm.Params(bits=60), 1, loose=0.01)  # such small segments have a few false hits
+
+
 def test_model_edges(spark, odd, empty):
     check(odd, lm.Params(bits=60), 1)
     assert lm.score(empty, F.lit(False)).collect() == []
