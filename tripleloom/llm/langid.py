@@ -7,7 +7,10 @@ bundle of each language's learning texts by cosine. Letter classes: 0 for anythi
 
 The bundle of a language is linear in its n-gram counts, so learning sums counts (every text weighs the same) over
 all learning rows, map-side first; the profiles are languages x dims numbers. Prototypes are compared after the
-mean profile is taken from both sides, which removes what all languages share.
+mean profile is taken from both sides, which removes what all languages share. That best cosine is never below 0, so
+it can't tell that no language fits; ``fit`` can: the uncentred cosine over the one expected of a text of as many
+3-grams drawn from the profile, sqrt(n s / (n s + 1)) with s the profile's own collision rate. It is about 1 in
+a learned language, whatever the length, and near 0 for random letters.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0; with no learning rows every text is
 ``und``; ties go to the language that sorts first; rows with an equal doc_id are separate; other columns are not
@@ -74,7 +77,7 @@ def small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def learn(docs: DataFrame, learning: Column, dims: int, seed: int) -> tuple[list[str], np.ndarray]:
-    """Languages in order, and their bundles (rows) over all learning documents."""
+    """Languages in order, and their bundles (rows), each the mean over all learning documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, sums, texts = letter_classes(), {}, {}
@@ -98,27 +101,28 @@ def learn(docs: DataFrame, learning: Column, dims: int, seed: int) -> tuple[list
     parts = used.mapInArrow(run, "lang string, n long, vector array<double>")
     summed = parts.select("lang", "n", F.posexplode("vector").alias("i", "v")).groupBy("lang", "i").agg(F.sum("v").alias("v"), F.sum("n").alias("n"))
     profiles = summed.groupBy("lang").agg(F.max("n").alias("n"), F.sort_array(F.collect_list(F.struct("i", "v"))).alias("vector")).filter("n > 0")
-    got = sorted((r["lang"], [x["v"] for x in r["vector"]]) for r in profiles.collect())  # a row for each language
+    got = sorted((r["lang"], [x["v"] / r["n"] for x in r["vector"]]) for r in profiles.collect())  # a row for each language
     return [g[0] for g in got], np.array([g[1] for g in got]).reshape(len(got), dims)
 
 
-def predict(docs: DataFrame, languages: list[str], bundles: np.ndarray, dims: int, seed: int, extra: list[str]) -> DataFrame:
-    """``extra`` columns of docs, lang_pred, score."""
+def predict(docs: DataFrame, languages: list[str], bundles: np.ndarray, dims: int, seed: int, extra: list[str], fit: bool = False) -> DataFrame:
+    """``extra`` columns of docs, lang_pred, score, and with ``fit`` the best fit of any language."""
     unit = lambda m: m / np.maximum(1e-12, np.linalg.norm(m, axis=-1, keepdims=True))
     profiles = unit(bundles)
     centre = profiles.mean(axis=0) if len(languages) > 1 else np.zeros(dims)
     centred = unit(profiles - centre).astype(np.float32)
-    shared = docs.sparkSession.sparkContext.broadcast((languages, centre.astype(np.float32), centred))
+    collisions = np.square(bundles).sum(axis=1) / dims
+    shared = docs.sparkSession.sparkContext.broadcast((languages, centre.astype(np.float32), centred, profiles.astype(np.float32), collisions))
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
-    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in extra), "lang_pred string", "score double"])
+    schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in extra), "lang_pred string", "score double", *(["fit double"] if fit else [])])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, letters = letter_classes(), codebook(dims, seed)
-        names, middle, targets = shared.value
+        names, middle, targets, plain, rates = shared.value
         for batch in small(batches):
             texts = [t or "" for t in batch.column("text").to_pylist()]
             rows, grams, counts, has = gram_counts(texts, table)
-            best, score = np.zeros(len(texts), dtype=int), np.zeros(len(texts))
+            best, score, fits = np.zeros(len(texts), dtype=int), np.zeros(len(texts)), np.zeros(len(texts))
             if len(rows) and names:
                 distinct, place = np.unique(grams, return_inverse=True)
                 dense = np.zeros((len(texts), len(distinct)), dtype=np.float32)
@@ -127,6 +131,8 @@ def predict(docs: DataFrame, languages: list[str], bundles: np.ndarray, dims: in
                 for i in range(0, len(distinct), 8192):
                     bundle += dense[:, i : i + 8192] @ bound(distinct[i : i + 8192], letters).astype(np.float32)
                 bundle /= np.maximum(1e-12, np.linalg.norm(bundle, axis=1, keepdims=True))
+                expected = np.bincount(rows, counts, len(texts))[:, None] * rates
+                fits = (bundle @ plain.T / np.sqrt(np.maximum(1e-12, expected / (expected + 1)))).max(axis=1)
                 bundle -= middle
                 bundle /= np.maximum(1e-12, np.linalg.norm(bundle, axis=1, keepdims=True))
                 cosine = bundle @ targets.T
@@ -135,13 +141,13 @@ def predict(docs: DataFrame, languages: list[str], bundles: np.ndarray, dims: in
             known = has & bool(names)
             said = [names[b] if ok else UND for b, ok in zip(best.tolist(), known.tolist(), strict=True)]
             columns = [batch.column(c) for c in extra]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(said, pa.string()), pa.array(np.where(known, score, 0.0), pa.float64())], names=[*extra, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(said, pa.string()), *(pa.array(np.where(known, x, 0.0), pa.float64()) for x in (score, fits)[: 1 + fit])], names=[*extra, "lang_pred", "score", *["fit"][:fit]])
 
     read = docs.select(*dict.fromkeys([*extra, "text"]))
     return read.mapInArrow(run, schema)
 
 
-def identify(docs: DataFrame, learning: Column, extra: list[str], dims: int = 1024, seed: int = 11) -> DataFrame:
+def identify(docs: DataFrame, learning: Column, extra: list[str], dims: int = 1024, seed: int = 11, fit: bool = False) -> DataFrame:
     """Learn from the rows that ``learning`` selects (with a language), then predict every row."""
     languages, bundles = learn(docs, learning, dims, seed)
-    return predict(docs, languages, bundles, dims, seed, extra)
+    return predict(docs, languages, bundles, dims, seed, extra, fit)
