@@ -300,6 +300,22 @@ def test_leiden(spark):
     assert spread.count() == len(got)
 
 
+def test_large_components_keep_modularity(spark):
+    """Users, their events and the events' types, in one component: by joins as good as the kernel, nearly."""
+    rng = random.Random(5)
+    edges = []
+    for i in range(120):
+        group = i % 4
+        edges += [(f"u{group}{rng.randrange(5)}", f"e{i}", 1.0), (f"e{i}", f"t{group if rng.random() < 0.9 else rng.randrange(4)}", 1.0)]
+    df = both_ways(spark, edges)
+    one, many = (communities.leiden(df, task_edges=n).select("node", "leader").collect() for n in (10**6, 0))
+    assert {r["node"] for r in one} == {r["node"] for r in many} and len(one) == len(many)
+    scores = [communities.modularity(df, spark.createDataFrame(x, "node string, leader string")) for x in (one, many)]
+    print("kernel, joins:", scores)
+    assert scores[1] > 0.9 * scores[0]
+    assert all(r["leader"] <= r["node"] for r in many)
+
+
 def test_background_cycle(spark):
     g = graph_of(spark, [("A", "e1", "B", "c"), ("C", "e2", "D", "c")])
     after = maintain.background(g, Params.v2(similar_threshold=0.9))
