@@ -1,6 +1,8 @@
 """Secret scans with DataFrame functions only: candidates by one pattern, judged by a random forest.
 
-A candidate is a run of at least 16 characters of the base64 and identifier alphabets with a digit in it. Its
+A candidate is a run of at least 16 characters of the base64 and identifier alphabets with a digit anywhere in it, or
+with a key of 'AKIA' and 16 letters at its start or behind an assignment. Other runs without a digit and runs under 16
+characters (passwords of letters, short passwords) are no candidates. Its
 features are its length, character transitions, alphabet, how much of it dictionary words cover, the words beside it
 and the path it was found under. A forest trained on labelled findings (bounded by ``MAX_LABELLED``) gives
 the probability that it is a secret; it is applied as one expression inside the row, so no row is exploded or
@@ -31,8 +33,8 @@ from . import forest
 MAX_LABELLED = 20_000
 MARK = "[SECRET]"
 
-#: One alphabet run with a digit; possessive, so a long run is passed over once.
-CANDIDATE = r"(?<![A-Za-z0-9+/_=.\-])(?=[A-Za-z+/_=.\-]{0,512}+[0-9])[A-Za-z0-9+/_=.\-]{16,}+"
+#: One alphabet run with a digit, however far in, or with a whole 'AKIA' key; possessive, so a long run is passed over once.
+CANDIDATE = r"(?<![A-Za-z0-9+/_=.\-])(?=[A-Za-z+/_=.\-]*+[0-9]|(?:[A-Za-z+/_.\-]*=)?AKIA[A-Z]{16}(?![A-Za-z0-9]))[A-Za-z0-9+/_=.\-]{16,}+"
 
 # Words that speak for and against a secret beside a candidate, and in a path.
 FOR = "token|secret|passw|pwd|api_?-?key|apikey|access_?key|auth|bearer|credential|private"
