@@ -3,10 +3,10 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tripleloom.llm import jaccard
-from tripleloom.llm.common import WordHashes
 
 
 def brute(rows, n, percent):
@@ -31,6 +31,12 @@ def brute(rows, n, percent):
     return {i: root(i) for i in up}, [(i, len(s)) for i, s in sets]
 
 
+def plain_shingles(text, n):
+    words = tuple((text or "").encode().lower().split())
+    size = min(n, len(words))
+    return {words[k : k + size] for k in range(len(words) - size + 1)} if size else set()
+
+
 def check(docs, n, percent, **more):
     rows = [(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()]
     comps, sizes = brute([r for r in rows if r[0] is not None], n, percent)
@@ -97,20 +103,60 @@ def test_linked_sets_share_a_key():
             if not len(other) or 100 * len(common) < percent * len(np.union1d(base, other)):
                 continue
             flags = rng.random(jaccard.COUNTERS) < rng.choice([0, 0.1, 0.5, 0.9, 1])
-            key, owner = jaccard.part_keys([base, other], bands, flags)
+            key, owner = jaccard.part_keys(np.concatenate([base, other]), np.array([len(base), len(other)]), bands, flags)
             assert set(key[owner == 0].tolist()) & set(key[owner == 1].tolist()), (percent, trial)
 
 
 def test_whole_sequence_of_few_words():
-    a, b, c = jaccard.shingle_sets(["One two", "one  TWO\n", "one two three"], 3, WordHashes())
-    assert (a == b).all() and len(c) == 1 and a[0] != c[0]
+    flat, sizes = jaccard.shingle_sets(pa.array(["One two", "one  TWO\n", None, "one two three"]), 3)
+    a, b, c = flat.tolist()
+    assert sizes.tolist() == [1, 1, 0, 1] and a == b != c
+
+
+def test_shingles_equal_plain_sets():
+    texts = ["a b c d a b c d e", "", None, "x", "A b\tc\x0bD  A", "é É " * 5, "w" * 40_000 + " b c " + "W" * 40_000]
+    flat, sizes = jaccard.shingle_sets(pa.array(texts), 3)
+    _, want = brute(list(enumerate(texts)), 3, 90)
+    assert sizes.tolist() == [n for _, n in want]
+    assert len(set(flat.tolist())) == len({w for t in texts for w in plain_shingles(t, 3)})
+
+
+def test_long_sets_have_bands():
+    bands = jaccard.Bands(90)
+    sizes = np.array([5, 1 << 20])
+    flat = np.concatenate([np.arange(5), np.arange(1 << 20)]).astype(np.uint64) * jaccard.GOLD
+    key, owner = jaccard.part_keys(flat, sizes, bands, np.zeros(jaccard.COUNTERS, dtype=bool))
+    assert bands.edges[-1] > 1 << 20 and len(key) == len(set(key.tolist())) and set(owner.tolist()) == {0, 1}
+
+
+@pytest.mark.parametrize("tile_docs", [3, 2000])
+def test_ids_with_rows_of_different_sizes(spark, tile_docs):
+    """Id 50 has a row in each of two groups of near copies, and so joins them, in one tile or in many."""
+    rng = random.Random(8)
+    long, short = ([f"v{rng.randrange(10**6)}" for _ in range(n)] for n in (400, 60))
+    near = lambda words, k: " ".join([*words, f"x{k}"])
+    rows = [(i, near(long, i)) for i in range(1, 13)] + [(i, near(short, i)) for i in range(101, 113)] + [(50, near(long, 50)), (50, near(short, 50))]
+    rows += [(60, near(long, 1)), (60, " ".join(f"u{i}" for i in range(401))), (300, " ".join(f"u{i}" for i in range(402)))]  # a copy that is also something else
+    comps = check(spark.createDataFrame(rows, "doc_id long, text string"), 3, 90, tile_docs=tile_docs)
+    assert set(comps.values()) == {1}
+
+
+def test_rows_are_split_by_ids(spark):
+    rows = spark.createDataFrame([(i if i % 7 else None, "x", i) for i in range(2000)], "doc_id int, text string, word long")
+    sure, may = jaccard.split_by_ids(rows, spark.createDataFrame([(i,) for i in range(0, 4000, 5)], "doc_id long"))
+    assert sure.columns == may.columns == rows.columns
+    there = {r["word"] for r in may.collect()}
+    assert there >= {i for i in range(2000) if i % 5 == 0 and i % 7} and len(there) < 360
+    assert {r["word"] for r in sure.collect()} == set(range(2000)) - there
 
 
 def test_chain_of_components(spark):
     rng = random.Random(2)
     order = rng.sample(range(300), 300)
     edges = [(min(a, b), max(a, b)) for a, b in zip(order, order[1:], strict=False) if a % 50 or b % 50]
-    got = jaccard.components(spark.createDataFrame(edges, "a long, b long")).collect()
+    frame = spark.createDataFrame(edges, "a long, b long")
+    got, alone = (sorted(jaccard.components(frame, n).collect()) for n in (20, 10**6))
+    assert got == alone and len({r["node"] for r in got}) == len(got)
     up = list(range(300))
     for a, b in edges * 300:
         low = min(up[a], up[b])

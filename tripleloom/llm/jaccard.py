@@ -9,74 +9,89 @@ Two documents link when 100 * |x ∩ y| >= percent * |x ∪ y|. Steps, all of th
    Linked sets whose smaller one lies in band g differ in at most d(g) shingles, so when shingles are dealt to
    d(g) + 1 + e(g) parts by hash, at least 1 + e(g) parts are equal. A set with at most e(g) parts without an uncommon
    shingle leaves those parts out (an equal part with an uncommon shingle is left); any other set uses all parts. Keys are
-   hashes of parts; the documents of one key are tied to its smallest id, so a key of m documents gives m - 1
+   hashes of parts; the documents of one key are tied to one of them, so a key of m documents gives m - 1
    edges, and a map task first ties those it holds itself.
-3. Tiles: each component of that graph is one tile, or, when it has over ``tile_docs`` classes, is cut into blocks of
-   neighbouring sizes. First each block is a tile, with one pivot document in all blocks of a component; a group of near
+3. Tiles: each component of that graph is one tile, or, when it has more than about ``tile_docs`` small sets (or fewer large
+   ones: a set of n shingles counts n / 512), is cut into blocks of neighbouring sizes. First each block is a tile, with one pivot document in all blocks of a component; a group of near
    copies comes together there. What stays outside a component's largest joined part then meets the component's other
-   documents in pairs of blocks whose sizes can link. Within a tile, hashed bitmaps bound the overlap from above, |x ∩ y| <= (|x| + |y| - popcount(X xor Y)) / 2; the pairs that pass are checked by
-   intersecting the sorted arrays, the closest first, and a pair that is already connected is passed over. A tile
+   documents in pairs of blocks whose sizes can link. Within a tile, hashed bitmaps bound the overlap from above,
+   |x ∩ y| <= (|x| + |y| - popcount(X xor Y)) / 2; the pairs that pass are checked by intersecting the sorted arrays, the closest first, and a pair that is already connected is passed over. A tile
    returns a spanning forest of its links, so no set of all pairs is ever made.
 4. Components of the links by minimum labels with pointer jumping.
 
 Defined results: a null or blank text has an empty set and links with nothing; with fewer words than n the whole
-sequence is the one shingle; rows with an equal doc_id are one node of the graph, each with its own set and row;
+sequence is the one shingle; rows with an equal doc_id are one node of the graph, each with its own set, its own place by size and its own row;
 a row with a null doc_id links with nothing and has a null component_id; an empty table gives no rows; other columns
 are not read.
 """
 
 from __future__ import annotations
 
-import gc
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WordHashes, by_bytes, mix, stored
+from .common import GOLD, by_bytes, discard, mix, stored, tidy, word_hashes
 
 COUNTERS = 1 << 18
 CHUNKS = 16
-GOLD = np.uint64(0x9E3779B97F4A7C15)
-
-
-def shingle_sets(texts: list[str | None], n: int, hashes: WordHashes) -> list[np.ndarray]:
-    """Sorted distinct shingle hashes of each text."""
-    out = []
+#: What a small set counts as, in shingles, when blocks are cut.
+LEAST_COST = 512
+#: Edges that one task turns into stars.
+TASK_EDGES = 250_000
+
+
+def shingle_sets(texts: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct shingle hashes of each text, one text after the other, and their numbers."""
+    words, counts = word_hashes(texts)
+    size = np.minimum(n, counts)
+    totals = counts - size + (size > 0)
+    starts = np.cumsum(totals) - totals
+    first = np.cumsum(counts) - counts
+    out = np.empty(int(totals.sum()), dtype=np.uint64)
+    owner = np.repeat(np.arange(len(counts)), totals)
     with np.errstate(over="ignore"):
-        for text in texts:
-            words = hashes.of(text.encode("utf-8", "surrogatepass").lower().split()) if text else np.empty(0, np.uint64)
-            size = min(n, len(words))
-            if not size:
-                out.append(words)
-                continue
-            h = np.full(len(words) - size + 1, np.uint64(size) * GOLD)
-            for i in range(size):
-                h = mix(h + words[i : len(words) - size + 1 + i]) * GOLD
-            out.append(np.unique(h))
-    return out
+        for k in range(1, n + 1):  # texts of k words, or of n and more
+            at = np.flatnonzero(size[owner] == k)
+            word = first[owner[at]] + at - starts[owner[at]]
+            h = np.full(len(at), np.uint64(k) * GOLD)
+            for i in range(k):
+                h = mix(h + words[word + i]) * GOLD
+            out[at] = h
+    for a, b in zip(starts.tolist(), (starts + totals).tolist(), strict=True):
+        if b - a > 1:
+            out[a:b].sort()
+    new = np.ones(len(out), dtype=bool)
+    new[1:] = (out[1:] != out[:-1]) | (owner[1:] != owner[:-1])
+    return out[new], np.bincount(owner[new], minlength=len(counts))
 
 
 class Bands:
-    """Size bands, the parts of each and how many of them may be left out."""
+    """Size bands, the parts of each and how many of them may be left out; they go on as far as the largest set."""
 
-    def __init__(self, percent: int, largest: int = 1 << 26):
-        edges = [1]
+    def __init__(self, percent: int, largest: int = 1 << 12):
+        self.percent, self.edges = percent, np.ones(1, dtype=np.int64)
+        self.reach(largest)
+
+    def reach(self, largest: int) -> Bands:
+        edges = self.edges.tolist()
         while edges[-1] <= largest:
-            edges.append(100 * edges[-1] // percent + 1)
+            edges.append(100 * edges[-1] // self.percent + 1)
         self.edges = np.array(edges)
-        differ = (100 - percent) * (self.edges[1:] - 1) // percent
+        differ = (100 - self.percent) * (self.edges[1:] - 1) // self.percent
         self.spare = np.where(differ > 0, 1 + differ // 8, 0)
         self.parts = differ + 1 + self.spare
+        return self
 
 
-def part_keys(sets: list[np.ndarray], bands: Bands, common: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def part_keys(flat: np.ndarray, sizes: np.ndarray, bands: Bands, common: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Keys and the position of the set each belongs to. ``common``: by shingle counter."""
-    sizes = np.array([len(s) for s in sets], dtype=np.int64)
-    flat = np.concatenate([*sets, np.empty(0, np.uint64)])
-    owner = np.repeat(np.arange(len(sets)), sizes)
+    bands.reach(int(sizes.max(initial=0)))
+    owner = np.repeat(np.arange(len(sizes)), sizes)
     rare = ~common[(flat & np.uint64(COUNTERS - 1)).astype(np.int64)]
     band = np.searchsorted(bands.edges, sizes, side="right") - 1
     spots, values = mix(flat * GOLD + np.uint64(1)) >> np.uint64(16), mix(flat + GOLD)
@@ -94,8 +109,8 @@ def part_keys(sets: list[np.ndarray], bands: Bands, common: np.ndarray) -> tuple
         at = start[owner[used]] + (spots[used] % count[owner[used]].astype(np.uint64)).astype(np.int64)
         sums = [np.bincount(at, w[used], total) for w in (low, high)]
         filled = np.bincount(at, rare[used], total) > 0
-        part_owner = np.repeat(np.arange(len(sets)), count)
-        blank = np.bincount(part_owner, ~filled, len(sets))
+        part_owner = np.repeat(np.arange(len(sizes)), count)
+        blank = np.bincount(part_owner, ~filled, len(sizes))
         use = filled | (blank > bands.spare[np.maximum(group, 0)])[part_owner]
         with np.errstate(over="ignore"):
             body = (sums[1].astype(np.uint64) << np.uint64(32)) + sums[0].astype(np.uint64)
@@ -113,31 +128,37 @@ def sign(docs: DataFrame, n: int) -> DataFrame:
     """For each row its size and digest; and the counters of each map task, in chunks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, counters = WordHashes(), np.zeros(COUNTERS, dtype=np.int64)
+        counters = np.zeros(COUNTERS, dtype=np.int64)
         names = ["doc_id", "n", "f1", "f2", "chunk", "counts"]
         for batch in by_bytes(batches):
-            sets = shingle_sets(batch.column("text").to_pylist(), n, hashes)
-            flat = np.concatenate([*sets, np.empty(0, np.uint64)])
+            flat, sizes = shingle_sets(batch.column("text"), n)
             counters += np.bincount((flat & np.uint64(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS)
-            sizes = np.array([len(s) for s in sets], dtype=np.int64)
-            both = [np.array([int(mix(s ^ salt).sum(dtype=np.uint64)) for s in sets], dtype=np.uint64).view(np.int64) for salt in (GOLD, ~GOLD)]
+            both, full = [], np.flatnonzero(sizes)
+            for salt in (GOLD, ~GOLD):
+                sums = np.zeros(len(sizes), dtype=np.uint64)
+                if len(full):
+                    sums[full] = np.add.reduceat(mix(flat ^ salt), (np.cumsum(sizes) - sizes)[full])
+                both.append(pa.array(sums.view(np.int64)))
             none = pa.nulls(batch.num_rows, pa.int32()), pa.nulls(batch.num_rows, pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes), pa.array(both[0]), pa.array(both[1]), *none], names=names)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes.astype(np.int64)), *both, *none], names=names)
         parts = np.split(counters.astype("<i8"), CHUNKS)
         void = [pa.nulls(CHUNKS, pa.int64())] * 4
         yield pa.RecordBatch.from_arrays([*void, pa.array(range(CHUNKS), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], names=names)
 
-    return docs.mapInArrow(run, SIGNED)
+    return docs.mapInArrow(tidy(run), SIGNED)
 
 
 def common_shingles(signed: DataFrame) -> np.ndarray:
     """Which of the 2^18 counters stand far above the mean."""
 
-    def add(table: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(x, dtype="<i8") for x in table.column("counts").to_pylist())
-        return pa.table({"chunk": table.column("chunk").slice(0, 1), "counts": pa.array([total.tobytes()], pa.binary())})
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for chunk, body in zip(batch.column("chunk").to_pylist(), batch.column("counts"), strict=True):
+                total[chunk] = total.get(chunk, 0) + np.frombuffer(body.as_buffer(), dtype="<i8")
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], names=["chunk", "counts"])
 
-    rows = signed.filter("chunk is not null").select("chunk", "counts").groupBy("chunk").applyInArrow(add, "chunk int, counts binary").collect()  # 16 rows
+    rows = signed.filter("chunk is not null").select("chunk", "counts").repartition(CHUNKS, "chunk").mapInArrow(add, "chunk int, counts binary").collect()  # 16 rows
     counters = np.zeros(COUNTERS, dtype=np.int64)
     for r in rows:
         width = COUNTERS // CHUNKS
@@ -146,101 +167,118 @@ def common_shingles(signed: DataFrame) -> np.ndarray:
     return counters > mean + 8 * np.sqrt(mean) + 32
 
 
-def ties(key: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For rows sorted by key: the first row of each key, by row."""
-    new = np.concatenate([[True], key[1:] != key[:-1]])
-    return np.maximum.accumulate(np.where(new, np.arange(len(key)), 0)), new
+def smallest_reachable(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nodes of these edges, sorted, and the smallest node that each reaches."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = at[: len(a)], at[len(a) :]
+    label = np.arange(len(nodes))
+    while len(x):
+        left, right = label[x], label[y]
+        low = np.minimum(left, right)
+        np.minimum.at(label, left, low)
+        np.minimum.at(label, right, low)
+        while (label[label] != label).any():
+            label = label[label]
+        apart = label[x] != label[y]
+        x, y = x[apart], y[apart]
+    return nodes, nodes[label]
+
+
+def star_rows(pairs: list[np.ndarray]) -> pa.RecordBatch:
+    """Edges (a, b) from the smallest node of each part of these edges (arrays of two rows) to all its others."""
+    both = np.concatenate(pairs, axis=1)
+    nodes, low = smallest_reachable(both[0], both[1])
+    apart = nodes != low
+    return pa.RecordBatch.from_arrays([pa.array(low[apart]), pa.array(nodes[apart])], names=["a", "b"])
 
 
 def candidate_edges(docs: DataFrame, n: int, percent: int, common: np.ndarray) -> DataFrame:
-    """Edges (a, b), a < b, whose components hold every link."""
+    """Edges (a, b), a < b, whose components hold every link. A map task ties documents of one key in a batch itself, and passes
+    on the key with one of them: so a key that very many documents share has few rows where it meets."""
     shared = docs.sparkSession.sparkContext.broadcast(np.packbits(common))
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, bands, flags = WordHashes(), Bands(percent), np.unpackbits(shared.value).astype(bool)
+        bands, flags = Bands(percent), np.unpackbits(shared.value).astype(bool)
         for batch in by_bytes(batches):
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
-            key, owner = part_keys(shingle_sets(batch.column("text").to_pylist(), n, hashes), bands, flags)
-            doc = ids[owner]
-            order = np.lexsort((doc, key))
-            key, doc = key[order], doc[order]
+            key, owner = part_keys(*shingle_sets(batch.column("text"), n), bands, flags)
             if not len(key):
                 continue
-            first, new = ties(key, doc)
-            lead = doc[first]
-            pairs = np.unique(np.stack([lead, doc], axis=1)[lead != doc], axis=0) if (lead != doc).any() else np.empty((0, 2), np.int64)
-            spread = mix(pairs[:, 0].astype(np.uint64) * GOLD + pairs[:, 1].astype(np.uint64))
-            columns = np.concatenate([key[new], spread]).view(np.int64), np.concatenate([doc[new], pairs[:, 1]]), np.concatenate([doc[new], pairs[:, 0]])
-            for i in range(0, len(columns[0]), 1 << 18):
-                yield pa.RecordBatch.from_arrays([pa.array(c[i : i + (1 << 18)]) for c in columns], names=["key", "doc", "lead"])
+            order = np.argsort(key, kind="stable")
+            key, doc = key[order], ids[owner[order]]
+            new = np.concatenate([[True], key[1:] != key[:-1]])
+            lead = doc[np.maximum.accumulate(np.where(new, np.arange(len(key)), 0))]
+            apart = lead != doc
+            nodes, low = smallest_reachable(lead[apart], doc[apart])
+            # documents tied here meet again under a key that their smallest one alone has
+            tied = mix(low.astype(np.int64).view(np.uint64) * GOLD + np.uint64(3))
+            columns = np.concatenate([key[new], tied]).view(np.int64), np.concatenate([lead[new], nodes])
+            for i in range(0, len(columns[0]), 1 << 16):
+                yield pa.RecordBatch.from_arrays([pa.array(c[i : i + (1 << 16)]) for c in columns], names=["key", "doc"])
 
     def tied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last = None
+        last, pairs, size = None, [], 0
         for batch in batches:
             if not batch.num_rows:
                 continue
-            key, doc, lead = (batch.column(c).to_numpy() for c in ("key", "doc", "lead"))
-            first, _ = ties(key, doc)
-            leader = np.where(lead != doc, lead, doc[first])
-            if last is not None and key[0] == last[0]:
-                leader[(first == 0) & (lead == doc)] = last[1]
-            last = (key[-1], leader[-1] if lead[-1] == doc[-1] else doc[first[-1]])
-            apart = leader != doc
+            key, doc = batch.column("key").to_numpy(), batch.column("doc").to_numpy()
+            new = np.concatenate([[last is None or key[0] != last[0]], key[1:] != key[:-1]])
+            first = np.maximum.accumulate(np.where(new, np.arange(len(key)), -1))
+            lead = np.where(first < 0, doc[0] if last is None else last[1], doc[np.maximum(first, 0)])
+            last = key[-1], lead[-1]
+            apart = lead != doc
             if apart.any():
-                pairs = np.unique(np.stack([np.minimum(leader, doc)[apart], np.maximum(leader, doc)[apart]], axis=1), axis=0)
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
-
-    rows = docs.mapInArrow(keyed, "key long, doc long, lead long")
-    return rows.repartition("key").sortWithinPartitions("key", "doc").mapInArrow(tied, "a long, b long").distinct()
-
+                pairs.append(np.stack([lead[apart], doc[apart]]))
+                size += pairs[-1].shape[1]
+            if size > TASK_EDGES:
+                yield star_rows(pairs)
+                pairs, size = [], 0
+        if size:
+            yield star_rows(pairs)
 
-def release(spark: SparkSession) -> None:
-    """Let Spark drop the shuffle files of finished steps now rather than at its next cleaning."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    rows = docs.mapInArrow(tidy(keyed), "key long, doc long")
+    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(tidy(tied), "a long, b long")
 
 
-def stars(edges: DataFrame, per_task: int = 500_000) -> DataFrame:
-    """Fewer edges (a, b) with the same components: each task turns up to ``per_task`` of them into stars around smallest nodes."""
+def stars(edges: DataFrame, tasks: int) -> DataFrame:
+    """Fewer edges (a, b) with the same components: each task turns those it holds into stars around smallest nodes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-
-        def reduced() -> np.ndarray:
-            nodes, at = np.unique(np.concatenate(held), return_inverse=True)
-            trees = Forest(len(nodes))
-            for i, j in at.reshape(-1, 2).tolist():
-                trees.join(i, j)
-            roots = nodes[[trees.root(i) for i in range(len(nodes))]]
-            return np.stack([roots, nodes], axis=1)[roots != nodes]
-
+        held, size = [], 0
         for batch in batches:
-            held.append(np.stack([batch.column("a").to_numpy(), batch.column("b").to_numpy()], axis=1))
-            if sum(map(len, held)) > 2 * per_task:
-                pairs, held = reduced(), []
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
-        if sum(map(len, held)):
-            pairs = reduced()
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
-
-    tasks = edges.count() // per_task + 1
-    return edges.select("a", "b").coalesce(tasks).mapInArrow(run, "a long, b long")
-
-
-def components(edges: DataFrame) -> DataFrame:
-    """node, comp (the smallest node reachable), for every node of an edge (a, b)."""
-    spark = edges.sparkSession
-    fewer = stored(stars(stored(edges.select("a", "b").filter("a != b"), "edges")), "stars")
+            held.append(np.stack([batch.column("a").to_numpy(), batch.column("b").to_numpy()]))
+            size += batch.num_rows
+            if size > 2 * TASK_EDGES:  # only where tasks are uneven
+                yield star_rows(held)
+                held, size = [], 0
+        if size:
+            yield star_rows(held)
+
+    return edges.select("a", "b").coalesce(tasks).mapInArrow(tidy(run), "a long, b long")
+
+
+def components(edges: DataFrame, task_edges: int = TASK_EDGES) -> DataFrame:
+    """node, comp (the smallest node reachable), for every node of an edge (a, b). What fits one task is solved there; else each
+    task makes stars of its own edges, and rounds of joins go on from those. Both give the same."""
+    first = stored(edges.select("a", "b").filter("a != b"), "edges")
+    tasks = first.count() // task_edges + 1
+    fewer = stored(stars(first, tasks), "stars")
+    if tasks == 1:
+        discard(first)
+        return fewer.select(F.col("b").alias("node"), F.col("a").alias("comp")).unionByName(fewer.select(F.col("a").alias("node"), F.col("a").alias("comp")).distinct())
     both = stored(fewer.union(fewer.select("b", "a")).distinct(), "edges")
+    discard(first, fewer)
     labels = stored(both.groupBy("a").agg(F.min("b").alias("low")).select(F.col("a").alias("node"), F.least("a", "low").alias("comp"), F.lit(True).alias("moved")), "labels")
     while True:
         heard = both.join(labels.select(F.col("node").alias("b"), "comp"), "b").groupBy("a").agg(F.min("comp").alias("low"))
         hooked = labels.join(heard.withColumnRenamed("a", "node"), "node").select("node", F.col("comp").alias("was"), F.least("comp", "low").alias("comp"))
         above = labels.select(F.col("node").alias("comp"), F.col("comp").alias("up"))
         jumped = hooked.join(above, "comp", "left").select("node", F.least("comp", F.coalesce("up", "comp")).alias("comp"), "was")
-        labels = stored(jumped.select("node", "comp", (F.col("comp") < F.col("was")).alias("moved")), "labels")
-        if labels.filter("moved").limit(1).count() == 0:
-            return spark.createDataFrame([], "node long, comp long") if labels.isEmpty() else labels.select("node", "comp")
+        before, labels = labels, stored(jumped.select("node", "comp", (F.col("comp") < F.col("was")).alias("moved")), "labels")
+        discard(before)
+        if labels.filter("moved").isEmpty():
+            discard(both)
+            return labels.select("node", "comp")
 
 
 # ---- tiles ----
@@ -294,7 +332,7 @@ def tile_links(ids: list[int], sides: np.ndarray, sets: list[np.ndarray], percen
     for i, x in enumerate(ids):  # rows of one document
         if seen.setdefault(x, i) != i:
             forest.join(seen[x], i)
-    step = max(1, (1 << 22) // (len(ids) * bits.shape[1]))
+    step = max(1, (1 << 21) // (len(ids) * bits.shape[1]))
     for a in range(0, len(ids), step):
         b = min(len(ids), a + step)
         end = int(np.searchsorted(sizes, 100 * sizes[b - 1] // percent, side="right"))
@@ -318,34 +356,38 @@ def tile_links(ids: list[int], sides: np.ndarray, sets: list[np.ndarray], percen
 
 
 def in_blocks(members: DataFrame, group: list[str], tile_docs: int) -> DataFrame:
-    """members (doc_id, n, group columns) with ``block``: runs of about ``tile_docs`` rows of a group by size; ``all``: rows of the group."""
+    """members (doc_id, n, group columns) with ``block``: runs of a group by size that hold about ``tile_docs`` small sets, or as
+    many shingles in fewer large ones; ``all``: rows of the group; ``cost``: that of the whole group, in blocks."""
+    each = F.greatest(F.col("n"), F.lit(LEAST_COST))
     counts = members.groupBy(*group, "n").agg(F.count(F.lit(1)).alias("of"))
-    by_size = Window.partitionBy(*group).orderBy("n")
-    placed = counts.withColumns({"before": F.sum("of").over(by_size) - F.col("of"), "all": F.sum("of").over(Window.partitionBy(*group))})
-    block = F.floor((F.col("before") + F.pmod(F.xxhash64("doc_id"), F.col("of"))) / F.lit(tile_docs)).cast("int")
-    return members.join(placed, [*group, "n"]).select("doc_id", *group, "n", "all", block.alias("block"))
+    by_size, whole = Window.partitionBy(*group).orderBy("n"), Window.partitionBy(*group)
+    room = tile_docs * LEAST_COST
+    placed = counts.withColumns({"before": F.sum(F.col("of") * each).over(by_size) - F.col("of") * each, "all": F.sum("of").over(whole), "cost": F.sum(F.col("of") * each).over(whole) / room})
+    placed = stored(placed, "sizes")  # so that the join below deals out by size too, and a large group can be split
+    block = F.floor((F.col("before") + F.pmod(F.xxhash64("doc_id"), F.col("of")) * each) / F.lit(room)).cast("int")
+    return members.join(placed, [*group, "n"]).select("doc_id", *group, "n", "all", "cost", block.alias("block"))
 
 
 def first_tiles(members: DataFrame, tile_docs: int) -> DataFrame:
-    """doc_id, tile, side: a tile for each block of each component (doc_id, comp, n); in a component of several blocks one
+    """doc_id, n, tile, side: a tile for each block of each component (doc_id, comp, n); in a component of several blocks one
     document, the pivot, is in all of them, so that a group of near copies comes together in this round."""
     blocked = in_blocks(members, ["comp"], tile_docs).filter("all > 1").withColumn("tile", F.xxhash64("comp", "block"))
-    large = blocked.filter(F.col("all") > tile_docs)
-    pivots = large.groupBy("comp").agg(F.min_by("doc_id", F.struct(F.xxhash64("doc_id"), F.col("doc_id"))).alias("doc_id"))
-    more = large.select("comp", "tile").distinct().join(pivots, "comp").select("doc_id", "tile")
-    return blocked.select("doc_id", "tile").unionByName(more).distinct().withColumn("side", F.lit(0))
+    large = blocked.filter("cost > 1")
+    pivots = large.groupBy("comp").agg(F.min_by(F.struct("doc_id", "n"), F.struct(F.xxhash64("doc_id"), F.col("doc_id"), F.col("n"))).alias("p"))
+    more = large.select("comp", "tile").distinct().join(pivots, "comp").select("p.doc_id", "p.n", "tile")
+    return blocked.select("doc_id", "n", "tile").unionByName(more).distinct().withColumn("side", F.lit(0))
 
 
 def second_tiles(members: DataFrame, joined: DataFrame, percent: int, tile_docs: int) -> DataFrame:
     """Tiles for what the first round may have left apart in components of several blocks: documents outside a
     component's largest joined part meet all its other documents, block by block, where sizes can link; the largest
     part is one already and does not meet itself."""
-    sizes = members.groupBy("comp").agg(F.count(F.lit(1)).alias("all")).filter(F.col("all") > tile_docs)
-    large = members.join(sizes.select("comp"), "comp", "left_semi")
+    sizes = members.groupBy("comp").agg((F.sum(F.greatest(F.col("n"), F.lit(LEAST_COST))) / (tile_docs * LEAST_COST)).alias("cost")).filter("cost > 1")
+    large = members.join(stored(sizes.select("comp"), "large"), "comp", "left_semi")
     placed = large.join(joined.select(F.col("node").alias("doc_id"), F.col("comp").alias("part")), "doc_id", "left").withColumn("part", F.coalesce("part", "doc_id"))
     most = placed.groupBy("comp", "part").agg(F.count(F.lit(1)).alias("of")).groupBy("comp").agg(F.max_by("part", F.struct(F.col("of"), F.col("part"))).alias("most"))
-    marked = placed.join(most, "comp").select("doc_id", "comp", "n", (F.col("part") == F.col("most")).alias("whole"))
-    blocked = in_blocks(marked, ["comp", "whole"], tile_docs)
+    marked = placed.join(stored(most, "most"), "comp").select("doc_id", "comp", "n", (F.col("part") == F.col("most")).alias("whole"))
+    blocked = stored(in_blocks(stored(marked, "marked"), ["comp", "whole"], tile_docs), "blocked")
     ends = blocked.groupBy("comp", "whole", "block").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
     one = ends.filter("not whole").select("comp", F.col("block").alias("i"), F.col("lo").alias("lo_i"), F.col("hi").alias("hi_i"))
     two = ends.select("comp", "whole", F.col("block").alias("j"), F.col("lo").alias("lo_j"), F.col("hi").alias("hi_j"))
@@ -355,69 +397,35 @@ def second_tiles(members: DataFrame, joined: DataFrame, percent: int, tile_docs:
     own = at(F.lit(False), "i", 0)
     sides = F.when(~F.col("whole") & (F.col("i") == F.col("j")), F.array(own)).otherwise(F.array(own, at(F.col("whole"), "j", 1)))
     listed = pairs.select("comp", F.xxhash64("comp", "whole", "i", "j").alias("tile"), F.explode(sides).alias("s")).select("comp", "tile", "s.whole", "s.block", "s.side")
-    return blocked.join(listed, ["comp", "whole", "block"]).select("doc_id", "tile", "side")
+    return blocked.join(stored(listed, "listed"), ["comp", "whole", "block"]).select("doc_id", "n", "tile", "side")
 
 
 # ---- id filters ----
 
-#: Largest size of a broadcast id filter, in bits. A filter that is too full lets more rows through, never fewer.
+#: Bits of an id filter: at most 2^20 rows of 64. A filter that is too full lets more rows through, never fewer.
 FILTER_BITS = 1 << 26
-FILTER_PARTS = 16
-
 
-def id_spots(ids: np.ndarray, bits: int) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        a = mix(ids.astype(np.int64).view(np.uint64) * GOLD + np.uint64(7))
-        step = mix(a + GOLD) | np.uint64(1)
-        return ((a[:, None] + np.arange(4, dtype=np.uint64)[None, :] * step[:, None]) & np.uint64(bits - 1)).astype(np.int64)
-
-
-def id_filter(ids: DataFrame) -> np.ndarray:
-    """A Bloom filter of the doc_id column, at most FILTER_BITS / 8 bytes."""
-    bits = 1 << min(FILTER_BITS.bit_length() - 1, max(10, int(16 * ids.count()).bit_length()))
-
-    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.zeros(bits, dtype=bool)
-        for batch in batches:
-            held[id_spots(batch.column("doc_id").to_numpy(), bits).ravel()] = True
-        if held.any():
-            parts = np.split(np.packbits(held, bitorder="little"), FILTER_PARTS)
-            yield pa.RecordBatch.from_arrays([pa.array(range(FILTER_PARTS), pa.int32()), pa.array([x.tobytes() for x in parts], pa.binary())], names=["part", "body"])
-
-    def either(table: pa.Table) -> pa.Table:
-        both = np.bitwise_or.reduce([np.frombuffer(x, dtype=np.uint8) for x in table.column("body").to_pylist()])
-        return pa.table({"part": table.column("part").slice(0, 1), "body": pa.array([both.tobytes()], pa.binary())})
-
-    rows = ids.select("doc_id").mapInArrow(fill, "part int, body binary").groupBy("part").applyInArrow(either, "part int, body binary").collect()  # 16 rows
-    out = np.zeros((FILTER_PARTS, bits // 8 // FILTER_PARTS), dtype=np.uint8)
-    for r in rows:
-        out[r["part"]] = np.frombuffer(r["body"], dtype=np.uint8)
-    return out.ravel()
-
-
-def filtered(docs: DataFrame, found: np.ndarray, inside: bool) -> DataFrame:
-    """Rows whose doc_id may be in the filter, or those that are certainly not (null ids among them)."""
-    shared = docs.sparkSession.sparkContext.broadcast(found)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = shared.value
-        for batch in batches:
-            ids = batch.column("doc_id")
-            at = id_spots(ids.fill_null(0).to_numpy(zero_copy_only=False), len(bits) * 8)
-            may = np.all(bits[at >> 3] >> (at & 7).astype(np.uint8) & 1, axis=1) & ids.is_valid().to_numpy(zero_copy_only=False)
-            yield batch.filter(pa.array(may == inside))
 
-    return docs.mapInArrow(run, docs.schema)
+def split_by_ids(rows: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The rows whose doc_id is certainly not among ``ids`` (null ids are among these), and all others. The filter is a broadcast
+    table of at most FILTER_BITS / 64 rows, whatever the number of ids, so rows with long texts need not be shuffled to find out."""
+    word, bits = (f"_{c}_{uuid.uuid4().hex}" for c in ("word", "bits"))
+    spot = F.xxhash64(F.col("doc_id").cast("long")).bitwiseAND(F.lit(FILTER_BITS - 1))
+    marks = ids.select(spot.alias("s")).groupBy(F.shiftright("s", 6).alias(word)).agg(F.bit_or(F.expr("shiftleft(1L, cast(s & 63 as int))")).alias(bits))
+    met = rows.withColumn(word, F.when(F.col("doc_id").isNotNull(), F.shiftright(spot, 6))).join(F.broadcast(stored(marks, "id-filter")), word, "left")
+    may = F.coalesce(F.getbit(F.col(bits), spot.bitwiseAND(F.lit(63)).cast("int")), F.lit(0)) == 1
+    return tuple(met.filter(c).select(rows.columns) for c in (~may, may))
 
 
 def links(docs: DataFrame, tiles: DataFrame, n: int, percent: int) -> DataFrame:
     """Verified links (a, b) of all tiles."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
         for batch in by_bytes(batches):
-            body = [s.astype("<u8").tobytes() for s in shingle_sets(batch.column("text").to_pylist(), n, hashes)]
-            yield pa.RecordBatch.from_arrays([batch.column("tile"), batch.column("side"), batch.column("doc_id"), pa.array(body, pa.binary())], names=["tile", "side", "doc_id", "body"])
+            flat, sizes = shingle_sets(batch.column("text"), n)
+            offsets = pa.py_buffer(np.concatenate([[0], np.cumsum(sizes * 8)]).astype(np.int32))
+            body = pa.Array.from_buffers(pa.binary(), len(sizes), [None, offsets, pa.py_buffer(flat.astype("<u8"))])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes.astype(np.int64)), body], names=["doc_id", "n", "body"])
 
     def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -431,40 +439,40 @@ def links(docs: DataFrame, tiles: DataFrame, n: int, percent: int) -> DataFrame:
                 if held and held[0][0] != row[0]:
                     yield done()
                     held = []
-                if row[3]:
-                    held.append(row)
+                held.append(row)
         if held:
             yield done()
 
-    few = filtered(docs.select("doc_id", "text"), id_filter(tiles), True)  # most texts stay where they are
-    asked = few.join(tiles, "doc_id").select("tile", "side", "doc_id", "text")
-    return asked.mapInArrow(sets, "tile long, side int, doc_id long, body binary").repartition("tile").sortWithinPartitions("tile").mapInArrow(solve, "a long, b long")
+    _, few = split_by_ids(docs.select("doc_id", "text"), tiles)  # most texts stay where they are
+    asked = few.mapInArrow(tidy(sets), "doc_id long, n long, body binary").join(tiles, ["doc_id", "n"])
+    return asked.select("tile", "side", "doc_id", "body").repartition("tile").sortWithinPartitions("tile").mapInArrow(tidy(solve), "a long, b long")
 
 
 def join(docs: DataFrame, n: int = 3, percent: int = 90, tile_docs: int = 2000) -> DataFrame:
     """doc_id, n_shingles, component_id of every row. See the module's text."""
-    spark = docs.sparkSession
     read = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     signed = stored(sign(read, n), "signed")
     rows = signed.filter("chunk is null").select("doc_id", "n", "f1", "f2")
     named = read.filter("doc_id is not null")
     edges = stored(candidate_edges(named, n, percent, common_shingles(signed)), "candidates")
-    release(spark)
     full = rows.filter("doc_id is not null and n > 0")
-    classes = full.groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("top")).filter("rep < top")
+    classes = stored(full.groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("top")).filter("rep < top").drop("top"), "classes")
     copies = stored(full.join(classes, ["n", "f1", "f2"]).filter("doc_id != rep").select("doc_id", "rep").distinct(), "copies")
     same = copies.select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
     near = components(edges.unionByName(same))
-    sizes = full.groupBy("doc_id").agg(F.max("n").alias("n"), F.min("n").alias("least"))
-    # a document of several different rows is never left out as a copy
-    left_out = copies.join(sizes.filter("n = least").select("doc_id"), "doc_id", "left_semi")
+    # a copy is left out of the tiles, but a document of several different rows never is
+    digests = full.groupBy("doc_id").agg(*(g(c).alias(f"{g.__name__}_{c}") for c in ("n", "f1", "f2") for g in (F.min, F.max)))
+    alike = digests.filter("min_n = max_n and min_f1 = max_f1 and min_f2 = max_f2").select("doc_id")
+    left_out = copies.join(alike, "doc_id", "left_semi")
+    sizes = full.select("doc_id", "n").distinct()  # a row for each size that a document has
     members = near.withColumnRenamed("node", "doc_id").join(left_out, "doc_id", "left_anti").join(sizes, "doc_id").select("doc_id", "comp", "n")
     members = stored(members, "members")
+    discard(edges, classes)
     found = stored(links(named, stored(first_tiles(members, tile_docs), "tiles"), n, percent), "links")
-    if not members.groupBy("comp").count().filter(F.col("count") > tile_docs).isEmpty():
+    cost = members.groupBy("comp").agg(F.sum(F.greatest(F.col("n"), F.lit(LEAST_COST))).alias("cost"))
+    if not cost.filter(F.col("cost") > tile_docs * LEAST_COST).isEmpty():
         tiles = stored(second_tiles(members, components(found), percent, tile_docs), "tiles")
         found = found.unionByName(stored(links(named, tiles, n, percent), "links"))
-    release(spark)
     final = components(found.unionByName(same))
     out = rows.join(final.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("comp", "doc_id").alias("component_id"))
@@ -473,6 +481,5 @@ def join(docs: DataFrame, n: int = 3, percent: int = 90, tile_docs: int = 2000)
 def keep_one(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """The rows of docs without those linked to a document of smaller doc_id; all columns stay."""
     gone = stored(join(docs, n, percent).filter("component_id < doc_id").select("doc_id").distinct(), "gone")
-    found = id_filter(gone)
-    doubtful = filtered(docs, found, True).join(gone, "doc_id", "left_anti").select(docs.columns)
-    return filtered(docs, found, False).unionByName(doubtful)
+    sure, doubtful = split_by_ids(docs, gone)
+    return sure.unionByName(doubtful.join(gone, "doc_id", "left_anti").select(docs.columns))
