@@ -5,11 +5,12 @@ import math
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from tripleloom.llm import lm, quality_mil
-from tripleloom.llm.common import WordHashes, bucket_of
+from tripleloom.llm.common import bucket_of
 
 
 def crc(i, n):
@@ -125,46 +126,32 @@ def test_scores_equal_plain_python(spark):
     assert sum(g[5] for g in got) > sum(g[4] for g in got)
 
 
-def test_rare_tokens_are_exact(small):
-    """With a tiny head nearly all counts come by the join; the base score stays exact."""
-    rows = [(r["doc_id"], r["text"]) for r in small.select("doc_id", "text").collect()]
-    uni = collections.Counter(x for i, t in rows if crc(i, 7) != 2 for x in tokens(t))
-    limit = next(t for t in (1, 2, 3, 4, 6, 8, 12, 16, 24, 32, 64, 128) if sum(c >= t for c in uni.values()) <= 300)
-    check(small, lm.Params(head=300, bits=60), limit)
-
-
-def test_a_small_filter_keeps_the_most_frequent(spark):
-    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
-    model, _ = lm.learn(docs, lm.Params(max_filter_bytes=20_000))
-    assert model.first_level > 1 and model.filter.size <= 20_000 + 64 * lm.SEGMENTS
-    hashes = WordHashes()
-    pairs = collections.Counter()
-    for r in docs.collect():
-        stream, sizes = lm.token_stream([r["text"]], hashes)
-        pairs.update(lm.pair_hashes(stream, sizes)[1].tolist())
-    often = [(k, c) for k, c in pairs.items() if c >= 2]
-    got = model.level(np.array([k for k, _ in often], dtype=np.uint64))
-    for (_, c), level in zip(often, got.tolist(), strict=True):
-        q = 1 + int(math.log2(c - 1))
-        assert level >= q if q >= model.first_level else True  # no entry is ever missed
-
-
 def test_pairs_with_rare_tokens_count(small):
     """With few counts held, pairs with any other token still have their level."""
     for held in (0, 300):
         check(small, lm.Params(held=held, bits=60), 1)
 
 
-def test_the_filter_grows_with_its_entries(spark, small, monkeypatch):
-    monkeypatch.setattr(lm, "SEGMENT_ENTRIES", 10)
-    monkeypatch.setattr(lm, "SCORED_BYTES", 1 << 12)
-    model, _ = lm.learn(small, lm.Params())
-    assert model.first_level == 1 and model.segments > lm.SEGMENTS and model.filter.size == 0
-    bodies = dict(model.bodies())
-    assert {len(b) for b in bodies.values()} == {-(-sum(map(len, bodies.values())) // len(bodies))} and max(map(len, bodies.values())) < 100
-    pairs = lm.pair_levels(small, None).toPandas()
-    assert (model.level(pairs["h"].to_numpy().view(np.uint64)) >= pairs["q"].to_numpy()).all()  # no entry is ever missed
-    check(small, lm.Params(bits=60), 1, loose=0.01)  # such small segments have a few false hits
+def test_no_entry_is_missed(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model, _, _ = lm.learn(docs, lm.Params())
+    stream, sizes = lm.token_stream(pa.array([r["text"] for r in docs.select("text").collect()]))
+    pairs, counts = np.unique(lm.pair_hashes(stream, sizes)[1], return_counts=True)
+    want = np.where(counts > 1, 1 + np.log2(np.maximum(1, counts - 1)).astype(int), 0)
+    got = model.level(pairs)
+    assert (got >= want).all() and np.mean(got > want) < 0.01
+
+
+def test_a_filter_too_large_to_broadcast_gives_the_same(spark, small, odd, monkeypatch):
+    """More, smaller segments, which pairs travel to: row by row the scores of the broadcast filter."""
+    for entries, groups in ((1 << 20, 4096), (10, 16)):
+        monkeypatch.setattr(lm, "SEGMENT_ENTRIES", entries)
+        monkeypatch.setattr(lm, "GROUPS", groups)
+        for docs in (small, odd):
+            plain_row = lambda r: str([round(x, 8) if isinstance(x, float) else x for x in r])
+            here, there = (sorted(map(plain_row, lm.score(docs, bucket_of("doc_id", 7) == 2, lm.Params(broadcast_bytes=n)).collect())) for n in (1 << 30, 0))
+            assert here == there
+    assert lm.learn(small, lm.Params(broadcast_bytes=0))[0].segments > lm.SEGMENTS
 
 
 def test_model_edges(spark, odd, empty):
