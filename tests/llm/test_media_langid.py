@@ -1,9 +1,12 @@
 """MPEG media: exact round trips and damaged streams. Language ID: held-out accuracy."""
 
+import collections
 import hashlib
 import zlib
 from fractions import Fraction
 
+import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -77,14 +80,79 @@ def test_language_edges(odd, empty, small):
     assert {r["lang_pred"] for r in langid.identify(small, F.lit(False), ["doc_id"]).collect()} == {"und"}
 
 
-def test_cosine_is_that_of_the_bundles():
-    """The batched bundles equal a plain loop over letters."""
-    letters, table = langid.codebook(256, 3), langid.letter_classes()
-    text = "Ab cé, ab"
-    rows, grams, counts, has = langid.gram_counts([text, "", "12"], table)
-    got = (langid.bound(grams, letters) * counts[:, None])[rows == 0].sum(axis=0)
-    a, b, c, e = (letters[table[ord(x)]] for x in "abcé")
-    gap = letters[0]
-    bind = lambda x, y, z: __import__("numpy").roll(x, 2) * __import__("numpy").roll(y, 1) * z
-    want = 2 * bind(gap, a, b) + 2 * bind(a, b, gap) + bind(gap, c, e) + bind(c, e, gap)
-    assert (got == want).all() and has.tolist() == [True, False, False]
+def plain_bundle(text, dims, seed):
+    """By a plain loop over letters; 0 stands for a run of anything else."""
+    letters = [0]
+    for ch in text:
+        code = ord(ch.lower()[0]) if ch.isalpha() else 0
+        if code or letters[-1]:
+            letters.append(code)
+    if letters[-1]:
+        letters.append(0)
+    vector = {c: langid.letter_vectors(np.array([c]), dims, seed)[0].astype(int) for c in set(letters)}
+    total = np.zeros(dims)
+    for a, b, c in zip(letters, letters[1:], letters[2:], strict=False):
+        if b:
+            total += np.roll(vector[a], 2) * np.roll(vector[b], 1) * vector[c]
+    return total
+
+
+TEXTS = ["Ab cé, ab", "", "12", "в м е к щ", "ß é ç ö", "日本語 日本", "\U00010400x \U00010428X", "a", "  word  "]
+
+
+def test_bundles_equal_a_plain_loop(monkeypatch):
+    for cells in (1 << 20, 4):
+        monkeypatch.setattr(langid, "CELLS", cells)
+        rows, grams, counts, has = langid.gram_counts(TEXTS)
+        got = langid.bundles(rows, grams, counts, len(TEXTS), 256, 3)
+        assert (got == np.array([plain_bundle(t, 256, 3) for t in TEXTS])).all()
+    assert has.tolist() == [any(c.isalpha() for c in t) for t in TEXTS]
+
+
+def test_letters_of_all_scripts_differ():
+    codes = np.unique(langid.lower_letters())
+    vectors = np.packbits(langid.letter_vectors(codes, 256, 11) > 0, axis=1)
+    assert len(np.unique(vectors, axis=0)) == len(codes) > 40_000
+
+
+def test_predictions_equal_plain_python(small):
+    """Profiles, predictions and scores of all documents by plain loops."""
+    docs = [r.asDict() for r in small.select("doc_id", "text", "lang").collect()]
+    sums, n = {}, collections.Counter()
+    vectors = {r["doc_id"]: plain_bundle(r["text"] or "", 64, 5) for r in docs}
+    for r in docs:
+        has = any(c.isalpha() for c in r["text"] or "")
+        if zlib.crc32(str(r["doc_id"]).encode()) % 3 != 1 and r["lang"] is not None and r["text"] is not None:
+            grams = langid.gram_counts([r["text"]])[2].sum()
+            sums[r["lang"]] = sums.get(r["lang"], 0) + vectors[r["doc_id"]] / max(1, grams)
+            n[r["lang"]] += has
+    names = sorted(sums)
+    profiles = langid.unit(np.array([sums[x] / n[x] for x in names]))
+    middle = profiles.mean(axis=0)
+    got = langid.identify(small, F.expr("crc32(cast(cast(doc_id as string) as binary)) % 3 != 1"), ["doc_id"], dims=64, seed=5).collect()
+    assert len(got) == len(docs)
+    for r in got:
+        if r["lang_pred"] == "und":
+            continue
+        cosine = langid.unit(langid.unit(vectors[r["doc_id"]]) - middle) @ langid.unit(profiles - middle).T
+        assert abs((1 + cosine.max()) / 2 - r["score"]) < 1e-4 and cosine[names.index(r["lang_pred"])] > cosine.max() - 1e-4
+
+
+def test_many_languages_are_an_error(spark, monkeypatch):
+    monkeypatch.setattr(langid, "MAX_LANGUAGES", 3)
+    docs = spark.createDataFrame([(i, "some words", f"l{i}") for i in range(8)], "doc_id long, text string, lang string")
+    with pytest.raises(Exception, match="more than 3 values"):
+        langid.learn(docs, F.lit(True), 64, 1)
+    assert len(langid.learn(docs.filter("doc_id < 3"), F.lit(True), 64, 1)[0]) == 3
+
+
+def test_short_random_texts_need_little_memory():
+    import tracemalloc
+
+    rng = np.random.default_rng(0)
+    texts = ["".join(map(chr, rng.integers(0x4E00, 0x9000, 60))) for _ in range(2000)]
+    tracemalloc.start()
+    rows, grams, counts, _ = langid.gram_counts(texts)
+    langid.bundles(rows, grams, counts, len(texts), 1024, 1)
+    assert tracemalloc.get_traced_memory()[1] < 120 << 20
+    tracemalloc.stop()

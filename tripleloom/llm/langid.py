@@ -1,141 +1,180 @@
 """Language identification with hyperdimensional profiles.
 
-Every letter class has a random bipolar vector of ``dims`` entries. A 3-gram abc is bound as
-``roll(A, 2) * roll(B, 1) * C``; the n-grams of a text are bundled by their sum, and a text is compared with the
-bundle of each language's learning texts by cosine. Letter classes: 0 for anything that is no letter, 1-26 for a-z
-(any case), and ``27 + code % 37`` for other letters.
-
-The bundle of a language is linear in its n-gram counts, so learning sums counts (every text weighs the same) over
-all learning rows, map-side first; the profiles are languages x dims numbers. Prototypes are compared after the
-mean profile is taken from both sides, which removes what all languages share. That best cosine is never below 0, so
-it can't tell that no language fits; ``fit`` can: the uncentred cosine over the one expected of a text of as many
-3-grams drawn from the profile, sqrt(n s / (n s + 1)) with s the profile's own collision rate. It is about 1 in
-a learned language, whatever the length, and near 0 for random letters.
+Every letter, whatever its script, has a random bipolar vector of ``dims`` entries, made from its (lower-case) code point;
+anything that is no letter shares one. A 3-gram abc is bound as ``roll(A, 2) * roll(B, 1) * C``; the n-grams of a text
+are bundled by their sum, and a text is compared with the bundle of each language's learning texts by cosine.
+
+The bundle of a language is linear in its n-gram counts, so learning sums weighted counts (every text weighs the same) of
+each batch before it binds them, and adds up bundles map-side first; the profiles are languages x dims numbers, for at
+most ``MAX_LANGUAGES`` languages. Prototypes are compared after the mean profile is taken from both sides, which removes
+what all languages share. That best cosine is never below 0, so it can't tell that no language fits; ``fit`` can: the
+uncentred cosine over the one expected of a text of as many 3-grams drawn from the profile, sqrt(n s / (n s + 1)) with s
+the profile's own collision rate. It is about 1 in a learned language, whatever the length, and near 0 for random letters.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0; with no learning rows every text is
 ``und``; ties go to the language that sorts first; rows with an equal doc_id are separate; other columns are not
-read; an empty table gives no rows.
+read; an empty table gives no rows; learning from more than MAX_LANGUAGES values of lang is an error.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_bytes
+from .common import GOLD, by_bytes, mix, tidy
 
-CLASSES = 64
-GRAMS = CLASSES**3
 UND = "und"
+MAX_LANGUAGES = 2000
+#: Cells of the matrix (texts x distinct 3-grams) that are bundled at once, and 3-grams that are bound at once.
+CELLS, BOUND = 1 << 20, 2048
 
 
-def letter_classes() -> np.ndarray:
-    """Class of each code point of the Basic Multilingual Plane; a letter beyond it falls in the last class."""
-    table = np.zeros(0x10000, dtype=np.uint8)
-    for c in range(0x10000):
-        ch = chr(c)
-        if ch.isalpha():
-            low = ch.lower()
-            table[c] = ord(low) - 96 if len(low) == 1 and "a" <= low <= "z" else 27 + ord(low[0]) % 37
-    return table
+@cache
+def lower_letters() -> np.ndarray:
+    """For each code point of the Basic Multilingual Plane its lower-case letter; 0 for what is no letter."""
+    return np.array([ord(chr(c).lower()[0]) if chr(c).isalpha() else 0 for c in range(0x10000)], dtype=np.uint32)
 
 
-def codebook(dims: int, seed: int) -> np.ndarray:
-    return np.random.default_rng(seed).choice(np.array([-1, 1], dtype=np.int8), (CLASSES, dims))
+def letter_codes(codes: np.ndarray) -> np.ndarray:
+    out = lower_letters()[np.minimum(codes, 0xFFFF)]
+    if (far := np.flatnonzero(codes >= 0x10000)).size:
+        values, at = np.unique(codes[far], return_inverse=True)
+        out[far] = np.array([ord(chr(c).lower()[0]) if chr(c).isalpha() else 0 for c in values.tolist()], dtype=np.uint32)[at]
+    return out
 
 
-def bound(grams: np.ndarray, letters: np.ndarray) -> np.ndarray:
-    """The bound vectors of 3-gram numbers."""
-    a, b, c = grams // (CLASSES * CLASSES), grams // CLASSES % CLASSES, grams % CLASSES
-    return np.roll(letters, 2, axis=1)[a] * np.roll(letters, 1, axis=1)[b] * letters[c]
+def letter_vectors(letters: np.ndarray, dims: int, seed: int) -> np.ndarray:
+    """A row of -1 and 1 for each letter."""
+    with np.errstate(over="ignore"):
+        start = mix(letters.astype(np.uint64) * GOLD + np.uint64(seed))
+        words = mix(start[:, None] + np.arange(1, -(-dims // 64) + 1, dtype=np.uint64)[None, :] * GOLD)
+    bits = np.unpackbits(words.view(np.uint8), axis=1)[:, :dims]
+    return (2 * bits.astype(np.int8) - 1).astype(np.int8)
 
 
-def gram_counts(texts: list[str], table: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Rows, 3-gram numbers and counts of the texts, and whether each text has a letter. Runs of non-letters count as one."""
+def gram_counts(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Rows (texts, in order), 3-grams (three letters each) and their counts, and whether each text has a letter. Runs of non-letters count as one."""
     joined = "".join(f"\n{t}\n" for t in texts)
-    codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-    cls = np.where(codes < 0x10000, table[np.minimum(codes, 0xFFFF)], 0).astype(np.int64)
-    for i in np.flatnonzero(codes >= 0x10000):
-        cls[i] = CLASSES - 1 if chr(codes[i]).isalpha() else 0
+    letters = letter_codes(np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype=np.uint32))
     owner = np.repeat(np.arange(len(texts)), [len(t) + 2 for t in texts])
-    letter = cls > 0
-    keep = letter | np.concatenate([[True], letter[:-1] | (owner[1:] > owner[:-1])])
-    cls, owner, letter = cls[keep], owner[keep], letter[keep]
+    letter = letters > 0
+    keep = letter | np.concatenate([[True], letter[:-1] | (owner[1:] > owner[:-1])])[: len(letter)]
+    letters, owner, letter = letters[keep], owner[keep], letter[keep]
     has = np.bincount(owner[letter], minlength=len(texts)) > 0
-    grams = (cls[:-2] * CLASSES + cls[1:-1]) * CLASSES + cls[2:]
-    inside = (owner[:-2] == owner[2:]) & (cls[1:-1] > 0)
-    keys, counts = np.unique(owner[:-2][inside] * GRAMS + grams[inside], return_counts=True)
-    return keys // GRAMS, keys % GRAMS, counts, has
+    if len(letters) < 3:
+        return np.empty(0, np.int64), np.empty((0, 3), np.uint32), np.empty(0, np.int64), has
+    alphabet, place = np.unique(letters, return_inverse=True)
+    inside = np.flatnonzero((owner[:-2] == owner[2:]) & (letters[1:-1] > 0))
+    size = np.uint64(len(alphabet))
+    place = place.astype(np.uint64)
+    grams = (place[inside] * size + place[inside + 1]) * size + place[inside + 2]  # below 2^61: there are 1.1 million code points
+    distinct, gram = np.unique(grams, return_inverse=True)
+    keys, counts = np.unique(owner[inside] * len(distinct) + gram, return_counts=True)
+    found = distinct[keys % max(1, len(distinct))]
+    three = np.stack([alphabet[(found // (size * size)).astype(np.int64)], alphabet[(found // size % size).astype(np.int64)], alphabet[(found % size).astype(np.int64)]], axis=1)
+    return keys // max(1, len(distinct)), three, counts, has
+
+
+def bound(grams: np.ndarray, dims: int, seed: int) -> np.ndarray:
+    """The bound vectors of 3-grams."""
+    letters, at = np.unique(grams, return_inverse=True)
+    at, table = at.reshape(grams.shape), letter_vectors(letters, dims, seed)
+    return np.roll(table, 2, axis=1)[at[:, 0]] * np.roll(table, 1, axis=1)[at[:, 1]] * table[at[:, 2]]
+
+
+def numbers(grams: np.ndarray) -> np.ndarray:
+    return grams[:, 0].astype(np.uint64) << np.uint64(42) | grams[:, 1].astype(np.uint64) << np.uint64(21) | grams[:, 2].astype(np.uint64)
+
+
+def bundles(rows: np.ndarray, grams: np.ndarray, counts: np.ndarray, texts: int, dims: int, seed: int) -> np.ndarray:
+    """A bundle for each text. Texts are halved until texts x distinct 3-grams is small, so memory is bounded."""
+    out, open_ = np.zeros((texts, dims), dtype=np.float32), [(0, texts)]
+    code = numbers(grams)
+    while open_:
+        low, high = open_.pop()
+        i, j = np.searchsorted(rows, [low, high])
+        distinct, first, place = np.unique(code[i:j], return_index=True, return_inverse=True)
+        if (high - low) * len(distinct) > CELLS and high - low > 1:
+            middle = (low + high) // 2
+            open_ += [(low, middle), (middle, high)]
+            continue
+        dense = np.zeros((high - low, len(distinct)), dtype=np.float32)
+        dense[rows[i:j] - low, place] = counts[i:j]
+        for k in range(0, len(distinct), BOUND):
+            out[low:high] += dense[:, k : k + BOUND] @ bound(grams[i:j][first[k : k + BOUND]], dims, seed).astype(np.float32)
+    return out
 
 
 def small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    return by_bytes(batches, limit=1 << 20)
+    return by_bytes(batches, per_row=512)
 
 
 def learn(docs: DataFrame, learning: Column, dims: int, seed: int) -> tuple[list[str], np.ndarray]:
     """Languages in order, and their bundles (rows), each the mean over all learning documents."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, sums, texts = letter_classes(), {}, {}
+        sums: dict[str, np.ndarray] = {}
+        texts: dict[str, int] = {}
         for batch in small(batches):
-            langs = np.array(batch.column("lang").to_pylist(), dtype=object)
-            rows, grams, counts, has = gram_counts([t or "" for t in batch.column("text").to_pylist()], table)
-            weight = 1.0 / np.maximum(1, np.bincount(rows, counts, minlength=len(langs)))
-            for lang in sorted(set(langs)):
-                own = langs[rows] == lang
-                sums[lang] = sums.get(lang, 0) + np.bincount(grams[own], counts[own] * weight[rows[own]], minlength=GRAMS)
-                texts[lang] = texts.get(lang, 0) + int(np.sum(has & (langs == lang)))
-        for lang, total in sums.items():
-            at = np.flatnonzero(total)
-            vector = np.zeros(dims)
-            letters = codebook(dims, seed)
-            for i in range(0, len(at), 4096):
-                vector += total[at[i : i + 4096]] @ bound(at[i : i + 4096], letters).astype(np.float64)
-            yield pa.RecordBatch.from_arrays([pa.array([lang], pa.string()), pa.array([texts[lang]], pa.int64()), pa.array([vector.tolist()], pa.list_(pa.float64()))], names=["lang", "n", "vector"])
-
-    used = docs.filter(learning & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("text", F.col("lang").cast("string"))
-    parts = used.mapInArrow(run, "lang string, n long, vector array<double>")
+            names, lang = np.unique(np.array(batch.column("lang").to_pylist(), dtype=object), return_inverse=True)
+            rows, grams, counts, has = gram_counts([t or "" for t in batch.column("text").to_pylist()])
+            weight = counts / np.maximum(1, np.bincount(rows, counts, minlength=len(lang)))[rows]
+            distinct, first, place = np.unique(numbers(grams), return_index=True, return_inverse=True)
+            for x in names.tolist():
+                sums.setdefault(x, np.zeros(dims))
+            if len(sums) > MAX_LANGUAGES:
+                raise ValueError(f"lang has more than {MAX_LANGUAGES} values")
+            for k in range(0, len(distinct), BOUND):
+                vectors = bound(grams[first[k : k + BOUND]], dims, seed).astype(np.float32)
+                own = (place >= k) & (place < k + BOUND)
+                for n, x in enumerate(names.tolist()):
+                    mine = own & (lang[rows] == n)
+                    sums[x] += np.bincount(place[mine] - k, weight[mine], len(vectors)).astype(np.float32) @ vectors
+            for n, x in enumerate(names.tolist()):
+                texts[x] = texts.get(x, 0) + int(np.sum(has & (lang == n)))
+        if sums:
+            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), pa.array([texts[x] for x in sums], pa.int64()), pa.array([v.tolist() for v in sums.values()], pa.list_(pa.float64()))], names=["lang", "n", "vector"])
+
+    used = docs.filter(learning & F.col("lang").isNotNull() & F.col("text").isNotNull()).select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
+    parts = used.mapInArrow(tidy(run), "lang string, n long, vector array<double>")
     summed = parts.select("lang", "n", F.posexplode("vector").alias("i", "v")).groupBy("lang", "i").agg(F.sum("v").alias("v"), F.sum("n").alias("n"))
     profiles = summed.groupBy("lang").agg(F.max("n").alias("n"), F.sort_array(F.collect_list(F.struct("i", "v"))).alias("vector")).filter("n > 0")
-    got = sorted((r["lang"], [x["v"] / r["n"] for x in r["vector"]]) for r in profiles.collect())  # a row for each language
+    got = sorted((r["lang"], [x["v"] / r["n"] for x in r["vector"]]) for r in profiles.limit(MAX_LANGUAGES + 1).collect())  # a row for each language
+    if len(got) > MAX_LANGUAGES:
+        raise ValueError(f"lang has more than {MAX_LANGUAGES} values")
     return [g[0] for g in got], np.array([g[1] for g in got]).reshape(len(got), dims)
 
 
-def predict(docs: DataFrame, languages: list[str], bundles: np.ndarray, dims: int, seed: int, extra: list[str], fit: bool = False) -> DataFrame:
+def unit(m: np.ndarray) -> np.ndarray:
+    return m / np.maximum(1e-12, np.linalg.norm(m, axis=-1, keepdims=True))
+
+
+def predict(docs: DataFrame, languages: list[str], bundles_: np.ndarray, dims: int, seed: int, extra: list[str], fit: bool = False) -> DataFrame:
     """``extra`` columns of docs, lang_pred, score, and with ``fit`` the best fit of any language."""
-    unit = lambda m: m / np.maximum(1e-12, np.linalg.norm(m, axis=-1, keepdims=True))
-    profiles = unit(bundles)
+    profiles = unit(bundles_)
     centre = profiles.mean(axis=0) if len(languages) > 1 else np.zeros(dims)
     centred = unit(profiles - centre).astype(np.float32)
-    collisions = np.square(bundles).sum(axis=1) / dims
+    collisions = np.square(bundles_).sum(axis=1) / dims
     shared = docs.sparkSession.sparkContext.broadcast((languages, centre.astype(np.float32), centred, profiles.astype(np.float32), collisions))
     kinds = {f.name: f.dataType.simpleString() for f in docs.schema.fields}
     schema = ", ".join([*(f"`{c}` {kinds[c]}" for c in extra), "lang_pred string", "score double", *(["fit double"] if fit else [])])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, letters = letter_classes(), codebook(dims, seed)
         names, middle, targets, plain, rates = shared.value
         for batch in small(batches):
             texts = [t or "" for t in batch.column("text").to_pylist()]
-            rows, grams, counts, has = gram_counts(texts, table)
+            rows, grams, counts, has = gram_counts(texts)
             best, score, fits = np.zeros(len(texts), dtype=int), np.zeros(len(texts)), np.zeros(len(texts))
             if len(rows) and names:
-                distinct, place = np.unique(grams, return_inverse=True)
-                dense = np.zeros((len(texts), len(distinct)), dtype=np.float32)
-                dense[rows, place] = counts
-                bundle = np.zeros((len(texts), dims), dtype=np.float32)
-                for i in range(0, len(distinct), 8192):
-                    bundle += dense[:, i : i + 8192] @ bound(distinct[i : i + 8192], letters).astype(np.float32)
-                bundle /= np.maximum(1e-12, np.linalg.norm(bundle, axis=1, keepdims=True))
+                bundle = unit(bundles(rows, grams, counts, len(texts), dims, seed))
                 expected = np.bincount(rows, counts, len(texts))[:, None] * rates
                 fits = (bundle @ plain.T / np.sqrt(np.maximum(1e-12, expected / (expected + 1)))).max(axis=1)
-                bundle -= middle
-                bundle /= np.maximum(1e-12, np.linalg.norm(bundle, axis=1, keepdims=True))
-                cosine = bundle @ targets.T
+                cosine = unit(bundle - middle) @ targets.T
                 best = cosine.argmax(axis=1)
                 score = np.clip((1 + cosine[np.arange(len(texts)), best]) / 2, 0, 1)
             known = has & bool(names)
@@ -144,10 +183,10 @@ def predict(docs: DataFrame, languages: list[str], bundles: np.ndarray, dims: in
             yield pa.RecordBatch.from_arrays([*columns, pa.array(said, pa.string()), *(pa.array(np.where(known, x, 0.0), pa.float64()) for x in (score, fits)[: 1 + fit])], names=[*extra, "lang_pred", "score", *["fit"][:fit]])
 
     read = docs.select(*dict.fromkeys([*extra, "text"]))
-    return read.mapInArrow(run, schema)
+    return read.mapInArrow(tidy(run), schema)
 
 
 def identify(docs: DataFrame, learning: Column, extra: list[str], dims: int = 1024, seed: int = 11, fit: bool = False) -> DataFrame:
     """Learn from the rows that ``learning`` selects (with a language), then predict every row."""
-    languages, bundles = learn(docs, learning, dims, seed)
-    return predict(docs, languages, bundles, dims, seed, extra, fit)
+    languages, found = learn(docs, learning, dims, seed)
+    return predict(docs, languages, found, dims, seed, extra, fit)
