@@ -1,15 +1,18 @@
 """Token ids, the content-addressed store and packing, against the library and against plain loops."""
 
 import zlib
+from dataclasses import replace
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tripleloom.llm import idstore, packing
+from tripleloom.llm import common, idstore, packing
 from tripleloom.llm.tokenids import Encoder
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
@@ -58,8 +61,42 @@ def test_a_damaged_store_is_noticed(spark, odd):
     store = idstore.write(odd, PATH)
     bad = spark.table(store.chunks).limit(10**6).selectExpr("chunk_id", "concat(body, body) as body")
     bad.write.saveAsTable("damaged_chunks")
+    spark.read.parquet(store.hot).limit(0).write.mode("overwrite").parquet(f"{store.hot}-none")
+    store = replace(store, hot=f"{store.hot}-none")
     with pytest.raises(Exception, match="differs from its recipe"):
-        idstore.read(spark, idstore.Store("damaged_chunks", store.recipes, store.manifest, store.width)).collect()
+        idstore.read(spark, replace(store, chunks="damaged_chunks", hot=store.hot)).collect()
+
+
+def test_a_lost_repeated_or_moved_recipe_is_noticed(spark, small, tmp_path):
+    store = idstore.write(small, PATH, rows_per_run=40)
+    rows = spark.read.schema(idstore.RECIPES).parquet(store.recipes)
+    assert spark.read.parquet(store.manifest).count() > 3
+    one = rows.orderBy("doc_id").limit(1)
+    swapped = rows.withColumn("doc_id", F.when(F.col("doc_id") == 5, 6).when(F.col("doc_id") == 6, 5).otherwise(F.col("doc_id")))
+    for k, bad in enumerate((rows.filter("doc_id != 7"), rows.unionByName(one), swapped, rows.filter("run > 0"))):
+        bad.write.parquet(f"{tmp_path}/{k}")
+        with pytest.raises(ValueError, match="manifest"):
+            idstore.read(spark, replace(store, recipes=f"{tmp_path}/{k}"))
+
+
+@given(st.lists(st.binary(max_size=4), max_size=40))
+def test_folding_equals_the_tree(leaves):
+    fold = idstore.Fold()
+    for x in leaves:
+        fold.add(x)
+    assert fold.root() == idstore.merkle(leaves)
+
+
+def test_a_chunk_that_all_documents_use(spark):
+    """A third of the rows are one text: its chunks are broadcast, and every row comes back."""
+    text = " ".join(f"word{i}" for i in range(300))
+    docs = spark.createDataFrame([(i if i % 9 else None, text if i % 3 == 0 else f"text {i} " * 40) for i in range(300)], "doc_id long, text string")
+    store = idstore.write(docs, PATH, rows_per_run=10)
+    assert 0 < spark.read.parquet(store.hot).count() <= idstore.HOT
+    got = idstore.digest_of(idstore.read(spark, store)).collect()
+    assert sorted((str(r["doc_id"]), r["ids_crc32"]) for r in got) == sorted((str(r["doc_id"]), zlib.crc32(plain(r["text"]))) for r in docs.collect())
+    ends = sorted((r["start"], r["start"] + r["n_tokens"]) for r in got)
+    assert ends[0][0] == 0 and all(a[1] == b[0] for a, b in zip(ends, ends[1:], strict=False))
 
 
 @settings(max_examples=50, deadline=None)
@@ -71,14 +108,14 @@ def test_chunk_cuts(ids, shift):
         h = ((h << 1) + int(gear[x])) & 0xFFFFFFFF
         slow.append(h)
     assert idstore.rolling(ids, gear).tolist() == slow
-    cuts = idstore.cuts_of(ids, gear, 64, 8, 1024)
+    cuts = idstore.cuts_of(len(ids), idstore.marks_of(ids, gear, 8).tolist(), 64, 1024)
     sizes = np.diff([0, *cuts])
     assert sum(sizes) == len(ids) and (sizes <= 1024).all() and (sizes[:-1] >= 64).all()
 
 
-def check_packing(docs, size):
+def check_packing(docs, size, per_group=200):
     rows = [(r["doc_id"], plain(r["text"])) for r in docs.select("doc_id", "text").collect()]
-    got = packing.pack(docs, PATH, size=size, docs_per_segment=64).collect()
+    got = packing.pack(docs, PATH, size=size, segment_tokens=64 * size, rows_per_group=per_group).collect()
     by_sequence, by_doc = {}, {}
     for r in got:
         by_sequence.setdefault(r["sequence_id"], []).append(r)
@@ -108,9 +145,26 @@ def test_packing(small, odd, empty):
     assert check_packing(small, 2048) < 0.02
     check_packing(odd, 2048)
     check_packing(odd, 256)
+    check_packing(odd, 256, per_group=1)
+    check_packing(small, 512, per_group=20)
     assert packing.pack(empty, PATH).collect() == []
 
 
+def test_groups_do_not_depend_on_the_spacing_of_ids(spark):
+    """Far outliers, one id with a third of the rows and null ids: groups stay even, and in order."""
+    far = [2**50, -(2**40), 2**50 + 1]
+    ids = [*range(3000), *far, *([77] * 1500), *([None] * 900)]
+    docs = spark.createDataFrame([(i,) for i in ids], "doc_id long").repartition(3)
+    bounds, nulls = common.id_groups(docs, rows=100)
+    values = pa.array(ids, pa.int64())
+    part = common.group_numbers(values, bounds, nulls, 5)
+    sizes = np.bincount(part)
+    assert 40 <= len(sizes) <= 60 and sizes.max() <= 250
+    order = sorted((int(p), i is None, i or 0) for i, p in zip(ids, part, strict=True))
+    named = [i for _, none, i in order if not none]
+    assert named == sorted(named) and not any(none for _, none, _ in order[:-900])
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(1, 90), min_size=1, max_size=14), st.integers(0, 10**6))
 def test_cuts_are_the_best(gaps, seed):

@@ -1,7 +1,9 @@
 """Order-preserving packing of documents into fixed-size token sequences.
 
-A segment is a run of neighbouring ids (about ``docs_per_segment`` rows). Its documents form one token stream in
-ascending id order, and dynamic programming chooses where windows of at most ``size`` tokens are cut:
+Documents are dealt to groups of neighbouring ids (``common.id_groups``: by rank in a bounded sample of ids, so the spacing of
+ids does not matter, and an id with very many rows gets several groups). A group is sorted by id and read as a stream that is cut
+into segments of about ``segment_tokens`` tokens at document ends. In each segment dynamic programming chooses where windows of
+at most ``size`` tokens are cut:
 
     cost(cuts) = sum of padding + cut penalties
     padding(window) = 0 at a power of two, else size - length
@@ -10,9 +12,9 @@ ascending id order, and dynamic programming chooses where windows of at most ``s
 For a cut at position p the best earlier cut q, within p - size, minimises cost(q) + q, so a monotone queue
 holds the sliding minimum and each cut costs amortised constant time; windows of a power of two are tried beside it.
 
-Defined results: a null or empty text is the end id alone; rows with an equal doc_id are packed one after the
-other, each as a document of its own; rows with a null doc_id come last, dealt to segments by a hash of their text;
-an empty table gives no rows; other columns are not read.
+Defined results: a null or empty text is the end id alone; rows with an equal doc_id are each packed as a document of
+their own; rows with a null doc_id come last, dealt to groups of their own; an empty table gives no rows; other columns
+are not read.
 """
 
 from __future__ import annotations
@@ -23,15 +25,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_bytes
+from .common import by_bytes, group_numbers, id_groups, tidy
 from .tokenids import Encoder, sentence_ends
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-#: Bits of a sequence_id that number the sequences of one segment.
-LOCAL_BITS = 22
+#: Bits of a sequence_id that number the sequences of one group.
+LOCAL_BITS = 40
+#: Tokens of a segment, about.
+SEGMENT_TOKENS = 1 << 17
 
 
 def cut_windows(positions: list[int], penalties: list[float], size: int) -> list[int]:
@@ -94,56 +99,72 @@ def pack_stream(ids: list[np.ndarray], ends: np.ndarray, size: int, sentence_cos
     return {"document": document, "start": begin - starts[document], "length": length, "crc": np.array(crc, dtype=np.int64), "sequence": sequence, "offset": begin - cuts[sequence]}
 
 
-def tokenised(docs: DataFrame, path: str, end_id: int) -> DataFrame:
-    """doc_id, ids (packed 16-bit integers where the vocabulary allows, else 32-bit)."""
+def id_width(encoder: Encoder) -> str:
+    """How an id is stored: in 16 bits where the vocabulary allows."""
+    return "<u2" if len(encoder.id_bytes) <= 1 << 16 else "<u4"
+
+
+def tokenised(docs: DataFrame, path: str, end_id: int, bounds: np.ndarray, nulls: int) -> DataFrame:
+    """part (the group), doc_id, crc, ids (packed integers) of every document."""
+    shared = docs.sparkSession.sparkContext.broadcast(bounds)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path, end_id)
-        width = "<u2" if len(encoder.id_bytes) <= 1 << 16 else "<u4"
+        encoder, row = encoder_of(path, end_id), TaskContext.get().partitionId() * 7919
+        width = id_width(encoder)
         for batch in by_bytes(batches):
-            ids = [np.frombuffer(encoder.encode(x), dtype="<u4").astype(width).tobytes() for x in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.binary())], names=["doc_id", "ids"])
+            raw = [encoder.encode(x) for x in batch.column("text").to_pylist()]
+            ids = [np.frombuffer(x, dtype="<u4").astype(width).tobytes() for x in raw]
+            part = group_numbers(batch.column("doc_id"), shared.value, nulls, row)
+            row += batch.num_rows
+            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int64)), batch.column("doc_id"), pa.array([zlib.crc32(x) for x in raw], pa.int64()), pa.array(ids, pa.binary())], names=["part", "doc_id", "crc", "ids"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, ids binary")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(tidy(run), "part long, doc_id long, crc long, ids binary")
 
 
-def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 1, size: int = 2048, docs_per_segment: int = 256, sentence_cost: float = 12.0, hard_cost: float = 60.0) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 1, size: int = 2048, segment_tokens: int = SEGMENT_TOKENS, sentence_cost: float = 12.0, hard_cost: float = 60.0, rows_per_group: int = 2048) -> DataFrame:
     """One row for each piece of a document in a sequence. See the module's text for rules and edge cases."""
-    seen = docs.agg(F.min("doc_id").cast("long").alias("lo"), F.max("doc_id").cast("long").alias("hi"), F.count("doc_id").alias("n")).first()
-    low, high = seen["lo"] or 0, seen["hi"] or 0
-    spread = max(1.0, (high - low + 1) / max(1, seen["n"]))
-    shift = max(0, min(62, int(np.log2(spread * docs_per_segment) + 1e-9)))
-    segments = (high >> shift) - (low >> shift) + 1
-    unnamed = F.lit(segments) + F.pmod(F.crc32("ids"), F.lit(4096))
-    segment = F.coalesce(F.shiftright("doc_id", shift) - F.lit(low >> shift), unnamed).cast("long")
-
-    def run(table: pa.Table) -> pa.Table:
+    bounds, nulls = id_groups(docs, rows_per_group)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ends = sentence_ends_of(tokenizer_path)
         width = "<u2" if len(ends) <= 1 << 16 else "<u4"
-        rows = sorted(zip(table.column("doc_id").to_pylist(), table.column("ids").to_pylist(), strict=True), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
-        ids = [np.frombuffer(x, dtype=width) for _, x in rows]
-        got = pack_stream(ids, ends, size, sentence_cost, hard_cost)
-        if got["sequence"][-1] >> LOCAL_BITS:
-            raise ValueError("a segment has too many sequences for its ids; lower docs_per_segment")
-        names = pa.array([r[0] for r in rows], pa.int64())
-        lengths = np.array([len(x) for x in ids])
-        first = table.column("segment")[0].as_py() << LOCAL_BITS
-        return pa.table(
-            {
-                "doc_id": names.take(pa.array(got["document"])),
+        part, sequences, held, names, tokens = None, 0, [], [], 0
+
+        def done() -> pa.RecordBatch:
+            got = pack_stream(held, ends, size, sentence_cost, hard_cost)
+            lengths = np.array([len(x) for x in held])
+            columns = {
+                "doc_id": pa.array(names, pa.int64()).take(pa.array(got["document"])),
                 "start": pa.array(got["start"], pa.int64()),
                 "length": pa.array(got["length"], pa.int64()),
                 "ids_crc32": pa.array(got["crc"], pa.int64()),
                 "doc_tokens": pa.array(lengths[got["document"]], pa.int64()),
-                "sequence_id": pa.array(got["sequence"] + first, pa.int64()),
+                "sequence_id": pa.array(got["sequence"] + sequences + (part << LOCAL_BITS), pa.int64()),
                 "offset": pa.array(got["offset"], pa.int64()),
             }
-        )
-
-    return tokenised(docs, tokenizer_path, end_id).withColumn("segment", segment).groupBy("segment").applyInArrow(run, SCHEMA)
+            return pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
+
+        for batch in batches:
+            for group, name, body in zip(batch.column("part").to_pylist(), batch.column("doc_id").to_pylist(), batch.column("ids"), strict=True):
+                if held and (group != part or tokens >= segment_tokens):
+                    out = done()
+                    yield out
+                    sequences = int(pa.compute.max(out.column("sequence_id")).as_py()) - (part << LOCAL_BITS) + 1
+                    held, names, tokens = [], [], 0
+                if group != part:
+                    part, sequences = group, 0
+                held.append(np.frombuffer(body.as_buffer(), dtype=width))
+                names.append(name)
+                tokens += len(held[-1])
+        if held:
+            yield done()
+
+    dealt = tokenised(docs, tokenizer_path, end_id, bounds, nulls).repartition("part")
+    return dealt.sortWithinPartitions("part", F.col("doc_id").asc_nulls_last(), "crc").drop("crc").mapInArrow(tidy(run), SCHEMA)
 
 
 _ENDS: dict[str, np.ndarray] = {}
+_ENCODERS: dict[tuple[str, int], Encoder] = {}
 
 
 def sentence_ends_of(path: str) -> np.ndarray:
@@ -151,3 +172,10 @@ def sentence_ends_of(path: str) -> np.ndarray:
     if path not in _ENDS:
         _ENDS[path] = sentence_ends(path)
     return _ENDS[path]
+
+
+def encoder_of(path: str, end_id: int) -> Encoder:
+    """Read once by each worker, which keeps what the encoder remembers from task to task."""
+    if (path, end_id) not in _ENCODERS:
+        _ENCODERS[path, end_id] = Encoder(path, end_id)
+    return _ENCODERS[path, end_id]
