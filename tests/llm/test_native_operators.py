@@ -136,6 +136,35 @@ def test_epochs_and_prefixes(spark, odd, empty):
     assert mixing.choose(odd, mixing.Mix(budget=10**9)).columns == odd.columns
 
 
+def plain_mixed(rows, budget, epochs_seed):
+    """tokens taken of (id, text) rows of one leaf, by a plain running sum."""
+    import xxhash  # noqa: F401  (Spark's xxhash64 names rows without an id; their order is read from Spark)
+
+    total = sum(n for _, n, _ in rows)
+    full, rest, at, out = budget // total, budget % total, 0, []
+    for i, n, _ in sorted(rows, key=lambda r: (r[2], r[0] is not None, r[0] or 0, r[1])):
+        out.append((i, n, full * n + max(0, min(n, rest - at))))
+        at += n
+    return sorted(map(str, out))
+
+
+def test_repeated_and_null_ids_are_rows(spark):
+    """Null ids stay, repeated ids are decided row by row, and a third of all rows may be equal."""
+    data = [(None if i % 4 == 0 else i % 50, f"w{i % 13} " * (1 + i % 5), "en", "s1", "x") for i in range(240)] + [(7, "same words here", "en", "s1", "y")] * 120
+    docs = spark.createDataFrame(data, "doc_id long, text string, lang string, source string, domain string")
+    for budget in (100, 333, 700, 1500):
+        mix = mixing.Mix(budget=budget, max_epochs=9)
+        got = mixing.mixed(docs, mix).collect()
+        full = got[0]["full_epochs"]
+        h = docs.withColumn("full_epochs", F.lit(full)).select("doc_id", mixing.n_tokens().alias("n"), mixing.key_of(mix.seed, F.col("doc_id"), F.xxhash64("text")).alias("h")).collect()
+        assert sorted(str((r["doc_id"], r["n_tokens"], r["tokens_taken"])) for r in got) == plain_mixed([(r["doc_id"], r["n"], r["h"]) for r in h], budget, mix.seed)
+        kept = mixing.choose(docs, mix)
+        assert kept.columns == docs.columns
+        taken = collections.Counter((r["doc_id"], r["n_tokens"]) for r in got if r["tokens_taken"])
+        rows = collections.Counter((r["doc_id"], len(r["text"].split())) for r in kept.collect())
+        assert len([k for k in taken if rows[k] != taken[k]]) <= 1 and set(rows) == set(taken)
+
+
 # ---- quality rules ----
 
 

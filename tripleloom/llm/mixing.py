@@ -7,21 +7,27 @@ capacity is what its parent sees. The share at a node has a closed form: childre
 capacity / weight are full as long as capacity <= weight x rest / weight left.
 
 A leaf with budget b and c tokens gives b // c full epochs and b % c tokens more: the first tokens of its documents
-in the order of md5(seed:epoch:doc_id). Running sums have two levels, by the first three digits of the hash and then
-within them, so one leaf with most of the rows is spread over 4,096 groups.
+in the order of md5(seed:epoch:doc_id). No row is sorted for that: sums by the first three digits of the hash find, for
+each leaf, where its budget ends, sums by document within those digits find the one document that is cut, and every row
+compares its own place with that. So a leaf with most of the rows costs 4,096 sums.
 
 Defined results: a null text has no tokens and is never taken; null source or language is a leaf of its own;
-weights that are not given count ``other`` (weight 0: never taken); equal ids are separate rows; shares are rounded
-down at each node, so a few tokens stay unused; an empty table gives no rows.
+weights that are not given count ``other`` (weight 0: never taken); equal ids are separate rows, in the order of their token counts;
+shares are rounded down at each node, so a few tokens stay unused; an empty table gives no rows. ``choose`` decides row by row, null
+ids too; only rows that share doc_id (or have none), text and leaf with the one document that the budget's end cuts are taken or left together.
 """
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import stored
+
 
 @dataclass(frozen=True)
 class Mix:
@@ -37,13 +43,16 @@ class Mix:
     seed: int = 20
 
 
+WORD = r"[^\x20\x09-\x0D]+"
+
+
 def n_tokens() -> Column:
     """Words of the text."""
-    return F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
+    return F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(WORD)), F.lit(0)).cast("long")
 
 
 def domain_of(source: Column) -> Column:
-    """A stand-in for a domain table: by the last digit of the source's name."""
+    """The default domains, a stand-in for a domain table: by the last digit of the source's name."""
     last = F.right(source, F.lit(1))
     return F.when(last.between("0", "4"), "web").when(last.between("5", "7"), "books").when(last.between("8", "9"), "code").otherwise("other")
 
@@ -86,38 +95,91 @@ def budgets(leaves: DataFrame, mix: Mix) -> DataFrame:
     return shared_out(so, ["domain", "lang"], "lang_budget", "w", "cap", "source", "leaf_budget").drop("w")
 
 
-def mixed(docs: DataFrame, mix: Mix | None = None) -> DataFrame:
-    """Every row: doc_id, domain, lang, source, n_tokens, full_epochs, tokens_taken."""
-    mix = mix or Mix()
+LEAF = ["domain", "lang", "source"]
+
+
+def leaf_join(rows: DataFrame, plan: DataFrame, how: str = "inner") -> DataFrame:
+    """rows with the columns of a table that has a row for each leaf of the tree of names. Spark broadcasts it where its measured size
+    is small; else both sides are dealt out by leaf, and the adaptive join splits a leaf that holds very many rows."""
+    right = plan.withColumnsRenamed({c: f"{c}_" for c in LEAF})
+    same = (F.col("domain") == F.col("domain_")) & F.col("lang").eqNullSafe(F.col("lang_")) & F.col("source").eqNullSafe(F.col("source_"))
+    return rows.join(right, same, how).drop(*(f"{c}_" for c in LEAF))
+
+
+def key_of(seed: int, doc_id: Column, text_hash: Column) -> Column:
+    """A row's place in its leaf; rows without an id are told apart by their texts."""
+    name = F.coalesce(doc_id.cast("string"), F.concat(F.lit("null:"), text_hash.cast("string")))
+    return F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("full_epochs").cast("string"), name))
+
+
+def order_by(docs: DataFrame, domain: Callable[[Column], Column]) -> DataFrame:
+    """doc_id, the leaf, n_tokens and a text hash (of rows without an id alone) of every row."""
     source = F.col("source").cast("string")
-    rows = docs.select("doc_id", domain_of(source).alias("domain"), F.col("lang").cast("string").alias("lang"), source.alias("source"), n_tokens().alias("n_tokens"))
-    leaves = rows.groupBy("domain", "lang", "source").agg(F.sum("n_tokens").alias("tokens"))
+    text_hash = F.when(F.col("doc_id").isNull(), F.xxhash64(F.col("text").cast("string")))
+    return docs.select("doc_id", domain(source).alias("domain"), F.col("lang").cast("string").alias("lang"), source.alias("source"), n_tokens().alias("n_tokens"), text_hash.alias("text_hash"))
+
+
+def cuts(rows: DataFrame, mix: Mix) -> DataFrame:
+    """A row for each leaf: full_epochs, rest, and the document (h, doc_id, n_tokens) at which ``rest`` is used up, with the tokens before it (null
+    where the budget ends at no document). ``rows`` is a stored table of order_by()."""
+    leaves = rows.groupBy(*LEAF).agg(F.sum("n_tokens").alias("tokens"))
     plan = budgets(leaves, mix).select(
-        F.col("domain").alias("d_"),
-        F.col("lang").alias("l_"),
-        F.col("source").alias("s_"),
+        *LEAF,
         F.when(F.col("tokens") > 0, F.expr("leaf_budget div tokens")).otherwise(0).cast("long").alias("full_epochs"),
         F.when(F.col("tokens") > 0, F.expr("leaf_budget % tokens")).otherwise(0).cast("long").alias("rest"),
     )
-    same = (F.col("domain") == F.col("d_")) & F.col("lang").eqNullSafe(F.col("l_")) & F.col("source").eqNullSafe(F.col("s_"))
-    # a row for each leaf of the tree of names; Spark broadcasts it when its measured size is small, else joins by shuffle
-    planned = rows.join(plan, same).drop("d_", "l_", "s_")
-    hashed = planned.withColumn("h", F.md5(F.concat_ws(":", F.lit(str(mix.seed)), F.col("full_epochs").cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))))
-    keyed = hashed.withColumn("hh", F.substring("h", 1, 3))
-    leaf = ["domain", "lang", "source"]
-    sums = keyed.groupBy(*leaf, "hh").agg(F.sum("n_tokens").alias("of"))
-    before = sums.withColumn("before", F.coalesce(F.sum("of").over(Window.partitionBy(*leaf).orderBy("hh").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select(*(F.col(c).alias(f"{c}_") for c in leaf), F.col("hh").alias("hh_"), "before")
-    same = (F.col("domain") == F.col("domain_")) & F.col("lang").eqNullSafe(F.col("lang_")) & F.col("source").eqNullSafe(F.col("source_")) & (F.col("hh") == F.col("hh_"))
-    within = Window.partitionBy(*leaf, "hh").orderBy("h", F.col("doc_id").asc_nulls_first(), "n_tokens").rowsBetween(Window.unboundedPreceding, -1)
-    placed = keyed.withColumn("within", F.coalesce(F.sum("n_tokens").over(within), F.lit(0))).join(before, same)
-    more = F.greatest(F.lit(0), F.least(F.col("n_tokens"), F.col("rest") - F.col("before") - F.col("within")))
-    return placed.select("doc_id", *leaf, "n_tokens", "full_epochs", (F.col("full_epochs") * F.col("n_tokens") + more).alias("tokens_taken"))
-
-
-def choose(docs: DataFrame, mix: Mix) -> DataFrame:
-    """The rows of docs of which any token is taken, whole and once; all columns stay. A row without tokens goes."""
-    taken = mixed(docs, mix).filter("tokens_taken > 0").select("doc_id").distinct()
-    return docs.join(taken, "doc_id", "left_semi").select(docs.columns)
+    plan = stored(plan, "mix-plan")
+    keyed = leaf_join(rows.filter("n_tokens > 0"), plan).withColumn("h", key_of(mix.seed, F.col("doc_id"), F.col("text_hash"))).withColumn("hh", F.substring("h", 1, 3))
+    sums = keyed.groupBy(*LEAF, "hh").agg(F.sum("n_tokens").alias("of"), F.first("rest").alias("rest"))  # at most 4,096 rows a leaf
+    before = F.coalesce(F.sum("of").over(Window.partitionBy(*LEAF).orderBy("hh").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ends = stored(sums.withColumn("before", before).filter("before <= rest and rest < before + of").select(*LEAF, F.col("hh").alias("end"), "before"), "mix-ends")
+    near = leaf_join(keyed, ends).filter("hh = end").groupBy(*LEAF, "h", "doc_id", "n_tokens").agg(F.count(F.lit(1)).alias("same"), F.first("rest").alias("rest"), F.first("before").alias("before"))
+    place = Window.partitionBy(*LEAF).orderBy("h", F.col("doc_id").asc_nulls_first(), "n_tokens")
+    own = F.col("same") * F.col("n_tokens")
+    found = near.withColumn("at", F.col("before") + F.sum(own).over(place) - own).filter((F.col("at") <= F.col("rest")) & (F.col("rest") < F.col("at") + own))
+    cut = found.select(*LEAF, F.col("h").alias("cut_h"), F.col("doc_id").alias("cut_id"), F.col("n_tokens").alias("cut_n"), F.col("at").alias("cut_at"))
+    return stored(leaf_join(plan, cut, "left"), "mix-cuts")
+
+
+def side_of_cut(h: Column, doc_id: Column, n: Column) -> Column:
+    """-1 for a row before its leaf's cut (or where there is none, with no tokens over), 0 for the cut document, 1 behind."""
+    id_less = (doc_id.isNull() & F.col("cut_id").isNotNull()) | F.coalesce(doc_id < F.col("cut_id"), F.lit(False))
+    same_id = doc_id.eqNullSafe(F.col("cut_id"))
+    less = (h < F.col("cut_h")) | ((h == F.col("cut_h")) & (id_less | (same_id & (n < F.col("cut_n")))))
+    same = (h == F.col("cut_h")) & same_id & (n == F.col("cut_n"))
+    return F.when(F.col("cut_h").isNull(), 1).when(less, -1).when(same, 0).otherwise(1)
+
+
+def mixed(docs: DataFrame, mix: Mix | None = None, domain: Callable[[Column], Column] = domain_of) -> DataFrame:
+    """Every row: doc_id, domain, lang, source, n_tokens, full_epochs, tokens_taken. ``domain`` gives a source's domain."""
+    mix = mix or Mix()
+    rows = stored(order_by(docs, domain), "mix-rows")
+    placed = leaf_join(rows, cuts(rows, mix)).withColumn("h", key_of(mix.seed, F.col("doc_id"), F.col("text_hash")))
+    placed = placed.withColumn("side", side_of_cut(F.col("h"), F.col("doc_id"), F.col("n_tokens")))
+    plain = placed.filter("side <> 0").withColumn("more", F.when(F.col("side") < 0, F.col("n_tokens")).otherwise(0))
+    # the cut document: one row, or its equal rows, one after the other
+    turn = F.row_number().over(Window.partitionBy(*LEAF).orderBy("h")) - 1
+    cut = placed.filter("side = 0").withColumn("more", F.greatest(F.lit(0), F.least(F.col("n_tokens"), F.col("rest") - F.col("cut_at") - turn * F.col("n_tokens"))))
+    taken = (F.col("full_epochs") * F.col("n_tokens") + F.col("more")).cast("long")
+    return plain.unionByName(cut).select("doc_id", *LEAF, "n_tokens", "full_epochs", taken.alias("tokens_taken"))
+
+
+def choose(docs: DataFrame, mix: Mix, domain: Callable[[Column], Column] = domain_of) -> DataFrame:
+    """The rows of docs of which any token is taken, whole and once; all columns stay. A row without tokens goes. Texts are not shuffled
+    unless the table of leaves is too large to broadcast."""
+    ends = cuts(stored(order_by(docs, domain), "mix-rows"), mix)
+    mark = f"_{uuid.uuid4().hex[:8]}_"
+    own = order_by(docs, domain).columns
+    names = {c: f"{mark}{c}" for c in docs.columns}
+    full = docs.withColumnsRenamed(names)
+    given = {c: F.col(names[c]) for c in ("doc_id", "text", "lang", "source")}
+    source = given["source"].cast("string")
+    tokens = F.coalesce(F.regexp_count(given["text"].cast("string"), F.lit(WORD)), F.lit(0)).cast("long")
+    made = {"domain": domain(source), "lang": given["lang"].cast("string"), "source": source, "doc_id": given["doc_id"], "n_tokens": tokens, "text_hash": F.when(given["doc_id"].isNull(), F.xxhash64(given["text"].cast("string")))}
+    placed = leaf_join(full.withColumns({c: made[c] for c in own}), ends).withColumn("h", key_of(mix.seed, F.col("doc_id"), F.col("text_hash")))
+    side = side_of_cut(F.col("h"), F.col("doc_id"), F.col("n_tokens"))
+    taken = (F.col("n_tokens") > 0) & ((F.col("full_epochs") > 0) | (side < 0) | ((side == 0) & (F.col("rest") > F.col("cut_at"))))
+    return placed.filter(taken).select(*(F.col(names[c]).alias(c) for c in docs.columns))
 
 
 #: DuckDB SQL for mixed() with the default Mix over `documents`; levels are named d, l and s.
