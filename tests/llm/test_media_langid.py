@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import struct
 import zlib
 from fractions import Fraction
 
@@ -47,6 +48,84 @@ def test_headers_of_other_kinds():
     assert media.header(bytes([0xFF, 0xFB, 0xF0, 0x00])) is None
 
 
+def crc_bits(bits):
+    crc = 0xFFFF
+    for b in bits:
+        crc = (crc << 1 ^ 0x8005 if (crc >> 15) ^ b else crc << 1) & 0xFFFF
+    return crc
+
+
+def bit_list(data):
+    return [x >> (7 - k) & 1 for x in data for k in range(8)]
+
+
+def test_checksums_of_layers_one_and_two():
+    """Frames whose covered bits are counted here by the format's text."""
+    rng = np.random.default_rng(1)
+    # layer I, 32 kHz, 64 kbit/s, stereo: 256 bits of allocation
+    head = bytes([0xFF, 0xFE, 0x28, 0x00])
+    body = rng.integers(0, 256, media.header(head).size - 6, dtype=np.uint8).tobytes()
+    frame = head + crc_bits(bit_list(head[2:] + body[:32])).to_bytes(2, "big") + body
+    got = media.parse(frame * 3)
+    assert (got.protected, got.crc_errors, len(got.frames)) == (3, 0, 3) and got.duration == Fraction(3 * 384, 32000)
+    assert media.parse(frame[:6] + bytes([frame[6] ^ 1]) + frame[7:] + frame).crc_errors == 1
+    # layer II, 44.1 kHz, 192 kbit/s, mono (30 subbands): 11 x 4 + 12 x 3 + 7 x 2 = 94 bits, and 2 for each subband in use
+    head = bytes([0xFF, 0xFC, 0xA0, 0xC0])
+    size = media.header(head).size
+    body = rng.integers(0, 256, size - 6, dtype=np.uint8).tobytes()
+    bits, at, used = bit_list(body), 0, 0
+    for width in [4] * 11 + [3] * 12 + [2] * 7:
+        used += any(bits[at : at + width])
+        at += width
+    assert at == 94
+    frame = head + crc_bits(bit_list(head[2:]) + bits[: at + 2 * used]).to_bytes(2, "big") + body
+    got = media.parse(frame * 2)
+    assert (got.protected, got.crc_errors, len(got.frames)) == (2, 0, 2)
+
+
+def test_tags_of_all_versions():
+    frame = bytes([0xFF, 0xFB, 0x90, 0x00]) + bytes(413)
+    tag = lambda major, flags, body: b"ID3" + bytes([major, 0, flags, 0, 0, len(body) >> 7, len(body) & 127]) + body
+    two = tag(2, 0, b"TT2" + bytes([0, 0, 6]) + b"\0title")
+    three = tag(3, 0x80, b"TIT2" + bytes([0, 0, 0, 4, 0, 0]) + b"\0a\xff\x00b")  # unsynchronised
+    extended = tag(3, 0x40, bytes([0, 0, 0, 6, 0, 0, 0, 0, 0, 0]) + b"TIT2" + bytes([0, 0, 0, 2, 0, 0]) + b"\0x")
+    four = tag(4, 0x10, b"TIT2" + bytes([0, 0, 0, 3, 0, 0]) + b"\3\xc3\xa9") + b"3DI" + bytes([4, 0, 0x10, 0, 0, 0, 13])
+    for data, tags in ((two, {"TT2": "title"}), (three, {"TIT2": "a\xffb"}), (extended, {"TIT2": "x"}), (four, {"TIT2": "é"})):
+        got = media.parse(data + frame * 2)
+        assert got.tags == tags and len(got.frames) == 2 and got.skipped == 0 and got.frames[0][0] == len(data)
+
+
+def test_tables_of_variable_bitrates():
+    head = bytes([0xFF, 0xFB, 0x90, 0x00])
+    vbri = head + bytes(32) + b"VBRI" + struct.pack(">HHHIIHHHH", 1, 0, 70, 5 * 417, 4, 4, 2, 2, 1) + struct.pack(">4H", *[417 // 2] * 4)
+    got = media.parse(vbri.ljust(417, b"\0") + (head + bytes(413)) * 4)
+    assert got.table["frames"] == 4 and len(got.frames) == 4 and got.seek == [417 + i * 416 for i in range(4)]
+    data = media.pack(bytes(30_000))
+    got = media.parse(data)
+    assert len(got.seek) == 100 and got.seek == sorted(got.seek) and got.seek[-1] < len(data)
+
+
+def test_media_of_any_origin(spark):
+    """Null, empty, junk, foreign and cut-off media have defined features and never stop a job."""
+    mp3 = (bytes([0xFF, 0xFB, 0x90, 0x00]) + bytes(413)) * 5
+    ours = media.pack(b"some payload" * 300)
+    broken = b"ID3\3\0\0\x7f\x7f\x7f\x7fTXXX"
+    rows = [(1, 9, None), (2, 9, b""), (3, 9, b"junk " * 50), (4, 9, mp3), (5, 9, ours[:-900]), (6, None, ours), (7, 9, broken), (8, 9, b"\xff" * 3000)]
+    got = {r["doc_id"]: r for r in media.features(spark.createDataFrame(rows, "doc_id long, n_bytes long, media binary")).collect()}
+    assert got[1]["feature"] is None and got[1]["media_bytes"] is None
+    assert [got[i]["frames"] for i in (2, 3, 4, 7, 8)] == [0, 0, 5, 0, 0] and got[4]["duration_s"] == 5 * 1152 / 44100
+    assert [got[i]["payload_sha256"] for i in (2, 3, 4, 5, 7)] == [None] * 5
+    assert got[6]["payload_sha256"] == hashlib.sha256(b"some payload" * 300).hexdigest()
+
+
+def test_stored_offsets_are_those_of_the_frames(small):
+    rows = media.media_table(small).collect()
+    for r in rows:
+        parsed = media.parse(r["media"])
+        assert r["seek_offsets"] == [at for at, _ in parsed.frames]
+        assert parsed.duration == Fraction(r["samples"], r["sample_rate"])
+
+
 def test_media_table(small, odd, empty):
     for docs in (small, odd):
         want = []

@@ -52,13 +52,45 @@ def test_quality_edges(spark, odd, empty):
 
 
 def test_passages():
-    x, count = quality_mil.passages(["a b c d e", "", "  x\ty ", None], 2)
+    x, count = quality_mil.passages(pa.array(["a b c d e", "", "  x\ty ", None]), 2)
     assert count.tolist() == [3, 1, 1, 1] and x.shape == (6, quality_mil.WIDTH)
-    alone, _ = quality_mil.passages(["c d"], 2)
+    alone, _ = quality_mil.passages(pa.array(["c d"]), 2)
     assert np.allclose(x[1], alone[0])
     assert not x[3].any() and not x[5].any()
 
 
+def test_scores_equal_a_plain_loop(spark, small):
+    """All documents, passage by passage: encoding, gates, softmax and the weighted sum."""
+    labels = spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
+    held = bucket_of("doc_id", 5) == 0
+    got = {r["doc_id"]: r for r in quality_mil.score(small, labels, held, size=16).collect()}
+    read = small.select("doc_id", "text")
+    p = {k: v.astype(float) for k, v in quality_mil.fit(*quality_mil.sample(read, labels, ~held, 16, 4, 1200, 4096), seed=4).items()}
+    logistic = lambda v: 1 / (1 + np.exp(-v))
+    for r in read.collect():
+        words = (r["text"] or "").encode().split()
+        logits, bag = [], []
+        for k in range(0, max(1, len(words)), 16):
+            x = quality_mil.passages(pa.array([b" ".join(words[k : k + 16]).decode()]), 16)[0][0].astype(float)
+            h = np.array([np.tanh(x @ p["E"][:, j] + p["e"][j]) for j in range(quality_mil.HIDDEN)])
+            bag.append(h)
+            logits.append(sum(p["w"][j] * np.tanh(h @ p["V"][:, j]) * logistic(h @ p["U"][:, j]) for j in range(quality_mil.GATE)))
+        a = np.exp(np.array(logits) - max(logits))
+        a /= a.sum()
+        want = logistic(sum(w * (h @ p["c"]) for w, h in zip(a, bag, strict=True)) + p["d"][0])
+        assert got[r["doc_id"]]["score"] == pytest.approx(want, abs=1e-4) and got[r["doc_id"]]["attention"] == pytest.approx(a.max(), abs=1e-4)
+        assert got[r["doc_id"]]["passages"] == len(bag)
+
+
+def test_a_repeated_id_is_learned_from_once(spark):
+    rows = [(1, f"text {i} of the id") for i in range(300)] + [(2, "other words"), (3, None), (4, "w " * 5000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (1, 0), (2, 0), (3, 1), (4, 1), (9, 1)], "doc_id long, quality int")
+    x, count, y = quality_mil.sample(docs, labels, F.lit(True), 64, 4, 10, 4096)
+    assert y.tolist() == [0, 0, 1] and count.tolist() == [1, 1, 1]
+    assert quality_mil.sample(docs, labels, F.lit(True), 64, 4, 10, 9999)[1].tolist() == [1, 1, 1, 79]  # every passage
+
+
 def test_gradients():
     rng = np.random.default_rng(0)
     x, count, y = rng.random((9, quality_mil.WIDTH)).astype(np.float32), np.array([1, 3, 5]), np.array([1, 0, 1])

@@ -1,15 +1,15 @@
 """Quality by attention-based multiple-instance learning.
 
-A document is a bag of passages of ``passage`` words. Every passage is counted over hashed word endings (pairs and
-single ones) and shape measures, and encoded by a learned layer, h = tanh(x E + e). Gated attention weighs the
+A document is a bag of passages of ``passage`` words. Every passage is counted over hashed words, hashed pairs of
+neighbouring words, hashed word endings and shape measures, and encoded by a learned layer, h = tanh(x E + e). Gated attention weighs the
 passages, a = softmax(w . (tanh(V h) * sigmoid(U h))), and the document's score is sigmoid(c . sum(a h) + d). All
-weights are learned together from document labels by Adam, on the driver, from at most ``SAMPLE`` labelled documents
-of each class (those with the smallest id hash) and at most ``SAMPLE_PASSAGES`` passages of each of them; both are
-bounds of learning only. Every passage of every document is encoded when scoring.
+weights are learned together from document labels by Adam, on the driver, from a bounded sample: at most ``sample`` labelled
+documents of each class (those with the smallest id hash) among those of at most ``sample_words`` words, with all of their passages.
+When scoring, every passage of every document is encoded.
 
 Defined results: a null or empty text is one passage without words; without labels every score is 0.5; equal ids
-and repeated rows are scored row by row; a null doc_id is never held out and never learned from; an empty table
-gives no rows; other columns are not read.
+and repeated rows are scored row by row; of a labelled id with several texts the smallest is learned from; a null doc_id is never held
+out and never learned from; an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -21,53 +21,46 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_bytes, mix
+from .common import GOLD, by_bytes, mix, text_bytes, tidy, word_edges, word_hashes
 
-PAIRS, SINGLES, SHAPES = 512, 256, 8
-WIDTH = PAIRS + SINGLES + SHAPES
+WORDS, PAIRS, ENDINGS, SHAPES = 512, 512, 256, 8
+WIDTH = WORDS + PAIRS + ENDINGS + SHAPES
 HIDDEN, GATE = 32, 16
-SAMPLE = 1200
-SAMPLE_PASSAGES = 48
 
-_SPACE = np.zeros(256, dtype=bool)
-_SPACE[[32, 9, 10, 11, 12, 13]] = True
 _LETTER = np.array([chr(b).isalpha() and b < 128 or b >= 128 for b in range(256)])
 _UPPER = np.array([65 <= b <= 90 for b in range(256)])
 _DIGIT = np.array([48 <= b <= 57 for b in range(256)])
 
 
-def passages(texts: list[str | None], size: int) -> tuple[np.ndarray, np.ndarray]:
+def passages(texts: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Counts of every passage (rows of WIDTH, each row of shares), and the number of passages of each text."""
-    raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
-    data = np.frombuffer(b"".join(b" " + r + b" " for r in raw), dtype=np.uint8)
-    space = _SPACE[data]
-    start = np.flatnonzero(space[:-1] & ~space[1:]) + 1
-    end = np.flatnonzero(~space[:-1] & space[1:]) + 1
-    text_of = np.searchsorted(np.cumsum([len(r) + 2 for r in raw]), start, side="right")
-    words = np.bincount(text_of, minlength=len(raw))
+    data, offsets = text_bytes(texts)
+    start, end, words = word_edges(data, offsets)
+    word, _ = word_hashes(texts)
+    text_of = np.repeat(np.arange(len(words)), words)
     count = np.maximum(1, -(-words // size))
-    first_word = np.concatenate([[0], np.cumsum(words)[:-1]])
+    first_word = np.cumsum(words) - words
     passage = (np.cumsum(count) - count)[text_of] + (np.arange(len(start)) - first_word[text_of]) // size
     total = int(count.sum())
     out = np.zeros((total, WIDTH), dtype=np.float32)
     if len(start):
         last = data[end - 1].astype(np.uint64) | np.where(end - start > 1, data[end - 2], 0).astype(np.uint64) << np.uint64(8)
-        single = (mix(last) % np.uint64(SINGLES)).astype(np.int64)
-        pair = (mix(last[:-1] * np.uint64(65536) + last[1:]) % np.uint64(PAIRS)).astype(np.int64)
+        bucket = lambda h, n: (mix(h + GOLD) % np.uint64(n)).astype(np.int64)
+        with np.errstate(over="ignore"):
+            pair = bucket(word[:-1] * GOLD + word[1:], PAIRS)
         together = passage[:-1] == passage[1:]
         n = np.bincount(passage, minlength=total)
-        cells = np.concatenate([passage[:-1][together] * WIDTH + pair[together], passage * WIDTH + PAIRS + single])
-        out[:] = np.bincount(cells, minlength=total * WIDTH).reshape(total, WIDTH)
-        sums = lambda flag: np.concatenate([[0], np.cumsum(flag[data])])
+        cells = [passage * WIDTH + bucket(word, WORDS), passage[:-1][together] * WIDTH + WORDS + pair[together], passage * WIDTH + WORDS + PAIRS + bucket(last, ENDINGS)]
+        out[:] = np.bincount(np.concatenate(cells), minlength=total * WIDTH).reshape(total, WIDTH)
+        sums = lambda flag: np.concatenate([[0], np.cumsum(flag[data], dtype=np.int32)])
         length = (end - start).astype(np.float64)
         of = lambda c: np.bincount(passage, c[end] - c[start], total)
         letters, upper, digits = (of(sums(f)) for f in (_LETTER, _UPPER, _DIGIT))
         chars = np.maximum(1.0, np.bincount(passage, length, total))
-        same = np.bincount(passage[:-1], (last[:-1] == last[1:]) & together, total)
+        same = np.bincount(passage[:-1], (word[:-1] == word[1:]) & together, total)
         shapes = [letters / chars, upper / chars, digits / chars, 1 - (letters + digits) / chars, chars / np.maximum(1, n) / 10, same / np.maximum(1, n), np.minimum(1, n / size), np.bincount(passage, length == 1, total) / np.maximum(1, n)]
-        out[:, :PAIRS] /= np.maximum(1, n)[:, None] / 4
-        out[:, PAIRS : PAIRS + SINGLES] /= np.maximum(1, n)[:, None] / 4
-        out[:, PAIRS + SINGLES :] = np.stack(shapes, axis=1) * (n > 0)[:, None]
+        out[:, : WIDTH - SHAPES] /= np.maximum(1, n)[:, None] / 4
+        out[:, WIDTH - SHAPES :] = np.stack(shapes, axis=1) * (n > 0)[:, None]
     return out, count
 
 
@@ -134,42 +127,34 @@ def fit(x: np.ndarray, count: np.ndarray, y: np.ndarray, seed: int = 4, epochs:
     return p
 
 
-def sample(docs: DataFrame, labels: DataFrame, learning: Column, size: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Encoded passages, passages of each document, and labels of the learning sample."""
-    ask = labels.filter(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).filter(learning).select(F.col("doc_id").cast("long"), F.col("quality").cast("int").alias("y"))
+def sample(docs: DataFrame, labels: DataFrame, learning: Column, size: int, seed: int, most: int, most_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Passages, passages of each document, and labels of the learning sample: at most 2 x ``most`` texts of ``most_words`` words."""
+    ask = labels.filter(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).filter(learning).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("y"))
     ask = ask.groupBy("doc_id").agg(F.min("y").alias("y"))
-    each = [ask.filter(F.col("y") == k).orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(SAMPLE) for k in (0, 1)]
-    chosen = F.broadcast(each[0].unionByName(each[1]))  # at most 2 * SAMPLE rows
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in by_bytes(batches, limit=1 << 20):
-            x, count = passages(batch.column("text").to_pylist(), size)
-            bodies, at, n = [], 0, []
-            for c in count.tolist():
-                own = x[at : at + c][np.unique(np.linspace(0, c - 1, min(c, SAMPLE_PASSAGES)).astype(int))]
-                bodies.append(own.astype(np.float16).tobytes())
-                n.append(len(own))
-                at += c
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("y"), pa.array(n, pa.int64()), pa.array(bodies, pa.binary())], names=["doc_id", "y", "n", "body"])
-
-    found = docs.join(chosen, "doc_id").select("doc_id", "y", "text").mapInArrow(run, "doc_id long, y int, n long, body binary")
-    rows = sorted(found.collect(), key=lambda r: (r["doc_id"], r["body"]))[: 4 * SAMPLE]
-    x = np.concatenate([np.zeros((0, WIDTH), np.float32), *(np.frombuffer(r["body"], dtype=np.float16).reshape(r["n"], WIDTH).astype(np.float32) for r in rows)])
-    return x, np.array([r["n"] for r in rows], dtype=np.int64), np.array([r["y"] for r in rows], dtype=np.int64)
-
-
-def score(docs: DataFrame, labels: DataFrame, held_out: Column, size: int = 64, threshold: float = 0.3, seed: int = 4) -> DataFrame:
+    # more ids than are needed, as some have no text or too long a one
+    each = [ask.filter(F.col("y") == k).orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(2 * most) for k in (0, 1)]
+    chosen = F.broadcast(each[0].unionByName(each[1]))  # at most 4 x ``most`` rows
+    texts = docs.join(chosen, "doc_id").select("doc_id", "y", "text")
+    short = F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)) <= most_words
+    texts = texts.filter(short).groupBy("doc_id", "y").agg(F.min("text").alias("text"))
+    rows = [texts.filter(F.col("y") == k).orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(most) for k in (0, 1)]
+    got = sorted(rows[0].unionByName(rows[1]).collect(), key=lambda r: r["doc_id"])
+    x, count = passages(pa.array([r["text"] for r in got], pa.string()), size)
+    return x, count, np.array([r["y"] for r in got], dtype=np.int64)
+
+
+def score(docs: DataFrame, labels: DataFrame, held_out: Column, size: int = 64, threshold: float = 0.3, seed: int = 4, sample_docs: int = 1200, sample_words: int = 4096) -> DataFrame:
     """doc_id, held_out, score, predicted, passages, attention (the largest weight). Learns from labels that are not held out."""
     read = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), held_out.alias("held_out"))
-    weights = fit(*sample(read, labels, ~held_out, size, seed), seed=seed)
+    weights = fit(*sample(read, labels, ~held_out, size, seed, sample_docs, sample_words), seed=seed)
     shared = docs.sparkSession.sparkContext.broadcast(weights)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in by_bytes(batches, limit=1 << 20):
-            x, count = passages(batch.column("text").to_pylist(), size)
+        for batch in by_bytes(batches, limit=1 << 19, per_row=512):
+            x, count = passages(batch.column("text"), size)
             f = forward(shared.value, x, count)
             score = f["score"].astype(np.float64)
             most = np.maximum.reduceat(f["a"], f["first"]).astype(np.float64)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(score), pa.array((score >= threshold).astype(np.int32)), pa.array(count), pa.array(most)], names=["doc_id", "held_out", "score", "predicted", "passages", "attention"])
 
-    return read.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int, passages long, attention double")
+    return read.mapInArrow(tidy(run), "doc_id long, held_out boolean, score double, predicted int, passages long, attention double")

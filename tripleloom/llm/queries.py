@@ -48,7 +48,7 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.store_and_read(documents(spark, sf_dir)).drop("duration_s", "frames", "seek_offsets")
+    return media.store_and_read(documents(spark, sf_dir))
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
