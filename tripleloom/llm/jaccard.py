@@ -417,6 +417,12 @@ def split_by_ids(rows: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]
     return tuple(met.filter(c).select(rows.columns) for c in (~may, may))
 
 
+def without(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows whose doc_id is not among ``ids``."""
+    sure, doubtful = split_by_ids(rows, ids)
+    return sure.unionByName(doubtful.join(ids.select("doc_id"), "doc_id", "left_anti").select(rows.columns))
+
+
 def links(docs: DataFrame, tiles: DataFrame, n: int, percent: int) -> DataFrame:
     """Verified links (a, b) of all tiles."""
 
@@ -448,22 +454,22 @@ def links(docs: DataFrame, tiles: DataFrame, n: int, percent: int) -> DataFrame:
     return asked.select("tile", "side", "doc_id", "body").repartition("tile").sortWithinPartitions("tile").mapInArrow(tidy(solve), "a long, b long")
 
 
-def join(docs: DataFrame, n: int = 3, percent: int = 90, tile_docs: int = 2000) -> DataFrame:
+def join(docs: DataFrame, n: int = 3, percent: int = 90, tile_docs: int = 256) -> DataFrame:
     """doc_id, n_shingles, component_id of every row. See the module's text."""
     read = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     signed = stored(sign(read, n), "signed")
     rows = signed.filter("chunk is null").select("doc_id", "n", "f1", "f2")
     named = read.filter("doc_id is not null")
-    edges = stored(candidate_edges(named, n, percent, common_shingles(signed)), "candidates")
     full = rows.filter("doc_id is not null and n > 0")
     classes = stored(full.groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("top")).filter("rep < top").drop("top"), "classes")
     copies = stored(full.join(classes, ["n", "f1", "f2"]).filter("doc_id != rep").select("doc_id", "rep").distinct(), "copies")
     same = copies.select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
-    near = components(edges.unionByName(same))
-    # a copy is left out of the tiles, but a document of several different rows never is
+    # from here on one document stands for its copies; a document of several different rows is never left out
     digests = full.groupBy("doc_id").agg(*(g(c).alias(f"{g.__name__}_{c}") for c in ("n", "f1", "f2") for g in (F.min, F.max)))
     alike = digests.filter("min_n = max_n and min_f1 = max_f1 and min_f2 = max_f2").select("doc_id")
-    left_out = copies.join(alike, "doc_id", "left_semi")
+    left_out = stored(copies.join(alike, "doc_id", "left_semi").select("doc_id").distinct(), "left-out")
+    edges = stored(candidate_edges(without(named, left_out), n, percent, common_shingles(signed)), "candidates")
+    near = components(edges.unionByName(same))
     sizes = full.select("doc_id", "n").distinct()  # a row for each size that a document has
     members = near.withColumnRenamed("node", "doc_id").join(left_out, "doc_id", "left_anti").join(sizes, "doc_id").select("doc_id", "comp", "n")
     members = stored(members, "members")
@@ -481,5 +487,4 @@ def join(docs: DataFrame, n: int = 3, percent: int = 90, tile_docs: int = 2000)
 def keep_one(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """The rows of docs without those linked to a document of smaller doc_id; all columns stay."""
     gone = stored(join(docs, n, percent).filter("component_id < doc_id").select("doc_id").distinct(), "gone")
-    sure, doubtful = split_by_ids(docs, gone)
-    return sure.unionByName(doubtful.join(gone, "doc_id", "left_anti").select(docs.columns))
+    return without(docs, gone)

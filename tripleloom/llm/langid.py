@@ -31,7 +31,7 @@ from .common import GOLD, by_bytes, mix, tidy
 UND = "und"
 MAX_LANGUAGES = 2000
 #: Cells of the matrix (texts x distinct 3-grams) that are bundled at once, and 3-grams that are bound at once.
-CELLS, BOUND = 1 << 20, 2048
+CELLS, BOUND = 1 << 22, 2048
 
 
 @cache
@@ -68,16 +68,30 @@ def gram_counts(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, n
     has = np.bincount(owner[letter], minlength=len(texts)) > 0
     if len(letters) < 3:
         return np.empty(0, np.int64), np.empty((0, 3), np.uint32), np.empty(0, np.int64), has
-    alphabet, place = np.unique(letters, return_inverse=True)
+    alphabet, place = compact(letters)
     inside = np.flatnonzero((owner[:-2] == owner[2:]) & (letters[1:-1] > 0))
     size = np.uint64(len(alphabet))
-    place = place.astype(np.uint64)
     grams = (place[inside] * size + place[inside + 1]) * size + place[inside + 2]  # below 2^61: there are 1.1 million code points
-    distinct, gram = np.unique(grams, return_inverse=True)
-    keys, counts = np.unique(owner[inside] * len(distinct) + gram, return_counts=True)
-    found = distinct[keys % max(1, len(distinct))]
+    span = int(size) ** 3
+    if span * len(texts) < 1 << 62:
+        keys, counts = np.unique(owner[inside].astype(np.uint64) * np.uint64(span) + grams, return_counts=True)
+        rows, found = (keys // np.uint64(span)).astype(np.int64), keys % np.uint64(span)
+    else:
+        distinct, gram = np.unique(grams, return_inverse=True)
+        keys, counts = np.unique(owner[inside] * len(distinct) + gram, return_counts=True)
+        rows, found = keys // max(1, len(distinct)), distinct[keys % max(1, len(distinct))]
     three = np.stack([alphabet[(found // (size * size)).astype(np.int64)], alphabet[(found // size % size).astype(np.int64)], alphabet[(found % size).astype(np.int64)]], axis=1)
-    return keys // max(1, len(distinct)), three, counts, has
+    return rows, three, counts, has
+
+
+def compact(letters: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct letters, sorted, and the place of each letter among them."""
+    if letters.max() >= 0x10000:
+        alphabet, place = np.unique(letters, return_inverse=True)
+        return alphabet, place.astype(np.uint64)
+    seen = np.zeros(0x10000, dtype=bool)
+    seen[letters] = True
+    return np.flatnonzero(seen).astype(np.uint32), (np.cumsum(seen) - 1).astype(np.uint64)[letters]
 
 
 def bound(grams: np.ndarray, dims: int, seed: int) -> np.ndarray:

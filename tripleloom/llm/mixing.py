@@ -7,9 +7,9 @@ capacity is what its parent sees. The share at a node has a closed form: childre
 capacity / weight are full as long as capacity <= weight x rest / weight left.
 
 A leaf with budget b and c tokens gives b // c full epochs and b % c tokens more: the first tokens of its documents
-in the order of md5(seed:epoch:doc_id). No row is sorted for that: sums by the first three digits of the hash find, for
-each leaf, where its budget ends, sums by document within those digits find the one document that is cut, and every row
-compares its own place with that. So a leaf with most of the rows costs 4,096 sums.
+in the order of md5(seed:epoch:doc_id). No row is sorted for that: sums by the first two digits of the hash, then by the next two
+within those, find for each leaf where its budget ends, sums by document within these four digits find the one document that is
+cut, and every row compares its own place with that. So a leaf with most of the rows costs 256 sums twice, and a 65,536th of its rows.
 
 Defined results: a null text has no tokens and is never taken; null source or language is a leaf of its own;
 weights that are not given count ``other`` (weight 0: never taken); equal ids are separate rows, in the order of their token counts;
@@ -96,6 +96,8 @@ def budgets(leaves: DataFrame, mix: Mix) -> DataFrame:
 
 
 LEAF = ["domain", "lang", "source"]
+#: First digits of the hash by which a leaf's tokens are summed, level by level.
+DIGITS = (2, 4)
 
 
 def leaf_join(rows: DataFrame, plan: DataFrame, how: str = "inner") -> DataFrame:
@@ -129,11 +131,14 @@ def cuts(rows: DataFrame, mix: Mix) -> DataFrame:
         F.when(F.col("tokens") > 0, F.expr("leaf_budget % tokens")).otherwise(0).cast("long").alias("rest"),
     )
     plan = stored(plan, "mix-plan")
-    keyed = leaf_join(rows.filter("n_tokens > 0"), plan).withColumn("h", key_of(mix.seed, F.col("doc_id"), F.col("text_hash"))).withColumn("hh", F.substring("h", 1, 3))
-    sums = keyed.groupBy(*LEAF, "hh").agg(F.sum("n_tokens").alias("of"), F.first("rest").alias("rest"))  # at most 4,096 rows a leaf
-    before = F.coalesce(F.sum("of").over(Window.partitionBy(*LEAF).orderBy("hh").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ends = stored(sums.withColumn("before", before).filter("before <= rest and rest < before + of").select(*LEAF, F.col("hh").alias("end"), "before"), "mix-ends")
-    near = leaf_join(keyed, ends).filter("hh = end").groupBy(*LEAF, "h", "doc_id", "n_tokens").agg(F.count(F.lit(1)).alias("same"), F.first("rest").alias("rest"), F.first("before").alias("before"))
+    keyed = leaf_join(rows.filter("n_tokens > 0"), plan).withColumn("h", key_of(mix.seed, F.col("doc_id"), F.col("text_hash")))
+    ends = None
+    for digits in DIGITS:  # at most 256 sums a leaf at each level
+        sums = keyed.groupBy(*LEAF, F.substring("h", 1, digits).alias("hh")).agg(F.sum("n_tokens").alias("of"), F.first("rest").alias("rest"), *([F.first("from").alias("from")] if ends else []))
+        at = F.sum("of").over(Window.partitionBy(*LEAF).orderBy("hh")) - F.col("of") + (F.col("from") if ends else F.lit(0))
+        ends = stored(sums.withColumn("from", at).filter("from <= rest and rest < from + of").select(*LEAF, F.col("hh").alias("end"), "from"), "mix-ends")
+        keyed = leaf_join(keyed.drop("end", "from"), ends).filter(F.col("h").startswith(F.col("end")))
+    near = keyed.groupBy(*LEAF, "h", "doc_id", "n_tokens").agg(F.count(F.lit(1)).alias("same"), F.first("rest").alias("rest"), F.first("from").alias("before"))
     place = Window.partitionBy(*LEAF).orderBy("h", F.col("doc_id").asc_nulls_first(), "n_tokens")
     own = F.col("same") * F.col("n_tokens")
     found = near.withColumn("at", F.col("before") + F.sum(own).over(place) - own).filter((F.col("at") <= F.col("rest")) & (F.col("rest") < F.col("at") + own))
