@@ -40,3 +40,23 @@ def test_last_access(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert {(r["event"], str(r["last_accessed"])) for r in spark.table("seen").collect()} == {("e1", "2024-01-01 01:00:00"), ("e2", "2024-01-01 00:30:00")}
+
+
+def test_history_is_capped(spark, tmp_path):
+    folder, schema = f"file://{tmp_path}/turns", "conv_id long, turn long, role string, text string"
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+    def run(rows):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(folder)
+        out = ingest.history_stream(ingest.turns_of(spark, folder), cap=4, window=2)
+        write = out.writeStream.foreachBatch(lambda df, _: df.write.mode("append").parquet(f"file://{tmp_path}/out")).outputMode("update")
+        write.option("checkpointLocation", f"file://{tmp_path}/c").trigger(availableNow=True).start().awaitTermination()
+        return {(r["session"], r["kept"], r["last_turn"], r["recent"]) for r in spark.read.parquet(f"file://{tmp_path}/out").collect()}
+
+    try:
+        first = run([(1, 0, "user", "a"), (1, 1, "model", "b"), (2, 0, "user", "x")])
+        assert first == {(1, 2, 1, "user: a\nmodel: b"), (2, 1, 0, "user: x")}
+        assert run([(1, t, "user", str(t)) for t in range(2, 7)]) - first == {(1, 4, 6, "user: 5\nuser: 6")}
+    finally:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)

@@ -67,7 +67,7 @@ def expand(graph: Graph, seeds: DataFrame, community: int | None, params: Params
     edges = projection(graph, similar=not params.weighted, weighted=params.weighted)
     start = seeds.select(F.concat(F.lit("N:"), "text").alias("node"))
     nodes = graph.entities.select(F.concat(F.lit("N:"), "text").alias("node")).unionByName(graph.events.select(F.concat(F.lit("E:"), "text").alias("node")))
-    ranks = pagerank(edges, start.join(nodes, "node", "left_semi"), params.damping, params.iterations)
+    ranks = pagerank(edges, start.join(nodes, "node", "left_semi"), params.damping, params.iterations).withColumn("score", F.round("score", 9))  # equal ranks tie, whatever the order of their sums
     top = top_nodes(ranks, nodes, params.top_nodes, params.min_score)
     return boosted(facts_of(graph, top), NO_TOPIC if community is None else community, params.top_rows)
 

@@ -30,6 +30,17 @@ def search(graph: Graph, vector: list[float], params: Params) -> DataFrame:
     return around(graph, anchor)
 
 
+def knowledge(graph: Graph, anchors: DataFrame) -> DataFrame:
+    """A row for each anchor (text) that is an entity: its facts as lists, as subject (outgoing) and as object (incoming), each in order."""
+    t, names = triples(graph), graph.entities.select("text").join(anchors.select("text").distinct(), "text", "left_semi")
+    line = triple_text(F.col("subject"), F.col("event"), F.col("object"))
+    out = names
+    for side, name in (("subject", "outgoing"), ("object", "incoming")):
+        own = t.join(names.withColumnRenamed("text", side), side, "left_semi").groupBy(F.col(side).alias("text")).agg(F.array_sort(F.collect_set(line)).alias(name))
+        out = out.join(own, "text", "left").withColumn(name, F.coalesce(name, F.array().cast("array<string>")))
+    return out
+
+
 def search_report(facts: DataFrame) -> DataFrame:
     """triple, is_current, start_date as text; a missing date is the word None; rows without a relation go."""
     named = facts.filter(F.col("relation").isNotNull() & (F.col("relation") != ""))

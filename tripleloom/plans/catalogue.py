@@ -8,10 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import extract, text
-from ..operators import communities, fuzzy, history, ingest, maintain, nearest, pagerank, reason, resolve, retrieve, search, steiner
+from ..operators import agent, communities, fuzzy, history, ingest, maintain, nearest, pagerank, reason, resolve, retrieve, search, stages, steiner, vector_index
 from ..schema import BATCH, Params
 from ..sources import store
+from ..sources.scratch import scratch
 from ..sources.fixtures import NOW_MS, event_graph, name, order_graph, table, vector_graph, vector_of
+from ..streaming.ingest import last_access
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -250,13 +252,9 @@ SELECT substr(u, 3) AS subject, substr(e, 3) AS relation, substr(t, 3) AS object
 FROM ev JOIN events ON e = 'E:e' || event_id WHERE u IN (FROM top) OR e IN (FROM top) OR t IN (FROM top)
 ORDER BY CASE WHEN user_id % 10 = 1 THEN 1 ELSE 0 END DESC, created_at DESC NULLS FIRST, subject, relation, object LIMIT 15""")
 def retrieve_flagship(spark, sf):
-    """Decay, project, rank from one user, keep 30 nodes, restore facts, boost the user's topic, 15 rows."""
+    """Decay, then the whole retrieval from one user's name: seeds, dominant community, rank, 30 nodes, their facts, topic first, 15 rows."""
     g = maintain.refresh_weights(event_graph(spark, sf), NOW_MS, Params())
-    seeds = spark.createDataFrame([("u1",)], "text string")
-    best = retrieve.dominant_community(g.entities.join(seeds, "text", "left_semi")).first()["community_id"]
-    ranks = pagerank.pagerank(maintain.projection(g, False, True), seeds.select(F.concat(F.lit("N:"), "text").alias("node")))
-    top = retrieve.top_nodes(ranks.withColumn("score", F.round("score", 9)), ranks, 30, 0.0)
-    return retrieve.boosted(retrieve.facts_of(g, top), best, 15)
+    return retrieve.retrieve(g, [0.0], ["u1"], Params.v1())
 
 
 @query(f"""WITH {ORDERS} SELECT subject, t.event AS relation, object, o_orderpriority AS context_text, c_nationkey::BIGINT AS community, o_orderstatus <> 'F' AS is_current, (epoch_us(o_orderdate) // 1000) AS created_at
@@ -325,12 +323,12 @@ def fuzzy_match(spark, sf):
     return fuzzy.fuzzy_hits(asked, names, 3).select("qkey", "entity", F.round("score", 6).alias("score"))
 
 
-@query()
+@query("SELECT DISTINCT p_name AS stored, round(2.0::DOUBLE * length(p_name) / (2 * length(p_name) + 1), 6) AS longer, round(2.0::DOUBLE * (length(p_name) - 1) / (2 * length(p_name) - 1), 6) AS shorter FROM part")
 def sequence_ratio(spark, sf):
-    """Matching-blocks ratio of each part name with its next one by name."""
-    names = table(spark, sf, "part").select("p_name").distinct()
-    pairs = fuzzy.fuzzy_hits(names.select(F.col("p_name").alias("qkey"), F.col("p_name").alias("text")), names.select(F.col("p_name").alias("text")), 5)
-    return pairs.select(F.col("qkey").alias("candidate"), "entity", F.round(text.sequence_ratio(F.col("qkey"), F.col("entity")), 6).alias("ratio"))
+    """Matching-blocks ratio of each part name with itself and a letter more, and without its first letter."""
+    names = table(spark, sf, "part").select(F.col("p_name").alias("stored")).distinct()
+    p = F.col("stored")
+    return names.select("stored", F.round(text.sequence_ratio(F.concat(p, F.lit("~")), p), 6).alias("longer"), F.round(text.sequence_ratio(F.expr("substr(stored, 2)"), p), 6).alias("shorter"))
 
 
 @query(r"""SELECT token, count(*) AS n FROM (SELECT unnest(regexp_split_to_array(text, '[ \t\n\x0b\f\r]+')) AS token FROM documents) WHERE token <> '' GROUP BY token""")
@@ -379,13 +377,16 @@ def prompt_window(spark, sf):
     return history.prompt_window(table(spark, sf, "conversations"), "conv_id", "turn", "role", "text", 3).withColumnRenamed("window", "window_text")
 
 
-@query(f"""WITH {ORDERS}, l AS (SELECT c_nationkey::BIGINT AS community, o_orderpriority AS context_text, '(' || subject || ')-[' || t.event || ']->(' || object || ')' || CASE WHEN o_orderstatus <> 'F' THEN '' ELSE ' [past]' END AS line
-FROM tri t JOIN orders ON 'O' || o_orderkey = t.event JOIN customer ON c_custkey = o_custkey)
-SELECT community, 'topic ' || community AS topic, context_text, md5(string_agg(line, chr(10) ORDER BY line)) AS facts_md5 FROM l GROUP BY community, context_text""")
+@query(f"""WITH {ORDERS}, top AS (SELECT c_nationkey::BIGINT AS community, o_orderpriority AS context_text, o_orderstatus <> 'F' AS now_, subject, t.event AS relation, object
+FROM tri t JOIN orders ON 'O' || o_orderkey = t.event JOIN customer ON c_custkey = o_custkey
+ORDER BY CASE WHEN c_nationkey = 7 THEN 1 ELSE 0 END DESC, (epoch_us(o_orderdate) // 1000) DESC NULLS FIRST, subject, relation, object LIMIT 15),
+l AS (SELECT *, '(' || subject || ')-[' || relation || ']->(' || object || ')' || CASE WHEN now_ THEN '' ELSE ' [past]' END AS line FROM top)
+SELECT community, 'topic ' || community AS topic, context_text, string_agg(line, chr(10) ORDER BY line) AS facts FROM l GROUP BY community, context_text""")
 def retrieval_report(spark, sf):
+    """The 15 rows that a retrieval returns, as text by community and context."""
     g = order_graph(spark, sf)
     every = g.events.select(F.concat(F.lit("E:"), "text").alias("node"))
-    return retrieve.report(retrieve.facts_of(g, every)).select("community", "topic", "context_text", F.md5("facts").alias("facts_md5"))
+    return retrieve.report(retrieve.boosted(retrieve.facts_of(g, every), 7, Params().top_rows))
 
 
 # ---- writes ----
@@ -471,6 +472,260 @@ def delete_event_orphans(spark, sf):
     return search.delete_events(g, g.events.filter("not is_current").select("text")).entities.select("text")
 
 
+# ---- single operators ----
+
+
+@query("""SELECT 'Entity' AS label, 'C' || c_custkey AS text, c_nationkey::BIGINT AS community_id FROM customer WHERE c_custkey IN (1, 3, 7)
+UNION ALL SELECT 'Event', 'O' || o_orderkey, c_nationkey FROM orders LEFT JOIN customer ON o_custkey = c_custkey WHERE o_orderkey IN (1, 2)""")
+def lookup_nodes(spark, sf):
+    """Nodes by id; those that are not there give no row."""
+    asked = [("Entity", "C1"), ("Entity", "C3"), ("Entity", "C7"), ("Event", "O1"), ("Event", "O2"), ("Event", "C1"), ("Context", "none")]
+    return store.lookup(order_graph(spark, sf), asked).select("label", "text", "community_id")
+
+
+@query("""SELECT * FROM (VALUES ('contexts', 'text'), ('edges_derived', 'event'), ('edges_derived', 'context'), ('edges_similar', 'src'), ('edges_similar', 'dst'), ('edges_source', 'entity'), ('edges_source', 'event'),
+('edges_target', 'event'), ('edges_target', 'entity'), ('entities', 'text'), ('events', 'text')) v(frame, key_column)""")
+def catalog_keys(spark, sf):
+    return store.catalog(order_graph(spark, sf)).filter("is_key").select("frame", F.col("column").alias("key_column"))
+
+
+def _saved(spark, sf) -> store.Store:
+    s = store.Store(spark, scratch(spark, "store"))
+    s.commit(order_graph(spark, sf), check=True)
+    return s
+
+
+HELD = """SELECT 'entities' AS frame, (SELECT count(*) FROM customer) + (SELECT count(*) FROM part) AS rows UNION ALL SELECT 'events', count(*) FROM orders UNION ALL SELECT 'contexts', count(DISTINCT o_orderpriority) FROM orders
+UNION ALL SELECT 'edges_source', count(*) FROM orders UNION ALL SELECT 'edges_target', count(*) FROM (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem) UNION ALL SELECT 'edges_derived', count(*) FROM orders UNION ALL SELECT 'edges_similar', 0"""
+
+
+@query(f"SELECT frame, 1::BIGINT AS version, rows::BIGINT AS rows FROM ({HELD})")
+def store_health(spark, sf):
+    """Commit with the key check, then read every frame."""
+    return _saved(spark, sf).health()
+
+
+@query("SELECT frame, 2::BIGINT AS version, 0::BIGINT AS rows FROM (VALUES ('entities'), ('events'), ('contexts'), ('edges_source'), ('edges_target'), ('edges_derived'), ('edges_similar')) v(frame)")
+def store_clear(spark, sf):
+    s = _saved(spark, sf)
+    s.clear()
+    s.prune(1)
+    return s.health()
+
+
+@query("SELECT n_name || 'X' AS mention, n_name AS resolved, 'spelling' AS how FROM nation UNION ALL SELECT 'Y', 'Y', 'new' UNION ALL SELECT 'ZZZZZZZZZZ', 'ZZZZZZZZZZ', 'new'")
+def resolve_spelling(spark, sf):
+    """Names with a letter more resolve by spelling; too short or too far ones are new."""
+    n = table(spark, sf, "nation")
+    held = n.select(F.col("n_name").alias("text"), F.array(F.lit(1.0), F.lit(0.0)).alias("embedding"))
+    said = n.select(F.concat("n_name", F.lit("X")).alias("mention")).unionByName(spark.createDataFrame([("Y",), ("ZZZZZZZZZZ",)], "mention string"))
+    asked = said.select("mention", F.col("mention").alias("text"), F.array(F.lit(-1.0), F.lit(0.0)).alias("embedding"))
+    return resolve.resolve(asked, held, Params.v1()).select("mention", "resolved", "how")
+
+
+@query(f"""SELECT 'E' || b.vec_id AS text, round((1 + {COSINE}) / 2, 6) AS score FROM (SELECT * FROM embeddings WHERE vec_id = 5) a, (SELECT * FROM embeddings WHERE vec_id < (SELECT max(vec_id) FROM embeddings)) b
+WHERE (1 + {COSINE}) / 2 >= 0.5 QUALIFY row_number() OVER (ORDER BY {COSINE} DESC, 'E' || b.vec_id) <= 3""")
+def event_candidates(spark, sf):
+    """The nearest events to a vector, at or over a threshold."""
+    g = vector_graph(spark, sf)
+    return nearest.top_k(g.events, "text", vector_of(g, "V5"), 3, 0.5).select("text", F.round("score", 6).alias("score"))
+
+
+@query(f"""WITH m AS (SELECT a.vec_id, b.vec_id AS b, {COSINE} AS score FROM embeddings a, embeddings b WHERE a.vec_id <> b.vec_id QUALIFY row_number() OVER (PARTITION BY a.vec_id ORDER BY {COSINE} DESC, 'V' || b.vec_id) = 1)
+SELECT 'V' || vec_id AS qkey, 'V' || b AS ckey, round(score, 6) AS score FROM m""")
+def nearest_other(spark, sf):
+    """The one nearest other vector of each vector."""
+    e = vector_graph(spark, sf).entities
+    near = nearest.nearest(e.select(F.col("text").alias("qkey"), "embedding"), e.select(F.col("text").alias("ckey"), "embedding"), 2, "raw").filter("qkey != ckey")
+    best = near.groupBy("qkey").agg(F.min_by(F.struct("ckey", "score"), F.struct(-F.col("score"), F.col("ckey"))).alias("b"))
+    return best.select("qkey", "b.ckey", F.round("b.score", 6).alias("score"))
+
+
+@query("SELECT count(*) AS n, true AS reached FROM embeddings")
+def vector_index_recall(spark, sf):
+    """Every vector is in the index, and with probes fitted on other rows at least 0.9 of the 10 nearest of every hundredth vector are found."""
+    e = vector_graph(spark, sf).entities
+    index = vector_index.build(e, "text", scratch(spark, "vectors"))
+    asked = e.filter(F.expr("cast(substr(text, 2) as bigint) % 100 = 0")).select(F.col("text").alias("qkey"), "embedding")
+    exact = nearest.nearest(asked, e.select(F.col("text").alias("ckey"), "embedding"), 10, "raw").select("qkey", "ckey", F.lit(1).alias("exact"))
+    found = vector_index.nearest(asked, index, 10, vector_index.probes_for(index, 10), "raw").select("qkey", "ckey", F.lit(1).alias("found"))
+    recall = exact.join(found, ["qkey", "ckey"], "left").agg((F.sum(F.coalesce("found", F.lit(0))) / F.count("exact")).alias("recall"))
+    return index.rows().agg(F.count(F.lit(1)).alias("n")).join(F.broadcast(recall), F.lit(True)).select("n", (F.col("recall") >= 0.9).alias("reached"))
+
+
+@query(f"""WITH q AS (SELECT * FROM (VALUES {TYPO_SQL}) v(query)), n AS (SELECT DISTINCT p_name AS entity FROM part),
+t AS (SELECT entity, unnest(string_split(lower(entity), ' ')) AS token FROM n),
+h AS (SELECT query AS qkey, entity, max(1 - levenshtein(query, token)::DOUBLE / greatest(length(query), length(token))) AS score FROM q, t WHERE levenshtein(query, token) <= 2 GROUP BY 1, 2)
+SELECT qkey, entity, round(score, 6) AS score FROM h QUALIFY row_number() OVER (PARTITION BY qkey ORDER BY score DESC, entity) <= 3""")
+def text_index_match(spark, sf):
+    """The same through a persisted full-text index."""
+    names = table(spark, sf, "part").select(F.col("p_name").alias("text")).distinct()
+    index = fuzzy.build_index(names, scratch(spark, "texts"))
+    asked = spark.createDataFrame([(t, t) for t in TYPOS], "qkey string, text string")
+    return fuzzy.fuzzy_hits(asked, index, 3).select("qkey", "entity", F.round("score", 6).alias("score"))
+
+
+@query("""SELECT 'V5' AS subject, 'E5' AS relation, 'V6' AS object, true AS is_current UNION ALL SELECT 'V4', 'E4', 'V5', true""")
+def search_nearest(spark, sf):
+    """What is known around the entity nearest to a vector."""
+    g = vector_graph(spark, sf)
+    return search.search(g, vector_of(g, "V5"), Params.v1()).drop("start_date")
+
+
+@query(f"""WITH {ORDERS}, l AS (SELECT subject, object, '(' || subject || ')-[' || event || ']->(' || object || ')' AS line FROM tri), a AS (SELECT * FROM (VALUES ('C1'), ('C2'), ('P1')) v(text)),
+e AS (SELECT text FROM a WHERE text IN (SELECT 'C' || c_custkey FROM customer UNION ALL SELECT 'P' || p_partkey FROM part))
+SELECT text, coalesce((SELECT string_agg(DISTINCT line, '|' ORDER BY line) FROM l WHERE subject = text), '') AS outgoing, coalesce((SELECT string_agg(DISTINCT line, '|' ORDER BY line) FROM l WHERE object = text), '') AS incoming FROM e""")
+def knowledge_lists(spark, sf):
+    """Facts of each entity as lists, as subject and as object."""
+    anchors = spark.createDataFrame([("C1",), ("C2",), ("P1",)], "text string")
+    k = search.knowledge(order_graph(spark, sf), anchors)
+    return k.select("text", F.array_join("outgoing", "|").alias("outgoing"), F.array_join("incoming", "|").alias("incoming"))
+
+
+@query(f"""WITH near AS (SELECT 'V' || b.vec_id AS text, b.vec_id, a.vec_id AS of_, (1 + {COSINE}) / 2 AS score FROM (SELECT * FROM embeddings WHERE vec_id IN (0, 1)) a, embeddings b
+WHERE (1 + {COSINE}) / 2 >= 0.5 QUALIFY row_number() OVER (PARTITION BY a.vec_id ORDER BY {COSINE} DESC, 'V' || b.vec_id) <= 30),
+rel AS (SELECT a.vec_id, (1 + {COSINE}) / 2 AS e_score FROM embeddings a, (SELECT * FROM embeddings WHERE vec_id = 0) b)
+SELECT s.text AS subject, 'E' || s.vec_id AS event, o.text AS object, round(s.score * o.score * e_score, 6) AS total FROM near s JOIN near o ON o.vec_id = s.vec_id + 1 AND s.of_ = 0 AND o.of_ = 1 JOIN rel ON rel.vec_id = s.vec_id
+ORDER BY s.score * o.score * e_score DESC, subject, event, object LIMIT 1""")
+def best_path(spark, sf):
+    g = vector_graph(spark, sf)
+    s, o = (nearest.top_k(g.entities, "text", vector_of(g, v), 30, 0.5).select("text", "score") for v in ("V0", "V1"))
+    return search.best_path(search.score_paths(g, s, o, vector_of(g, "V0"), Params())).select("subject", "event", "object", F.round("total", 6).alias("total"))
+
+
+@query(f"""WITH {KNN}, e AS (SELECT qkey AS src, ckey AS dst, score FROM k WHERE score > 0.35 AND qkey < ckey)
+SELECT src, dst, CASE WHEN src = 'V0' THEN 0.5::DOUBLE ELSE round(score, 6) END AS score FROM e UNION SELECT 'V0', 'V1', 0.5""")
+def densify_edges(spark, sf):
+    """Edges between similar entities are added; those that exist keep their score."""
+    g = vector_graph(spark, sf)
+    new = _similar(spark, sf)
+    old = new.filter("src = 'V0'").unionByName(spark.createDataFrame([("V0", "V1", 0.0, 10.0)], "src string, dst string, score double, cost double")).dropDuplicates(["src", "dst"]).withColumn("score", F.lit(0.5))
+    after = maintain.densify(g.having(edges_similar=old), Params.v2(similar_threshold=0.35, score_mode="raw"))
+    return after.edges_similar.select("src", "dst", F.round("score", 6).alias("score"))
+
+
+@query(f"""WITH {ORDERS}, {COSTS}, e AS (SELECT 'N:' || entity AS x, 'E:' || event AS y, 'SOURCE' AS type, entity AS a, event AS b FROM src UNION ALL SELECT 'E:' || event, 'N:' || entity, 'TARGET', event, entity FROM tgt)
+SELECT least(x, y) AS a, greatest(x, y) AS b, type, CASE WHEN p.k = q.k THEN 0.8::DOUBLE ELSE 1.0::DOUBLE END AS cost FROM e LEFT JOIN c p ON p.x = e.a LEFT JOIN c q ON q.x = e.b""".replace("least(x, y)", "least(e.x, e.y)").replace("greatest(x, y)", "greatest(e.x, e.y)"))
+def cost_graph(spark, sf):
+    """The simple undirected graph that reasoning searches: one edge for each pair, with its cost."""
+    g = order_graph(spark, sf)
+    return reason.costed(reason.labelled_nodes(g), reason.typed_edges(g), Params.v2())
+
+
+def _chain(spark, sf) -> store.Graph:
+    """Nations in a row: N(i) -SOURCE-> R(i) -TARGET-> N(i + 1), and customers apart."""
+    n = table(spark, sf, "nation").select(F.col("n_nationkey").cast("bigint").alias("k"))
+    last = n.agg(F.max("k")).first()[0]
+    row = n.filter(F.col("k") < last)
+    people = table(spark, sf, "customer").select(name("C", "c_custkey").alias("text"), F.lit(None).cast("bigint").alias("community_id"))
+    return store.empty(spark).having(
+        entities=store.conform(n.select(name("N", "k").alias("text"), F.lit(1).cast("bigint").alias("community_id")).unionByName(people), "entities"),
+        events=store.conform(row.select(name("R", "k").alias("text"), F.lit(NOW_MS).alias("created_at"), F.lit(True).alias("is_current"), F.lit(1).cast("bigint").alias("community_id")), "events"),
+        edges_source=store.conform(row.select(name("N", "k").alias("entity"), name("R", "k").alias("event")), "edges_source"),
+        edges_target=store.conform(row.select(name("R", "k").alias("event"), F.expr("concat('N', k + 1)").alias("entity")), "edges_target"),
+    )
+
+
+@query("""WITH e AS (SELECT 'N:N' || n_nationkey AS x, 'E:R' || n_nationkey AS y, n_nationkey AS k FROM nation UNION ALL SELECT 'N:N' || (n_nationkey + 1), 'E:R' || n_nationkey, n_nationkey FROM nation)
+SELECT least(x, y) AS a, greatest(x, y) AS b FROM e WHERE k BETWEEN 2 AND 6""")
+def steiner_chain(spark, sf):
+    """The tree between three nations of a chain is the part of the chain between the outer two."""
+    seeds = ["N2", "N5", "N7"]
+    nodes, edges = reason.subgraph(_chain(spark, sf), seeds, Params.v2())
+    tree = steiner.steiner_tree(reason.costed(nodes, edges, Params.v2()), nodes.filter(F.col("text").isin(seeds)).select("node"))
+    return tree.select("a", "b")
+
+
+@query("""WITH n AS (SELECT DISTINCT 'E:R' || n_nationkey AS node FROM nation WHERE n_nationkey IN (0, 1) UNION ALL SELECT 'N:N' || n_nationkey FROM nation WHERE n_nationkey <= 2)
+SELECT node, true AS reached FROM n UNION ALL (SELECT 'N:C' || c_custkey, false FROM customer ORDER BY 1 LIMIT 25)""")
+def padded_top_nodes(spark, sf):
+    """Without a least score, nodes that rank did not reach fill the list of 30, by name."""
+    g = _chain(spark, sf)
+    g = g.having(edges_source=g.edges_source.filter("event in ('R0', 'R1')"), edges_target=g.edges_target.filter("event in ('R0', 'R1')"))
+    nodes = reason.labelled_nodes(g).filter("label = 'Entity' and text like 'C%' or text in ('N0', 'N1', 'N2', 'R0', 'R1')")
+    ranks = pagerank.pagerank(maintain.projection(g, False, False), spark.createDataFrame([("N:N0",)], "node string"))
+    return retrieve.top_nodes(ranks, nodes, Params().top_nodes, None).select("node", (F.col("score") > 0).alias("reached"))
+
+
+@query("""WITH p AS (SELECT 'N:S' || least(a.s_suppkey, b.s_suppkey) AS x FROM supplier a JOIN supplier b ON a.s_nationkey = b.s_nationkey AND a.s_suppkey <> b.s_suppkey),
+m AS (SELECT DISTINCT 'N:S' || a.s_suppkey AS node, a.s_nationkey AS n FROM supplier a JOIN supplier b ON a.s_nationkey = b.s_nationkey AND a.s_suppkey <> b.s_suppkey)
+SELECT node, min(node) OVER (PARTITION BY n) AS leader FROM m""")
+def leiden_cliques(spark, sf):
+    """Suppliers of a nation all know each other: each nation is one community, named by its smallest member."""
+    s = table(spark, sf, "supplier").select(name("N:S", "s_suppkey").alias("x"), "s_nationkey")
+    e = s.join(s.withColumnRenamed("x", "y"), "s_nationkey").filter("x != y").select(F.col("x").alias("src"), F.col("y").alias("dst"), F.lit(1.0).alias("w"))
+    return communities.leiden(e).select("node", "leader")
+
+
+@query("""WITH top AS (SELECT p_name AS text, p_size::DOUBLE AS score, p_partkey FROM part ORDER BY p_size DESC, 'N:P' || p_partkey LIMIT 10)
+SELECT 'no path; seeds: P1, P2; related: ' || string_agg('P' || p_partkey, ', ' ORDER BY score DESC, 'N:P' || p_partkey) AS answer FROM top""")
+def fallback_answer(spark, sf):
+    """The line for seeds that no path joins: those that exist, and the ten best nodes."""
+    n = table(spark, sf, "part").select(name("N:P", "p_partkey").alias("node"), F.lit("Entity").alias("label"), name("P", "p_partkey").alias("text"), F.col("p_size").cast("double").alias("score"))
+    return reason.fallback(n, ["P2", "P1", "nobody"], Params.v2().fallback)
+
+
+@query("""WITH best AS (SELECT p_size AS c FROM part GROUP BY p_size ORDER BY count(*) DESC, p_size LIMIT 1)
+SELECT 'P' || p_partkey AS text, round(p_retailprice, 4) AS score FROM part, best WHERE p_size = c ORDER BY p_retailprice DESC, 'N:P' || p_partkey LIMIT 5""")
+def topic_keywords(spark, sf):
+    """The five best nodes of the dominant community."""
+    n = table(spark, sf, "part").select(name("N:P", "p_partkey").alias("node"), name("P", "p_partkey").alias("text"), F.col("p_size").cast("bigint").alias("community_id"), F.col("p_retailprice").alias("score"))
+    return reason.keywords(n, Params.v2().keywords).select("text", F.round("score", 4).alias("score"))
+
+
+@query("SELECT event_type AS event, max(ts) AS last_accessed FROM events GROUP BY event_type")
+def last_access_of_events(spark, sf):
+    """The same plan that the stream runs, over a table."""
+    return last_access(table(spark, sf, "events").select(F.col("event_type").alias("event"), F.col("ts").cast("timestamp").alias("at"))).withColumn("last_accessed", F.col("last_accessed").cast("timestamp_ntz"))
+
+
+@query("SELECT * FROM (VALUES ('facts', 0), ('history', 0), ('seeds', 0), ('upserted', 0)) v(input, rows)")
+def empty_inputs(spark, sf):
+    """No seed, no batch row, no turn: nothing comes out, and nothing stops."""
+    g, none = event_graph(spark, sf), store.empty(spark)
+    turns = table(spark, sf, "conversations").limit(0)
+    batch = _batch(spark, sf).limit(0)
+    counts = {
+        "facts": retrieve.retrieve(g.having(entities=g.entities.limit(0)), [0.0], [], Params.v2()).count(),
+        "history": history.append_turns(turns, turns, "conv_id", "turn", 40).count(),
+        "seeds": retrieve.hybrid_seeds(none.entities, [0.0], ["a name"], Params()).count(),
+        "upserted": ingest.upsert(none, resolve.resolve_batch(batch, none.entities, Params()), NOW_MS, Params()).entities.count(),
+    }
+    return spark.createDataFrame(list(counts.items()), "input string, rows int")
+
+
+def _models() -> agent.Models:
+    """Stand-ins: an utterance is its own answer, and all vectors are null but for names of one letter."""
+    return agent.Models(answer=lambda t: t, embed=lambda t: F.when(F.length(t) == 1, F.array(F.lit(1.0), F.ascii(t).cast("double"))))
+
+
+@query("""SELECT * FROM (VALUES (0, 'information', 'noted: 2 facts', 2, 2), (1, 'error', 'the request was not understood', 2, 2), (2, 'other', '[topic]', 2, 3), (3, 'information', 'noted: 0 facts', 2, 5)) v(place, handler, reply, events, turns)""")
+def chat_turns(spark, sf):
+    """Four utterances through the handlers: facts are written, junk is refused, a question is answered with its facts."""
+    item = '{"subject": "%s", "relation": "%s", "object": "%s"}'
+    said = [
+        '{"tool_name": "information", "kg_entity": [' + item % ("Ann Lee", "works at", "Acme") + ", " + item % ("Acme", "lies in", "Oslo") + "]}",
+        "no json",
+        '{"tool_name": "other", "kg_entity": [{"subject": "Ann Lee", "object": ""}]}',
+        '{"tool_name": "information", "kg_entity": []}',
+    ]
+    it, g, past, rows = agent.Agent(_models()), store.empty(spark), spark.createDataFrame([], agent.HISTORY), []
+    for i, text_ in enumerate(said):
+        t = it.handle(g, past, "s", text_, NOW_MS + i)
+        g, past = t.graph, t.history
+        reply = "[topic]" if t.handler == "other" and t.reply.startswith("[topic ") and "(Ann Lee)-[works at]->(Acme)" in t.reply and t.reply.endswith("user: " + text_) else t.reply
+        rows.append((i, t.handler, reply, g.events.count(), past.count()))
+    return spark.createDataFrame(rows, "place int, handler string, reply string, events int, turns int")
+
+
+@query("SELECT * FROM (VALUES (0, 'seeding'), (1, 'community'), (2, 'expansion'), (3, 'reinforcement'), (4, 'formatting')) v(place, stage)")
+def stage_timings(spark, sf):
+    """The five stages of a retrieval, timed and counted."""
+    g = maintain.refresh_weights(event_graph(spark, sf), NOW_MS, Params())
+    _, _, seen = stages.timed_retrieve(g, [0.0], ["u1"], Params.v1(), NOW_MS)
+    return seen.frame(spark).filter("seconds >= 0 and rows >= 0").select("place", "stage")
+
+
 # ---- no SQL form ----
 
 

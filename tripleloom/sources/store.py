@@ -50,13 +50,35 @@ class Store:
     """Each commit writes a new version folder and then its marker; a reader takes the last version with a marker."""
 
     def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
+        self.spark, self.path, self.closed = spark, path.rstrip("/"), False
 
     def _fs(self):
         jvm = self.spark.sparkContext._jvm
         at = jvm.org.apache.hadoop.fs.Path(self.path)
         return at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), jvm.org.apache.hadoop.fs.Path
 
+    def health(self) -> DataFrame:
+        """frame, version, rows of the last version: reads the footer of every frame, and fails where one is missing or unreadable."""
+        version = self.version()
+        if self.closed:
+            raise ValueError("the store is closed")
+        rows = [(name, version, getattr(self.load(version), name).count()) for name in FRAMES]
+        return self.spark.createDataFrame(rows, "frame string, version long, rows long")
+
+    def close(self) -> None:
+        """No commit after this; versions stay as they are."""
+        self.closed = True
+
+    def prune(self, keep: int = 2) -> list[int]:
+        """Delete all but the last ``keep`` committed versions, and what refused commits left; returns the versions that went."""
+        fs, path = self._fs()
+        last = self.version()
+        there = [int(f.getPath().getName()[1:]) for f in fs.listStatus(path(self.path))] if fs.exists(path(self.path)) else []
+        gone = sorted(v for v in there if v <= last - keep)
+        for v in gone:
+            fs.delete(path(f"{self.path}/v{v}"), True)
+        return gone
+
     def version(self) -> int:
         """The last committed version; 0 when there is none."""
         fs, path = self._fs()
@@ -73,6 +95,8 @@ class Store:
 
     def commit(self, graph: Graph, check: bool = False) -> int:
         """Write the graph as the next version; with ``check``, refuse frames with repeated keys."""
+        if self.closed:
+            raise ValueError("the store is closed")
         version = self.version() + 1
         for name in FRAMES:
             conform(getattr(graph, name), name).write.mode("overwrite").parquet(f"{self.path}/v{version}/{name}")
@@ -99,6 +123,18 @@ def nodes(graph: Graph) -> DataFrame:
     return out
 
 
+def lookup(graph: Graph, ids: list[tuple[str, str]]) -> DataFrame:
+    """The nodes with these ids (label, text); ids that are not there give no row."""
+    asked = graph.spark.createDataFrame(ids, "label string, text string").distinct()
+    return nodes(graph).join(F.broadcast(asked), ["label", "text"], "left_semi")  # as many rows as the caller lists
+
+
+def catalog(graph: Graph) -> DataFrame:
+    """frame, place, column, type, is_key: the schema of the store as rows."""
+    rows = [(name, i, f.name, f.dataType.simpleString(), f.name in KEYS[name]) for name in FRAMES for i, f in enumerate(getattr(graph, name).schema.fields)]
+    return graph.spark.createDataFrame(rows, "frame string, place int, column string, type string, is_key boolean")
+
+
 def list_nodes(graph: Graph, limit: int = 100) -> DataFrame:
     return nodes(graph).orderBy("label", "text").limit(limit)
 

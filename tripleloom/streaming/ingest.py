@@ -39,10 +39,10 @@ def ingest_stream(batches: DataFrame, store: Store, checkpoint: str, params: Par
 
 
 class History(StatefulProcessor):
-    """The last ``cap`` turns of each session, as state; each new turn gives the session's history size."""
+    """The last ``cap`` turns of each session, as state; each batch of new turns gives the session's history as it is then."""
 
-    def __init__(self, cap: int):
-        self.cap = cap
+    def __init__(self, cap: int, window: int):
+        self.cap, self.window = cap, window
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.turns = handle.getListState("turns", "turn long, role string, text string")
@@ -53,19 +53,21 @@ class History(StatefulProcessor):
             held += list(pdf[["turn", "role", "text"]].itertuples(index=False, name=None))
         held = sorted(held, key=lambda r: r[0])[-self.cap :]
         self.turns.put(held)
-        yield pd.DataFrame({"session": [key[0]], "kept": [len(held)], "last_turn": [held[-1][0]]})
+        lines = [f"{role}: {text}" for _, role, text in held[-self.window :]]
+        yield pd.DataFrame({"session": [key[0]], "kept": [len(held)], "last_turn": [held[-1][0]], "recent": ["\n".join(lines)]})
 
     def close(self) -> None:
         pass
 
 
-def history_stream(turns: DataFrame, cap: int = 40) -> DataFrame:
-    """turns (session, turn, role, text) -> session, kept, last_turn, with capped state."""
-    return turns.groupBy("session").transformWithStateInPandas(History(cap), "session long, kept long, last_turn long", "Append", "none")
+def history_stream(turns: DataFrame, cap: int = 40, window: int = 20) -> DataFrame:
+    """turns (session, turn, role, text) -> session, kept, last_turn, recent (the last ``window`` turns as text), with capped state. It
+    needs the RocksDB state store."""
+    return turns.groupBy("session").transformWithStateInPandas(History(cap, window), "session long, kept long, last_turn long, recent string", "Update", "none")
 
 
 def last_access(accesses: DataFrame, delay: str = "10 minutes") -> DataFrame:
-    """The latest access of each event out of a stream of (event, at), for reinforcement."""
+    """The latest access of each event out of a stream (or a table) of (event, at), for reinforcement."""
     return accesses.withWatermark("at", delay).groupBy("event").agg(F.max("at").alias("last_accessed"))
 
 
