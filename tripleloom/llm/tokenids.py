@@ -16,7 +16,7 @@ import numpy as np
 import regex
 from tokenizers import Tokenizer
 
-CACHE_CHUNKS = 600_000
+CACHE_CHUNKS = 400_000
 #: Chunks that normalisation only lower-cases, letter by letter, and that hold no special token.
 PLAIN = re.compile("[!-;=-~\u00c0-\u012f\u0131-\u024f]*")
 
@@ -57,7 +57,6 @@ class Encoder:
         self.id_bytes = [i.to_bytes(4, "little") for i in range(size)]
         self.letters = {i: c for i, c in byte_letters().items()}
         self.chunks = Remembered(self._chunk)
-        self.pieces = Remembered(self._piece)
 
     @staticmethod
     def _pattern(spec: dict):
@@ -84,8 +83,9 @@ class Encoder:
         if not PLAIN.fullmatch(chunk):
             return self._whole(chunk)
         if chunk.isalpha():
-            return self.pieces[chunk.lower()]
-        return b"".join([self.pieces[x] for x in self.pattern.findall(chunk.lower())])
+            return self._piece(chunk.lower())
+        # a word with a mark beside it is often remembered as a word
+        return b"".join([self.chunks.get(x) or self._piece(x) for x in self.pattern.findall(chunk.lower())])
 
     def encode(self, text: str | None) -> bytes:
         """The ids of the whole text and the end id. A null text counts as empty."""
