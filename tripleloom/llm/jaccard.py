@@ -488,3 +488,21 @@ def keep_one(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """The rows of docs without those linked to a document of smaller doc_id; all columns stay."""
     gone = stored(join(docs, n, percent).filter("component_id < doc_id").select("doc_id").distinct(), "gone")
     return without(docs, gone)
+
+
+#: DuckDB SQL for join() with n = 3 and percent = 90 over `documents`: all pairs that share a shingle, and the closure of the links.
+ORACLE = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents),
+s AS (
+  SELECT doc_id, CASE WHEN len(words) >= 3 THEN list_distinct(list_transform(range(1, len(words) - 1), lambda i: words[i] || chr(31) || words[i + 1] || chr(31) || words[i + 2]))
+         WHEN len(words) > 0 THEN [array_to_string(words, chr(31))] ELSE [] END AS g FROM w),
+z AS (SELECT doc_id, len(g)::BIGINT AS n FROM s),
+u AS (SELECT doc_id, unnest(g) AS g FROM s),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM u a JOIN u b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT x, y FROM p JOIN z a ON a.doc_id = x JOIN z b ON b.doc_id = y WHERE 100 * c >= 90 * (a.n + b.n - c)),
+e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+r AS (SELECT x, y FROM e UNION SELECT r.x, e.y FROM r JOIN e ON r.y = e.x),
+m AS (SELECT x, min(y) AS low FROM r GROUP BY x)
+SELECT z.doc_id, z.n AS n_shingles, least(z.doc_id, coalesce(m.low, z.doc_id)) AS component_id FROM z LEFT JOIN m ON m.x = z.doc_id
+"""

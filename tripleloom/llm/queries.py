@@ -72,4 +72,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_packing": op9_packing,
     "op10_langid": op10_langid,
 }
-ORACLES: dict[str, str] = {"op5_mixing": mixing.ORACLE}
+ORACLES: dict[str, str] = {"op5_mixing": mixing.ORACLE, "op6_jaccard": jaccard.ORACLE}

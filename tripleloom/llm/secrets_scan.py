@@ -34,8 +34,8 @@ from . import forest
 MAX_LABELLED = 20_000
 MARK = "[SECRET]"
 
-#: A key word and an assignment before a value; at most 12 characters of the name may follow the key word.
-KEYED = r"(?<=[=:]|[=:]\s{1,3}|[=:]\s{0,3}[\"'`])(?<=(?i:passw(?:or)?d|passphrase|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|auth|credentials?)[A-Za-z0-9_-]{0,12}[\"'`]?\s{0,3}[=:]\s{0,3}[\"'`]?)(?=[^\s\"'`,;<>(){}\[\]=:])"
+#: A key word and an assignment before a value, looked at only where a value can start; at most 12 characters of the name may follow the key word.
+KEYED = r"(?<=[\s=:\"'`])(?<=[=:]|[=:]\s{1,3}|[=:]\s{0,3}[\"'`])(?<=(?i:passw(?:or)?d|passphrase|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|auth|credentials?)[A-Za-z0-9_-]{0,12}[\"'`]?\s{0,3}[=:]\s{0,3}[\"'`]?)(?=[^\s\"'`,;<>(){}\[\]=:])"
 #: The value: up to white space, a quote or a bracket.
 VALUE = r"[^\s\"'`,;<>(){}\[\]]{6,}+"
 #: One alphabet run with a digit, however far in, or with a whole 'AKIA' key; possessive, so a long run is passed over once.

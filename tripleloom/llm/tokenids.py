@@ -16,7 +16,7 @@ import numpy as np
 import regex
 from tokenizers import Tokenizer
 
-CACHE_CHUNKS = 400_000
+CACHE_CHUNKS = 600_000
 #: Chunks that normalisation only lower-cases, letter by letter, and that hold no special token.
 PLAIN = re.compile("[!-;=-~\u00c0-\u012f\u0131-\u024f]*")
 
@@ -84,8 +84,8 @@ class Encoder:
             return self._whole(chunk)
         if chunk.isalpha():
             return self._piece(chunk.lower())
-        # a word with a mark beside it is often remembered as a word
-        return b"".join([self.chunks.get(x) or self._piece(x) for x in self.pattern.findall(chunk.lower())])
+        # words inside a chunk are remembered as chunks too
+        return b"".join([self.chunks[x] if x.isalpha() else self._piece(x) for x in self.pattern.findall(chunk.lower())])
 
     def encode(self, text: str | None) -> bytes:
         """The ids of the whole text and the end id. A null text counts as empty."""
