@@ -6,7 +6,8 @@
 4. mixing: documents outside their leaf's token budget go (one epoch at most, so a document comes once);
 5. packing: the rest is packed into sequences of 2,048 tokens.
 
-Each function takes (spark, docs, sf_dir); all but the last return the columns of documents.
+Each function takes (spark, docs, sf_dir); all but the last return the columns of documents. Columns beyond doc_id, text, lang, source and
+n_chars pass through, whatever their names; an empty table gives empty tables.
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ FIT = 0.4
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows whose text fits a language learned from all rows with a lang. A null text, one without a letter, and every text where no row has a lang go;
+    equal texts stay or go together; repeated rows and null ids are rows like any other."""
     names = docs.columns
     renamed = docs.withColumnsRenamed({c: f"c_{c}" for c in names}).withColumns({"text": F.col("c_text"), "lang": F.col("c_lang")})
     judged = langid.identify(renamed, F.lit(True), [f"c_{c}" for c in names], fit=True)
@@ -32,18 +35,24 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of linked documents those rows that have its smallest doc_id. A null id or a text without words is linked with nothing and stays;
+    rows with one doc_id are one document and stay or go together."""
     return jaccard.keep_one(docs, n=5, percent=80)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All rows, with a mark in place of each found secret, and n_chars counted again where one was found. Null texts stay null; equal rows stay equal."""
     return secrets_scan.redact(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The rows of which a token is within their leaf's budget. A null or blank text has no token and goes; a null lang or source is a leaf of its own;
+    null ids are placed by their texts; equal rows at the cut stay or go together."""
     return mixing.choose(docs, MIX)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row for each piece of a document in a sequence. A null or empty text is its end id alone; rows with one doc_id are documents of their own."""
     return packing.pack(docs, tokenizer_path(), end_id=1, size=2048)
 
 
