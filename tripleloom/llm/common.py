@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of text handled at once by a Python worker; a longer single text is one batch of its own.
 BATCH_BYTES = 1 << 20
+#: Bytes that Spark sends a worker at once; a longer single row is a batch of its own.
+ARROW_BYTES, SENT_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "4m"
 #: Longer words are hashed one by one.
 LONG_WORD = 1 << 14
 GOLD = np.uint64(0x9E3779B97F4A7C15)
@@ -113,14 +115,18 @@ def trim() -> None:
         pass
 
 
-def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """``run`` for mapInArrow, with its memory handed back at the end of each task."""
+def in_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """``df`` through ``run``. Rows reach it in batches bounded in bytes, whatever their length (unless the session has a bound of its own),
+    and a worker hands its memory back at the end of each task."""
+    conf = df.sparkSession.conf
+    if conf.get(ARROW_BYTES, None) is None:
+        conf.set(ARROW_BYTES, SENT_BYTES)
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from run(batches)
         trim()
 
-    return whole
+    return df.mapInArrow(whole, schema)
 
 
 # ---- words ----

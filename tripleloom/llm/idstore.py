@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import by_bytes, discard, group_numbers, id_groups, scratch, stored, tidy, written
+from .common import by_bytes, discard, group_numbers, id_groups, in_batches, scratch, stored, written
 from .packing import encoder_of, id_width
 
 STAGED = "run long, doc_id long, n_tokens long, crc long, recipe array<binary>, root binary, new_ids array<binary>, new_chunks array<binary>"
@@ -155,7 +155,7 @@ def stage(docs: DataFrame, tokenizer_path: str, end_id: int, low: int, bits: int
             columns = [pa.array(v, k) for v, k in zip(out.values(), kinds, strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int64)), batch.column("doc_id"), *columns], names=[c.split()[0] for c in STAGED.split(", ")])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(tidy(run), STAGED)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).transform(in_batches, run, STAGED)
 
 
 def running(staged: DataFrame) -> DataFrame:
@@ -176,7 +176,7 @@ def running(staged: DataFrame) -> DataFrame:
 
     parts = int(staged.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = staged.select("run", "doc_id", "n_tokens", "recipe", "root", "crc").repartitionByRange(parts, "run")
-    return dealt.sortWithinPartitions("run", F.col("doc_id").asc_nulls_last(), "crc").drop("crc").mapInArrow(tidy(run), RECIPES)
+    return dealt.sortWithinPartitions("run", F.col("doc_id").asc_nulls_last(), "crc").drop("crc").transform(in_batches, run, RECIPES)
 
 
 def folded(recipes: DataFrame) -> DataFrame:
@@ -259,7 +259,7 @@ def read(spark: SparkSession, store: Store) -> DataFrame:
                 out.append(ids.tobytes())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("start"), batch.column("n_tokens"), pa.array(out, pa.binary())], names=["doc_id", "start", "n_tokens", "ids"])
 
-    return whole.mapInArrow(tidy(run), "doc_id long, start long, n_tokens long, ids binary")
+    return whole.transform(in_batches, run, "doc_id long, start long, n_tokens long, ids binary")
 
 
 def digest_of(read_back: DataFrame) -> DataFrame:

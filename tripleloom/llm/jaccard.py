@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import GOLD, by_bytes, discard, mix, stored, tidy, word_hashes
+from .common import GOLD, by_bytes, discard, in_batches, mix, stored, word_hashes
 
 COUNTERS = 1 << 18
 CHUNKS = 16
@@ -145,7 +145,7 @@ def sign(docs: DataFrame, n: int) -> DataFrame:
         void = [pa.nulls(CHUNKS, pa.int64())] * 4
         yield pa.RecordBatch.from_arrays([*void, pa.array(range(CHUNKS), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], names=names)
 
-    return docs.mapInArrow(tidy(run), SIGNED)
+    return docs.transform(in_batches, run, SIGNED)
 
 
 def common_shingles(signed: DataFrame) -> np.ndarray:
@@ -236,8 +236,8 @@ def candidate_edges(docs: DataFrame, n: int, percent: int, common: np.ndarray) -
         if size:
             yield star_rows(pairs)
 
-    rows = docs.mapInArrow(tidy(keyed), "key long, doc long")
-    return rows.repartition("key").sortWithinPartitions("key").mapInArrow(tidy(tied), "a long, b long")
+    rows = docs.transform(in_batches, keyed, "key long, doc long")
+    return rows.repartition("key").sortWithinPartitions("key").transform(in_batches, tied, "a long, b long")
 
 
 def stars(edges: DataFrame, tasks: int) -> DataFrame:
@@ -254,7 +254,7 @@ def stars(edges: DataFrame, tasks: int) -> DataFrame:
         if size:
             yield star_rows(held)
 
-    return edges.select("a", "b").coalesce(tasks).mapInArrow(tidy(run), "a long, b long")
+    return edges.select("a", "b").coalesce(tasks).transform(in_batches, run, "a long, b long")
 
 
 def components(edges: DataFrame, task_edges: int = TASK_EDGES) -> DataFrame:
@@ -450,8 +450,8 @@ def links(docs: DataFrame, tiles: DataFrame, n: int, percent: int) -> DataFrame:
             yield done()
 
     _, few = split_by_ids(docs.select("doc_id", "text"), tiles)  # most texts stay where they are
-    asked = few.mapInArrow(tidy(sets), "doc_id long, n long, body binary").join(tiles, ["doc_id", "n"])
-    return asked.select("tile", "side", "doc_id", "body").repartition("tile").sortWithinPartitions("tile").mapInArrow(tidy(solve), "a long, b long")
+    asked = few.transform(in_batches, sets, "doc_id long, n long, body binary").join(tiles, ["doc_id", "n"])
+    return asked.select("tile", "side", "doc_id", "body").repartition("tile").sortWithinPartitions("tile").transform(in_batches, solve, "a long, b long")
 
 
 def join(docs: DataFrame, n: int = 3, percent: int = 90, tile_docs: int = 256) -> DataFrame:

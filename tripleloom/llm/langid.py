@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import GOLD, by_bytes, mix, tidy
+from .common import GOLD, by_bytes, in_batches, mix
 
 UND = "und"
 MAX_LANGUAGES = 2000
@@ -155,7 +155,7 @@ def learn(docs: DataFrame, learning: Column, dims: int, seed: int) -> tuple[list
             yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), pa.array([texts[x] for x in sums], pa.int64()), pa.array([v.tolist() for v in sums.values()], pa.list_(pa.float64()))], names=["lang", "n", "vector"])
 
     used = docs.filter(learning & F.col("lang").isNotNull() & F.col("text").isNotNull()).select(F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    parts = used.mapInArrow(tidy(run), "lang string, n long, vector array<double>")
+    parts = used.transform(in_batches, run, "lang string, n long, vector array<double>")
     summed = parts.select("lang", "n", F.posexplode("vector").alias("i", "v")).groupBy("lang", "i").agg(F.sum("v").alias("v"), F.sum("n").alias("n"))
     profiles = summed.groupBy("lang").agg(F.max("n").alias("n"), F.sort_array(F.collect_list(F.struct("i", "v"))).alias("vector")).filter("n > 0")
     got = sorted((r["lang"], [x["v"] / r["n"] for x in r["vector"]]) for r in profiles.limit(MAX_LANGUAGES + 1).collect())  # a row for each language
@@ -197,7 +197,7 @@ def predict(docs: DataFrame, languages: list[str], bundles_: np.ndarray, dims: i
             yield pa.RecordBatch.from_arrays([*columns, pa.array(said, pa.string()), *(pa.array(np.where(known, x, 0.0), pa.float64()) for x in (score, fits)[: 1 + fit])], names=[*extra, "lang_pred", "score", *["fit"][:fit]])
 
     read = docs.select(*dict.fromkeys([*extra, "text"]))
-    return read.mapInArrow(tidy(run), schema)
+    return read.transform(in_batches, run, schema)
 
 
 def identify(docs: DataFrame, learning: Column, extra: list[str], dims: int = 1024, seed: int = 11, fit: bool = False) -> DataFrame:

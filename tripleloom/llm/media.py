@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_bytes, stored, tidy
+from .common import by_bytes, in_batches, stored
 
 # Fixed values of the MPEG audio format: kbit/s by (version 1?, layer), sample rates by version.
 KBPS = {
@@ -343,7 +343,7 @@ def media_table(docs: DataFrame) -> DataFrame:
             kinds = pa.int64(), pa.binary(), pa.int64(), pa.int32(), pa.list_(pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(v, k) for v, k in zip(values, kinds, strict=True))], names=[c.split()[0] for c in MEDIA.split(", ")])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(tidy(run), MEDIA)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).transform(in_batches, run, MEDIA)
 
 
 def frame_offsets(payload: int, size: int) -> list[int]:
@@ -376,7 +376,7 @@ def features(media: DataFrame) -> DataFrame:
             rows = [described(*x) for x in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "n_bytes", "media")), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=[c.split()[0] for c in FEATURES.split(", ")])
 
-    return media.select("doc_id", "n_bytes", "media").mapInArrow(tidy(run), FEATURES)
+    return media.select("doc_id", "n_bytes", "media").transform(in_batches, run, FEATURES)
 
 
 def store_and_read(docs: DataFrame) -> DataFrame:

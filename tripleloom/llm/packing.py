@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_bytes, group_numbers, id_groups, tidy
+from .common import by_bytes, group_numbers, id_groups, in_batches
 from .tokenids import Encoder, sentence_ends
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -118,7 +118,7 @@ def tokenised(docs: DataFrame, path: str, end_id: int, bounds: np.ndarray, nulls
             row += batch.num_rows
             yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int64)), batch.column("doc_id"), pa.array([zlib.crc32(x) for x in raw], pa.int64()), pa.array(ids, pa.binary())], names=["part", "doc_id", "crc", "ids"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(tidy(run), "part long, doc_id long, crc long, ids binary")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).transform(in_batches, run, "part long, doc_id long, crc long, ids binary")
 
 
 def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 1, size: int = 2048, segment_tokens: int = SEGMENT_TOKENS, sentence_cost: float = 12.0, hard_cost: float = 60.0, rows_per_group: int = 2048) -> DataFrame:
@@ -160,7 +160,7 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 1, size: int = 2048
             yield done()
 
     dealt = tokenised(docs, tokenizer_path, end_id, bounds, nulls).repartition("part")
-    return dealt.sortWithinPartitions("part", F.col("doc_id").asc_nulls_last(), "crc").drop("crc").mapInArrow(tidy(run), SCHEMA)
+    return dealt.sortWithinPartitions("part", F.col("doc_id").asc_nulls_last(), "crc").drop("crc").transform(in_batches, run, SCHEMA)
 
 
 _ENDS: dict[str, np.ndarray] = {}

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import GOLD, by_bytes, mix, text_bytes, tidy, word_edges, word_hashes
+from .common import GOLD, by_bytes, in_batches, mix, text_bytes, word_edges, word_hashes
 
 WORDS, PAIRS, ENDINGS, SHAPES = 512, 512, 256, 8
 WIDTH = WORDS + PAIRS + ENDINGS + SHAPES
@@ -157,4 +157,4 @@ def score(docs: DataFrame, labels: DataFrame, held_out: Column, size: int = 64,
             most = np.maximum.reduceat(f["a"], f["first"]).astype(np.float64)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(score), pa.array((score >= threshold).astype(np.int32)), pa.array(count), pa.array(most)], names=["doc_id", "held_out", "score", "predicted", "passages", "attention"])
 
-    return read.mapInArrow(tidy(run), "doc_id long, held_out boolean, score double, predicted int, passages long, attention double")
+    return read.transform(in_batches, run, "doc_id long, held_out boolean, score double, predicted int, passages long, attention double")
