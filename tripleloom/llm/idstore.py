@@ -38,6 +38,8 @@ STAGED = "run long, doc_id long, n_tokens long, crc long, recipe array<binary>,
 RECIPES = "run long, doc_id long, n_tokens long, within long, recipe array<binary>, root binary"
 #: Addresses a worker remembers, so that it passes on a repeated chunk once.
 REMEMBERED = 200_000
+#: Words a worker remembers with their ids, about 150 bytes each.
+REMEMBERED_WORDS = 1_500_000
 #: A chunk is listed where its uses are over one in so many of all uses; so at most so many chunks are.
 HOT = 1024
 
@@ -123,7 +125,7 @@ def stage(docs: DataFrame, tokenizer_path: str, end_id: int, low: int, bits: int
         raise ValueError("low is under the 32 ids that the rolling hash looks back")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, gear, known, row = encoder_of(tokenizer_path, end_id), gear_table(), set(), TaskContext.get().partitionId() * 7919
+        encoder, gear, known, row = encoder_of(tokenizer_path, end_id, REMEMBERED_WORDS), gear_table(), set(), TaskContext.get().partitionId() * 7919
         width = id_width(encoder)
         step = int(width[2])
         for batch in by_bytes(batches):

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import by_bytes, group_numbers, id_groups, in_batches
-from .tokenids import Encoder, sentence_ends
+from .tokenids import CACHE_CHUNKS, Encoder, sentence_ends
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 #: Bits of a sequence_id that number the sequences of one group.
@@ -164,7 +164,7 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 1, size: int = 2048
 
 
 _ENDS: dict[str, np.ndarray] = {}
-_ENCODERS: dict[tuple[str, int], Encoder] = {}
+_ENCODERS: dict[tuple[str, int, int], Encoder] = {}
 
 
 def sentence_ends_of(path: str) -> np.ndarray:
@@ -174,8 +174,8 @@ def sentence_ends_of(path: str) -> np.ndarray:
     return _ENDS[path]
 
 
-def encoder_of(path: str, end_id: int) -> Encoder:
-    """Read once by each worker, which keeps what the encoder remembers from task to task."""
-    if (path, end_id) not in _ENCODERS:
-        _ENCODERS[path, end_id] = Encoder(path, end_id)
-    return _ENCODERS[path, end_id]
+def encoder_of(path: str, end_id: int, remember: int = CACHE_CHUNKS) -> Encoder:
+    """Read once by each worker, which keeps what the encoder remembers (at most ``remember`` words) from task to task."""
+    if (path, end_id, remember) not in _ENCODERS:
+        _ENCODERS[path, end_id, remember] = Encoder(path, end_id, remember)
+    return _ENCODERS[path, end_id, remember]

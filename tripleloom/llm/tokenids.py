@@ -29,23 +29,23 @@ def byte_letters() -> dict[int, str]:
 
 
 class Remembered(dict):
-    """What ``make`` gives for a short key, made once; starts anew when full."""
+    """What ``make`` gives for a short key, made once; starts anew at ``most`` keys."""
 
-    def __init__(self, make):
+    def __init__(self, make, most: int):
         super().__init__()
-        self.make = make
+        self.make, self.most = make, most
 
     def __missing__(self, key: str) -> bytes:
         value = self.make(key)
         if len(key) <= 64:
-            if len(self) >= CACHE_CHUNKS:
+            if len(self) >= self.most:
                 self.clear()
             self[key] = value
         return value
 
 
 class Encoder:
-    def __init__(self, path: str, end_id: int | None = 1):
+    def __init__(self, path: str, end_id: int | None = 1, remember: int = CACHE_CHUNKS):
         self.tokenizer = Tokenizer.from_file(path)
         self.end = b"" if end_id is None else np.array([end_id], dtype="<u4").tobytes()
         with open(path, encoding="utf-8") as f:
@@ -56,7 +56,8 @@ class Encoder:
         size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.id_bytes = [i.to_bytes(4, "little") for i in range(size)]
         self.letters = {i: c for i, c in byte_letters().items()}
-        self.chunks = Remembered(self._chunk)
+        self.chunks = Remembered(self._chunk, remember)
+        self.marks = {x: self._piece(x) for x in ",.;:!?"} if self.pattern else {}
 
     @staticmethod
     def _pattern(spec: dict):
@@ -84,6 +85,8 @@ class Encoder:
             return self._whole(chunk)
         if chunk.isalpha():
             return self._piece(chunk.lower())
+        if chunk[-1:] in self.marks and chunk[:-1].isalpha():  # a word and its mark are two pieces
+            return self.chunks[chunk[:-1].lower()] + self.marks[chunk[-1]]
         # words inside a chunk are remembered as chunks too
         return b"".join([self.chunks[x] if x.isalpha() else self._piece(x) for x in self.pattern.findall(chunk.lower())])
 
@@ -93,6 +96,8 @@ class Encoder:
             return self.end
         if self.pattern is None:
             return self._whole(text) + self.end
+        if text.isascii() and "<" not in text:  # no special token; upper-case letters need not be remembered apart
+            text = text.lower()
         return b"".join(map(self.chunks.__getitem__, text.replace("\n", " ").split(" "))) + self.end
 
 
