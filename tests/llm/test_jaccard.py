@@ -162,3 +162,16 @@ def test_chain_of_components(spark):
         low = min(up[a], up[b])
         up[a] = up[b] = low
     assert all(up[r["node"]] == r["comp"] for r in got)
+
+
+def test_chance_ties_do_not_meet_in_tiles(spark, monkeypatch):
+    """Unlike texts that share some words are tied by equal parts; before tiles are made they part again, and no link is lost."""
+    rng = random.Random(3)
+    texts = [" ".join([f"own{i}x{j}" for j in range(4)] + rng.sample([f"pool{k}" for k in range(120)], 8)) for i in range(400)]
+    texts += [t + " more" for t in texts[:20]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    met, links = [], jaccard.links
+    monkeypatch.setattr(jaccard, "links", lambda docs, tiles, n, percent: met.append(tiles.count()) or links(docs, tiles, n, percent))
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.join(docs, n=1, percent=80, tile_docs=16).collect()}
+    assert got == {i: i - 400 if i >= 400 else i for i in range(420)}
+    assert sum(met) < 420

@@ -10,7 +10,11 @@ Two documents link when 100 * |x ∩ y| >= percent * |x ∪ y|. Steps, all of th
    d(g) + 1 + e(g) parts by hash, at least 1 + e(g) parts are equal. A set with at most e(g) parts without an uncommon
    shingle leaves those parts out (an equal part with an uncommon shingle is left); any other set uses all parts. Keys are
    hashes of parts; the documents of one key are tied to one of them, so a key of m documents gives m - 1
-   edges, and a map task first ties those it holds itself.
+   edges, and a map task first ties those it holds itself. Chance ties of unlike texts grow with the square of the rows and
+   chain into large components; a component of more than one block (below) is parted again, by prefixes: with shingles in one order,
+   seldom ones first, linked sets share one of the first |x| - ceil(percent * |x| / 100) + 1 of each. Documents that share
+   such a shingle stay together, and one that shares none leaves. Any order is exact; the counts behind it are hashed into
+   a table of at most ``ORDER_BYTES``.
 3. Tiles: each component of that graph is one tile, or, when it has more than about ``tile_docs`` small sets (or fewer large
    ones: a set of n shingles counts n / 512), is cut into blocks of neighbouring sizes. First each block is a tile, with one pivot document in all blocks of a component; a group of near
    copies comes together there. What stays outside a component's largest joined part then meets the component's other
@@ -28,7 +32,7 @@ are not read.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -43,6 +47,8 @@ CHUNKS = 16
 LEAST_COST = 512
 #: Edges that one task turns into stars.
 TASK_EDGES = 250_000
+#: Counters (a byte each) that order the shingles of large components, at most; a power of two.
+ORDER_BYTES = 1 << 24
 
 
 def shingle_sets(texts: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -192,16 +198,81 @@ def star_rows(pairs: list[np.ndarray]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(low[apart]), pa.array(nodes[apart])], names=["a", "b"])
 
 
+def prefix_keys(flat: np.ndarray, sizes: np.ndarray, percent: int, counters: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The shingles of each set's prefix that some other row may hold, and the position of their set. ``counters``: rows by
+    shingle hash, at most 255; a counter of 1 means that no other row holds the shingle."""
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    held = counters[(flat & np.uint64(len(counters) - 1)).astype(np.int64)]
+    order = np.lexsort((mix(flat + GOLD), held, owner))
+    place = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    first = place < (sizes + 1 + -sizes * percent // 100)[owner]
+    picked = order[first & (held[order] > 1)]
+    return flat[picked], owner[picked]
+
+
+def shingle_counters(docs: DataFrame, n: int, width: int) -> np.ndarray:
+    """How many rows hold a shingle of each hash (``width`` of them, a power of two), up to 255."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(width, dtype=np.int32)
+        for batch in by_bytes(batches):
+            spots = (shingle_sets(batch.column("text"), n)[0] & np.uint64(width - 1)).astype(np.int64)
+            at, times = np.unique(spots, return_counts=True)
+            total[at] += times.astype(np.int32)
+        at = np.flatnonzero(total)
+        for i in range(0, len(at), 1 << 16):
+            part = at[i : i + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(total[part].astype(np.int64))], names=["spot", "c"])
+
+    sums = docs.transform(in_batches, run, "spot long, c long").groupBy("spot").agg(F.least(F.sum("c"), F.lit(255)).cast("int").alias("c"))
+    counters = np.zeros(width, dtype=np.uint8)
+    for batch in sums.toArrow().to_batches():  # at most ``width`` rows
+        counters[batch.column("spot").to_numpy()] = batch.column("c").to_numpy()
+    return counters
+
+
+def parted(docs: DataFrame, members: DataFrame, n: int, percent: int, tile_docs: int) -> DataFrame:
+    """members (doc_id, comp, n) with components of more than one block parted by prefixes; what shares no prefix goes."""
+    cost = members.groupBy("comp").agg((F.sum(F.greatest(F.col("n"), F.lit(LEAST_COST))) / (tile_docs * LEAST_COST)).alias("cost"))
+    large = stored(members.join(cost.filter("cost > 1").select("comp"), "comp", "left_semi").select("doc_id", "comp", "n"), "large")
+    shingles = large.agg(F.sum("n").alias("n")).first()["n"]
+    if shingles is None:
+        return members
+    _, few = split_by_ids(docs.select("doc_id", "text"), large)
+    texts = stored(few.join(large.select("doc_id").distinct(), "doc_id", "left_semi"), "large-texts")
+    width = min(ORDER_BYTES, 1 << max(16, int(4 * shingles).bit_length()))
+    shared = docs.sparkSession.sparkContext.broadcast(shingle_counters(texts, n, width))
+    edges = tied_edges(texts, lambda column: prefix_keys(*shingle_sets(column, n), percent, shared.value))
+    near = components(edges).select(F.col("node").alias("doc_id"), F.col("comp").alias("near"))
+    fine = stored(large.join(near, "doc_id").select("doc_id", F.xxhash64("comp", "near").alias("comp"), "n"), "parted")
+    whole = members.join(large.select("comp").distinct(), "comp", "left_anti").select("doc_id", "comp", "n")
+    out = stored(whole.unionByName(fine), "members")
+    discard(large, texts, fine)
+    return out
+
+
 def candidate_edges(docs: DataFrame, n: int, percent: int, common: np.ndarray) -> DataFrame:
-    """Edges (a, b), a < b, whose components hold every link. A map task ties documents of one key in a batch itself, and passes
-    on the key with one of them: so a key that very many documents share has few rows where it meets."""
+    """Edges (a, b), a < b, whose components hold every link."""
     shared = docs.sparkSession.sparkContext.broadcast(np.packbits(common))
+    bands: list[Bands] = []
+
+    def keys(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        if not bands:
+            bands.append(Bands(percent))
+        return part_keys(*shingle_sets(column, n), bands[0], np.unpackbits(shared.value).astype(bool))
+
+    return tied_edges(docs, keys)
+
+
+def tied_edges(docs: DataFrame, keys: Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
+    """Edges (a, b), a < b, that join all documents of a key; ``keys`` of texts: keys and the position of the text each belongs to.
+    A map task ties documents of one key in a batch itself, and passes
+    on the key with one of them: so a key that very many documents share has few rows where it meets."""
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bands, flags = Bands(percent), np.unpackbits(shared.value).astype(bool)
         for batch in by_bytes(batches):
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
-            key, owner = part_keys(*shingle_sets(batch.column("text"), n), bands, flags)
+            key, owner = keys(batch.column("text"))
             if not len(key):
                 continue
             order = np.argsort(key, kind="stable")
@@ -472,7 +543,7 @@ def join(docs: DataFrame, n: int = 3, percent: int = 90, tile_docs: int = 256) -
     near = components(edges.unionByName(same))
     sizes = full.select("doc_id", "n").distinct()  # a row for each size that a document has
     members = near.withColumnRenamed("node", "doc_id").join(left_out, "doc_id", "left_anti").join(sizes, "doc_id").select("doc_id", "comp", "n")
-    members = stored(members, "members")
+    members = parted(named, stored(members, "members"), n, percent, tile_docs)
     discard(edges, classes)
     found = stored(links(named, stored(first_tiles(members, tile_docs), "tiles"), n, percent), "links")
     cost = members.groupBy("comp").agg(F.sum(F.greatest(F.col("n"), F.lit(LEAST_COST))).alias("cost"))
