@@ -248,3 +248,20 @@ def test_ratio_and_verdict(spark, odd, empty):
     assert quality_rules.judge(odd, labels).count() == odd.count()
     assert quality_rules.judge(empty, labels).collect() == []
     assert quality_rules.judge(odd, labels.filter(F.lit(False))).filter("doc_id = 1").first()["base_failed"]
+
+
+def test_every_good_document_is_trusted(spark):
+    """More documents labelled good than any former bound (50,000): all of their ids are the target."""
+    labels = spark.range(60_000).select(F.col("id").alias("doc_id"), F.lit(1).alias("quality"))
+    ids = quality_rules.trusted_ids(labels)
+    assert ids.count() == 60_000
+    rows = spark.range(50_000, 70_000).selectExpr("if(id = 69999, null, id) doc_id", "id place")
+    assert quality_rules.rows_of(rows, ids).agg(F.count("place"), F.max("doc_id")).first()[:] == (10_000, 59_999)
+
+
+def test_quantiles_are_exact(spark):
+    rng = np.random.default_rng(4)
+    for x in (rng.normal(size=3000), np.concatenate([rng.normal(size=500) * 1e-9, [1e6, -1e6], np.zeros(700)]), np.array([2.5]), np.array([1.0, 1.0])):
+        frame = spark.createDataFrame([(float(v),) for v in x], "x double")
+        assert quality_rules.quantiles(frame, [0.001, 0.25, 0.75], bins=16) == pytest.approx(list(np.quantile(x, [0.001, 0.25, 0.75])), rel=1e-12, abs=1e-15)
+    assert quality_rules.quantiles(frame.limit(0), [0.5]) is None
