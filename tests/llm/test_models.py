@@ -191,3 +191,21 @@ def test_model_edges(spark, odd, empty):
     assert lm.score(empty, F.lit(False)).collect() == []
     none = lm.score(odd, F.lit(True)).collect()
     assert {(r["train_tokens"], r["n_known"], r["base_score"]) for r in none} == {(0, 0, 0.0)}
+
+
+def test_pairs_seen_once_have_a_level(spark):
+    """What op3_lm runs: no pair is left out, and a pair seen c times has the level 1 + floor(log2(c))."""
+    texts = ["a b", "a c", "a c", "b b b b b b"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    model, _, _ = lm.learn(docs, lm.Params.whole(bits=60))
+    pairs, counts = np.unique(lm.pair_hashes(*lm.token_stream(pa.array(texts)))[1], return_counts=True)
+    assert (counts == 1).any() and model.level(pairs).tolist() == (1 + np.floor(np.log2(counts))).tolist()
+    assert lm.level_count(np.arange(1, 4), 1) == pytest.approx([1, 6**0.5, 28**0.5])
+    words = {"a": 3, "b": 7, "c": 2, "end": 4}
+    n, types = sum(words.values()), len(words)
+    both = {("begin", "a"): 6**0.5, ("a", "b"): 1.0, ("b", "end"): 6**0.5}  # seen 3, 1 and 2 times
+    before = {"begin": 4, **words}
+    want = sum(math.log10(0.9 * (words[b] + 1) / (n + types + 1) + 0.1 * min(1, c / before[a])) for (a, b), c in both.items())
+    for broadcast in (1 << 30, 0):
+        got = lm.score(docs, F.lit(False), lm.Params.whole(bits=60, broadcast_bytes=broadcast)).filter("doc_id = 0").first()
+        assert got["score"] == pytest.approx(want, rel=1e-9)

@@ -2,8 +2,9 @@
 
 Learning counts tokens and pairs of neighbouring tokens over all learning rows (summed in each map task first). The
 ``held`` most frequent tokens keep exact counts in a broadcast table of bounded size; any other token's exact
-count is joined by shuffle, where such tokens are rare by definition. A pair seen c >= 2 times, of whatever tokens, has
-the level q = 1 + floor(log2(c - 1)), and the filter holds (pair, 1), ..., (pair, q) at ``bits`` each. The filter grows
+count is joined by shuffle, where such tokens are rare by definition. A pair seen c times, of whatever tokens, has
+the level q = 1 + floor(log2(c)), and the filter holds (pair, 1), ..., (pair, q) at ``bits`` each. That is ``least`` = 1, which
+``Params.whole()`` and op3_lm take; with ``least`` = 2 pairs seen once are left out and q = 1 + floor(log2(c - 1)). The filter grows
 with its entries and is cut by pair hash into segments of bounded size. While all of it is at most ``broadcast_bytes``, it
 is broadcast and probed where the texts are. Beyond, nothing unbounded is broadcast or held: each batch of texts sends
 its distinct pairs to the segments, which answer with levels (one exchange there, one back), so the work stays in proportion
@@ -51,6 +52,13 @@ class Params:
     weight: float = 0.1
     held: int = 1 << 20
     broadcast_bytes: int = 64 << 20
+    #: The smallest count, 1 or 2, of a pair that the filter holds.
+    least: int = 2
+
+    @classmethod
+    def whole(cls, **more) -> Params:
+        """Every pair is held, those seen once too."""
+        return cls(least=1, **more)
 
 
 @dataclass
@@ -63,6 +71,7 @@ class Model:
     segments: int
     weight: float
     filter: np.ndarray | None = None  # segments x bytes, where it is broadcast
+    least: int = 2
 
     def count(self, hashes: np.ndarray) -> np.ndarray:
         """Exact counts of held tokens, -1 for others."""
@@ -95,14 +104,14 @@ def probe(bodies: np.ndarray, rows: np.ndarray, pairs: np.ndarray) -> np.ndarray
     return out
 
 
-def level_of(counts: Column) -> Column:
-    """1 + floor(log2(c - 1)), from the binary digits."""
-    return F.length(F.bin(counts - 1))
+def level_of(counts: Column, least: int) -> Column:
+    """1 + floor(log2(c + 1 - least)), from the binary digits."""
+    return F.length(F.bin(counts + 1 - least))
 
 
-def level_count(level: np.ndarray) -> np.ndarray:
-    """The middle, by ratio, of the counts of a level: 2, then (2^(q-1) + 1) to 2^q."""
-    return np.sqrt((2.0 ** (level - 1) + 1) * 2.0**level)
+def level_count(level: np.ndarray, least: int) -> np.ndarray:
+    """The middle, by ratio, of the counts of a level: from 2^(q-1) to 2^q - 1, all one higher where ``least`` is 2."""
+    return np.sqrt((2.0 ** (level - 1) + least - 1) * (2.0**level + least - 2))
 
 
 def places(pairs: np.ndarray, level: int, bits: int) -> np.ndarray:
@@ -172,9 +181,9 @@ def counted(docs: DataFrame, pairs: bool) -> DataFrame:
     return docs.select("text").transform(in_batches, run, "h long, c long").repartition("h").groupBy("h").agg(F.sum("c").alias("c"))
 
 
-def pair_levels(docs: DataFrame) -> DataFrame:
-    """h, q of every pair of tokens seen twice or more."""
-    return counted(docs, pairs=True).filter("c >= 2").select("h", level_of(F.col("c")).alias("q"))
+def pair_levels(docs: DataFrame, least: int) -> DataFrame:
+    """h, q of every pair of tokens seen ``least`` times or more."""
+    return counted(docs, pairs=True).filter(F.col("c") >= least).select("h", level_of(F.col("c"), least).alias("q"))
 
 
 def bloom(levels: DataFrame, params: Params) -> tuple[DataFrame, int, int]:
@@ -207,10 +216,10 @@ def learn(docs: DataFrame, params: Params) -> tuple[Model, DataFrame, DataFrame]
     head = counts.filter(F.col("c") >= limit).toArrow()  # at most ``held`` rows
     hashes, c = head.column("h").to_numpy().view(np.uint64), head.column("c").to_numpy()
     order = np.argsort(hashes)
-    levels = stored(pair_levels(docs), "pair-levels")
+    levels = stored(pair_levels(docs, params.least), "pair-levels")
     rows, segments, width = bloom(levels, params)
     discard(levels)
-    model = Model(sums["n"], sums["v"], sums["texts"], hashes[order], c[order], segments, params.weight)
+    model = Model(sums["n"], sums["v"], sums["texts"], hashes[order], c[order], segments, params.weight, least=params.least)
     if segments * width <= params.broadcast_bytes:
         model.filter = np.zeros((segments, width), dtype=np.uint8)
         for batch in rows.toArrow().to_batches():  # at most ``broadcast_bytes``
@@ -241,7 +250,7 @@ def scored(m: Model, uid: np.ndarray, ids: pa.Array, held_out: pa.Array, stream:
     p = (1 - m.weight) * 10**base
     near = known & (seen_before > 0)
     hit, beyond = np.flatnonzero((level > 0) & near), np.flatnonzero((level > 0) & ~near)
-    p[hit] += m.weight * np.minimum(1.0, level_count(level[hit]) / seen_before[hit])
+    p[hit] += m.weight * np.minimum(1.0, level_count(level[hit], m.least) / seen_before[hit])
     sums = [np.bincount(owner[known], w[known], texts).astype(float) for w in (base, np.log10(p))]
     other = np.flatnonzero(~known)
     other = other[np.lexsort((stream[other], owner[other]))]
@@ -391,7 +400,7 @@ def with_gains(rows: DataFrame, params: Params, total: float) -> DataFrame:
             gain = np.zeros(batch.num_rows)
             if len(owner):
                 cv, cw = count(far["cv"], far["v"]), count(far["cw"], far["w"])
-                ratio = params.weight * np.minimum(1.0, level_count(far["q"]) / np.maximum(1, cv)) / ((1 - params.weight) * (cw + 1) / total)
+                ratio = params.weight * np.minimum(1.0, level_count(far["q"], params.least) / np.maximum(1, cv)) / ((1 - params.weight) * (cw + 1) / total)
                 gain = np.bincount(owner, np.where((cv > 0) & (cw > 0), np.log10(1 + ratio), 0.0), batch.num_rows)
             yield pa.RecordBatch.from_arrays([*(batch.column(f.name) for f in plain), pa.array(gain)], names=[*(f.name for f in plain), "gain"])
 

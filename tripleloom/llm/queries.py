@@ -27,7 +27,7 @@ def op2_quality_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm.score(documents(spark, sf_dir), bucket_of("doc_id", 7) == 2)
+    return lm.score(documents(spark, sf_dir), bucket_of("doc_id", 7) == 2, lm.Params.whole())
 
 
 def op4_idstore(spark: SparkSession, sf_dir: str) -> DataFrame:
