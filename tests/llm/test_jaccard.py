@@ -175,3 +175,16 @@ def test_chance_ties_do_not_meet_in_tiles(spark, monkeypatch):
     got = {r["doc_id"]: r["component_id"] for r in jaccard.join(docs, n=1, percent=80, tile_docs=16).collect()}
     assert got == {i: i - 400 if i >= 400 else i for i in range(420)}
     assert sum(met) < 420
+
+
+def test_counters_of_a_task_are_few_rows(spark):
+    """However many texts and shingles a task has, it passes its counters on in CHUNKS rows, and they are counts up to 255."""
+    rng = random.Random(4)
+    texts = [" ".join(["all", f"own{i}", *rng.sample([f"pool{k}" for k in range(500)], 40)]) for i in range(1500)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(6)
+    tasks = docs.rdd.getNumPartitions()
+    for width in (1 << 10, 1 << 20):  # full chunks, and chunks with few counters set
+        flat, _ = jaccard.shingle_sets(pa.array(texts), 1)
+        want = np.minimum(np.bincount((flat & np.uint64(width - 1)).astype(np.int64), minlength=width), 255)
+        assert (jaccard.shingle_counters(docs, 1, width) == want).all() and want.max() == 255
+        assert jaccard.task_counters(docs, 1, width).count() <= tasks * jaccard.CHUNKS

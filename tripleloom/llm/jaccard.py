@@ -14,7 +14,7 @@ Two documents link when 100 * |x ∩ y| >= percent * |x ∪ y|. Steps, all of th
    chain into large components; a component of more than one block (below) is parted again, by prefixes: with shingles in one order,
    seldom ones first, linked sets share one of the first |x| - ceil(percent * |x| / 100) + 1 of each. Documents that share
    such a shingle stay together, and one that shares none leaves. Any order is exact; the counts behind it are hashed into
-   a table of at most ``ORDER_BYTES``.
+   a table of at most ``ORDER_BYTES``, which a map task passes on in at most ``CHUNKS`` rows.
 3. Tiles: each component of that graph is one tile, or, when it has more than about ``tile_docs`` small sets (or fewer large
    ones: a set of n shingles counts n / 512), is cut into blocks of neighbouring sizes. First each block is a tile, with one pivot document in all blocks of a component; a group of near
    copies comes together there. What stays outside a component's largest joined part then meets the component's other
@@ -210,24 +210,50 @@ def prefix_keys(flat: np.ndarray, sizes: np.ndarray, percent: int, counters: np.
     return flat[picked], owner[picked]
 
 
-def shingle_counters(docs: DataFrame, n: int, width: int) -> np.ndarray:
-    """How many rows hold a shingle of each hash (``width`` of them, a power of two), up to 255."""
+def packed(counters: np.ndarray) -> bytes:
+    """Counters of a byte each: all of them, or the places (uint32) and values of those that are not zero, whichever is shorter."""
+    at = np.flatnonzero(counters)
+    return counters.tobytes() if 5 * len(at) >= len(counters) else at.astype("<u4").tobytes() + counters[at].tobytes()
+
+
+def add_packed(total: np.ndarray, body: bytes) -> None:
+    """Adds packed counters to ``total``, where they stop at 255."""
+    if len(body) == len(total):
+        at, more = slice(None), np.frombuffer(body, dtype=np.uint8)
+    else:
+        n = len(body) // 5
+        at, more = np.frombuffer(body, dtype="<u4", count=n), np.frombuffer(body, dtype=np.uint8, offset=4 * n)
+    total[at] += np.minimum(more, 255 - total[at])
+
+
+def task_counters(docs: DataFrame, n: int, width: int) -> DataFrame:
+    """chunk, counts: what each map task counted, in at most CHUNKS rows, however many shingles and texts it has."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(width, dtype=np.int32)
+        total = np.zeros(width, dtype=np.uint8)
         for batch in by_bytes(batches):
             spots = (shingle_sets(batch.column("text"), n)[0] & np.uint64(width - 1)).astype(np.int64)
             at, times = np.unique(spots, return_counts=True)
-            total[at] += times.astype(np.int32)
-        at = np.flatnonzero(total)
-        for i in range(0, len(at), 1 << 16):
-            part = at[i : i + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(total[part].astype(np.int64))], names=["spot", "c"])
+            total[at] += np.minimum(times, 255 - total[at]).astype(np.uint8)
+        parts = {i: part for i, part in enumerate(np.split(total, CHUNKS)) if part.any()}
+        yield pa.RecordBatch.from_arrays([pa.array(list(parts), pa.int32()), pa.array([packed(x) for x in parts.values()], pa.binary())], names=["chunk", "counts"])
+
+    return docs.transform(in_batches, run, "chunk int, counts binary")
+
+
+def shingle_counters(docs: DataFrame, n: int, width: int) -> np.ndarray:
+    """How many rows hold a shingle of each hash (``width`` of them, a power of two), up to 255."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for chunk, body in zip(batch.column("chunk").to_pylist(), batch.column("counts"), strict=True):
+                add_packed(total.setdefault(chunk, np.zeros(width // CHUNKS, dtype=np.uint8)), body.as_py())
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([packed(x) for x in total.values()], pa.binary())], names=["chunk", "counts"])
 
-    sums = docs.transform(in_batches, run, "spot long, c long").groupBy("spot").agg(F.least(F.sum("c"), F.lit(255)).cast("int").alias("c"))
     counters = np.zeros(width, dtype=np.uint8)
-    for batch in sums.toArrow().to_batches():  # at most ``width`` rows
-        counters[batch.column("spot").to_numpy()] = batch.column("c").to_numpy()
+    for r in task_counters(docs, n, width).repartition(CHUNKS, "chunk").transform(in_batches, add, "chunk int, counts binary").collect():  # CHUNKS rows
+        add_packed(counters.reshape(CHUNKS, -1)[r["chunk"]], r["counts"])
     return counters
 
 
