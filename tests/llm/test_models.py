@@ -209,3 +209,24 @@ def test_pairs_seen_once_have_a_level(spark):
     for broadcast in (1 << 30, 0):
         got = lm.score(docs, F.lit(False), lm.Params.whole(bits=60, broadcast_bytes=broadcast)).filter("doc_id = 0").first()
         assert got["score"] == pytest.approx(want, rel=1e-9)
+
+
+def test_pairs_travel_short(spark, small, monkeypatch):
+    """What is written while pairs travel to the filter is about the texts and 5 bytes a pair: no stream of 8 bytes a token is kept."""
+    pairs = np.arange(1, 4000, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - lm.PAIR_BITS)
+    for known in (2, 8, 12):
+        own = pairs[pairs & np.uint64((1 << known) - 1) == 3]
+        body = lm.short(own, known)
+        assert len(body) == len(own) * (6 if known == 2 else 5) and (lm.long(body, known, 3) == own).all()
+    made, stored = {}, lm.stored
+
+    def kept(df, name):
+        made[name] = stored(df, name)
+        if name == "batches":
+            made["texts"] = made[name].select(F.explode("texts").alias("text"))
+            assert made["texts"].count() == small.count() and made[name].schema.simpleString() == "struct<batch:bigint,texts:array<string>,ids:array<bigint>,held:array<boolean>>"
+        return made[name]
+
+    monkeypatch.setattr(lm, "stored", kept)
+    assert lm.score(small, F.lit(False), lm.Params.whole(broadcast_bytes=0)).count() == small.count()
+    assert "batches" in made and "asked" not in made

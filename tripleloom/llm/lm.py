@@ -8,7 +8,8 @@ the level q = 1 + floor(log2(c)), and the filter holds (pair, 1), ..., (pair, q)
 with its entries and is cut by pair hash into segments of bounded size. While all of it is at most ``broadcast_bytes``, it
 is broadcast and probed where the texts are. Beyond, nothing unbounded is broadcast or held: each batch of texts sends
 its distinct pairs to the segments, which answer with levels (one exchange there, one back), so the work stays in proportion
-to the text. Both ways probe the same bits and give the same scores.
+to the text. The batches are written as compressed texts; a pair travels in 5 bytes and its level in one, and token streams are made anew
+where they are needed. Both ways probe the same bits and give the same scores.
 
 Scoring probes (pair, 1), (pair, 2), ... until a miss, and interpolates
 
@@ -42,6 +43,8 @@ SEGMENT_ENTRIES = 1 << 20
 #: Groups of segments that pairs are sent to, at most; a power of two.
 GROUPS = 4096
 PROBES = 7
+#: Bits of a pair's hash. Of 2.5 billion pairs one in 100,000 meets another's hash, far fewer than the filter's false hits.
+PAIR_BITS = 48
 #: Counts a map task holds before it passes them on.
 HELD = 800_000
 
@@ -135,11 +138,11 @@ def token_stream(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def pair_hashes(stream: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each token the token before it (or the begin mark), and the hash of both."""
+    """For each token the token before it (or the begin mark), and the hash of both, of PAIR_BITS."""
     before = np.concatenate([np.array([BEGIN]), stream[:-1]])[: len(stream)]
     before[np.cumsum(sizes)[:-1]] = BEGIN
     with np.errstate(over="ignore"):
-        return before, mix(mix(before * GOLD) + stream)
+        return before, mix(mix(before * GOLD) + stream) >> np.uint64(64 - PAIR_BITS)
 
 
 class Counter:
@@ -295,28 +298,57 @@ def score_here(docs: DataFrame, model: Model) -> DataFrame:
     return docs.select("doc_id", "held_out", "text").transform(in_batches, run, SCORED)
 
 
-SENT = "batch long, part int, segment int, body binary, sizes binary, ids array<long>, held array<boolean>"
+GATHERED = "batch long, texts array<string>, ids array<long>, held array<boolean>"
+SENT = "batch long, part int, segment int, body binary"
+
+
+def gathered(docs: DataFrame) -> DataFrame:
+    """A row for each batch of texts, so that every later pass sees the same batches."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = TaskContext.get().partitionId() << 40
+        for batch in by_bytes(batches):
+            whole = [pa.ListArray.from_arrays(pa.array([0, batch.num_rows], pa.int32()), batch.column(c)) for c in ("text", "doc_id", "held_out")]
+            yield pa.RecordBatch.from_arrays([pa.array([at]), *whole], names=["batch", "texts", "ids", "held"])
+            at += batch.num_rows
+
+    return docs.select("doc_id", "held_out", "text").transform(in_batches, run, GATHERED)
+
+
+def short(pairs: np.ndarray, known: int) -> bytes:
+    """Pairs without their lowest ``known`` bits, in as few bytes each as hold the rest."""
+    return (pairs >> np.uint64(known)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, : -(-(PAIR_BITS - known) // 8)].tobytes()
+
+
+def long(body: bytes, known: int, low: int) -> np.ndarray:
+    """The pairs of ``short``, whose lowest bits are ``low``."""
+    width = -(-(PAIR_BITS - known) // 8)
+    cells = np.zeros((len(body) // width, 8), dtype=np.uint8)
+    cells[:, :width] = np.frombuffer(body, dtype=np.uint8).reshape(-1, width)
+    return (cells.view("<u8").ravel().astype(np.uint64) << np.uint64(known)) | np.uint64(low)
 
 
 def score_there(docs: DataFrame, model: Model, filter_rows: DataFrame) -> DataFrame:
-    """The same rows where the filter is too large to broadcast: pairs travel to its segments, levels travel back."""
+    """The same rows, stored, where the filter is too large to broadcast: pairs travel to its segments, levels travel back."""
     shared, groups = docs.sparkSession.sparkContext.broadcast(model), min(GROUPS, model.segments)
-    names = [c.split()[0] for c in SENT.split(", ")]
+    known = groups.bit_length() - 1  # bits that all pairs of a group share
 
     def split(m: Model, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """An order of the pairs by group, and where each group ends."""
         group = m.segment(asked) & (groups - 1)
-        return np.argsort(group, kind="stable"), np.cumsum(np.bincount(group, minlength=groups))
+        return np.argsort(group.astype(np.uint16), kind="stable"), np.cumsum(np.bincount(group, minlength=groups))
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: Model = shared.value
-        for at, batch, stream, sizes in numbered(batches):
-            asked = np.unique(pair_hashes(stream, sizes)[1])
-            order, ends = split(m, asked)
-            rows = [(at, -1, None, stream.tobytes(), sizes.astype("<i8").tobytes(), batch.column("doc_id").to_pylist(), batch.column("held_out").to_pylist())]
-            rows += [(at, g, None, asked[order[a:b]].tobytes(), None, None, None) for g, (a, b) in enumerate(zip([0, *ends.tolist()], ends.tolist(), strict=False)) if b > a]
-            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.bool_()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+        for batch in batches:
+            for k, at in enumerate(batch.column("batch").to_pylist()):
+                asked = np.unique(pair_hashes(*token_stream(batch.column("texts").slice(k, 1).flatten()))[1])
+                order, ends = split(m, asked)
+                asked, starts = asked[order], np.concatenate([[0], ends[:-1]])
+                full = np.flatnonzero(ends > starts)
+                body = [short(asked[a:b], known) for a, b in zip(starts[full].tolist(), ends[full].tolist(), strict=True)]
+                columns = [pa.array(np.full(len(full), at)), pa.array(full, pa.int32()), pa.nulls(len(full), pa.int32()), pa.array(body, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["batch", "part", "segment", "body"])
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: Model = shared.value
@@ -330,7 +362,7 @@ def score_there(docs: DataFrame, model: Model, filter_rows: DataFrame) -> DataFr
                     row = np.frombuffer(body, dtype=np.uint8)[None, :]
                     place[segment], bodies = len(place), np.concatenate([bodies.reshape(-1, row.shape[1]), row])
                     continue
-                pairs = np.frombuffer(body, dtype=np.uint64)
+                pairs = long(body, known, g)
                 rows = np.array([place.get(x, -1) for x in m.segment(pairs).tolist()])
                 level = np.zeros(len(pairs), dtype=np.uint8)
                 if place:
@@ -345,15 +377,15 @@ def score_there(docs: DataFrame, model: Model, filter_rows: DataFrame) -> DataFr
         held: list[tuple] = []
 
         def done() -> pa.RecordBatch:
-            at, _, body, sizes, ids, out = held[0]
-            stream, sizes = np.frombuffer(body, dtype=np.uint64), np.frombuffer(sizes, dtype="<i8")
+            at, _, _, texts, ids, out = held[0]
+            stream, sizes = token_stream(pa.array(texts, pa.string()))
             asked = np.unique(pair_hashes(stream, sizes)[1])
             levels = np.zeros(len(asked), dtype=np.int64)
             levels[split(m, asked)[0]] = np.frombuffer(b"".join(x[2] for x in held[1:]), dtype=np.uint8)
             return scored(m, np.arange(at, at + len(sizes)), pa.array(ids, pa.int64()), pa.array(out, pa.bool_()), stream, sizes, asked, levels)
 
         for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in ("batch", "part", "body", "sizes", "ids", "held")), strict=True):
+            for row in zip(*(batch.column(c).to_pylist() for c in ("batch", "part", "body", "texts", "ids", "held")), strict=True):
                 if held and held[0][0] != row[0]:
                     yield done()
                     held = []
@@ -361,12 +393,14 @@ def score_there(docs: DataFrame, model: Model, filter_rows: DataFrame) -> DataFr
         if held:
             yield done()
 
-    sent = stored(docs.select("doc_id", "held_out", "text").transform(in_batches, send, SENT), "asked")
+    texts = stored(gathered(docs), "batches")
     bodies = filter_rows.select(F.lit(-1).cast("long").alias("batch"), F.col("segment").bitwiseAND(F.lit(groups - 1)).alias("part"), "segment", "body")
-    met = bodies.unionByName(sent.filter("part >= 0").select("batch", "part", "segment", "body"))
-    levels = met.repartition("part").sortWithinPartitions("part", "batch", "segment").transform(in_batches, answer, "batch long, part int, body binary")
-    whole = sent.filter("part < 0").drop("segment").unionByName(levels, allowMissingColumns=True)
-    return whole.repartition("batch").sortWithinPartitions("batch", "part").transform(in_batches, finish, SCORED)
+    met = bodies.unionByName(texts.select("batch", "texts").transform(in_batches, send, SENT))
+    levels = stored(met.repartition("part").sortWithinPartitions("part", "batch", "segment").transform(in_batches, answer, "batch long, part int, body binary"), "levels")
+    whole = texts.withColumn("part", F.lit(-1)).unionByName(levels, allowMissingColumns=True).select("batch", "part", "body", "texts", "ids", "held")
+    out = stored(whole.repartition("batch").sortWithinPartitions("batch", "part").transform(in_batches, finish, SCORED), "scored")
+    discard(texts, levels)
+    return out
 
 
 def with_gains(rows: DataFrame, params: Params, total: float) -> DataFrame:
@@ -412,7 +446,7 @@ def score(docs: DataFrame, held_out: Column, params: Params | None = None) -> Da
     params = params or Params()
     read = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), held_out.alias("held_out"))
     model, counts, filter_rows = learn(read.filter(~F.col("held_out")), params)
-    rows = stored(score_here(read, model) if model.filter is not None else score_there(read, model, filter_rows), "scored")
+    rows = stored(score_here(read, model), "scored") if model.filter is not None else score_there(read, model, filter_rows)
     discard(filter_rows)
     asked = rows.select("uid", F.explode(F.arrays_zip("rare", "times")).alias("r")).select("uid", F.col("r.rare").alias("h"), F.col("r.times").alias("times"))
     total = float(model.tokens + model.types + 1)
