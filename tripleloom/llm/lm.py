@@ -9,7 +9,7 @@ with its entries and is cut by pair hash into segments of bounded size. While al
 is broadcast and probed where the texts are. Beyond, nothing unbounded is broadcast or held: each batch of texts sends
 its distinct pairs to the segments, which answer with levels (one exchange there, one back), so the work stays in proportion
 to the text. The batches are written as compressed texts; a pair travels in 5 bytes and its level in one, and token streams are made anew
-where they are needed. Both ways probe the same bits and give the same scores.
+where they are needed. Pairs are counted packed too, in slices by their lowest bits, from which the filter is filled without another exchange. Both ways probe the same bits and give the same scores.
 
 Scoring probes (pair, 1), (pair, 2), ... until a miss, and interpolates
 
@@ -107,11 +107,6 @@ def probe(bodies: np.ndarray, rows: np.ndarray, pairs: np.ndarray) -> np.ndarray
     return out
 
 
-def level_of(counts: Column, least: int) -> Column:
-    """1 + floor(log2(c + 1 - least)), from the binary digits."""
-    return F.length(F.bin(counts + 1 - least))
-
-
 def level_count(level: np.ndarray, least: int) -> np.ndarray:
     """The middle, by ratio, of the counts of a level: from 2^(q-1) to 2^q - 1, all one higher where ``least`` is 2."""
     return np.sqrt((2.0 ** (level - 1) + least - 1) * (2.0**level + least - 2))
@@ -145,6 +140,14 @@ def pair_hashes(stream: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.n
         return before, mix(mix(before * GOLD) + stream) >> np.uint64(64 - PAIR_BITS)
 
 
+def summed(k: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys, sorted, and the sums of their counts."""
+    order = np.argsort(k, kind="stable")
+    k, c = k[order], c[order]
+    first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
+    return k[first], np.add.reduceat(c, first)
+
+
 class Counter:
     """Counts of hashes, merged by sorting, passed on in batches."""
 
@@ -157,26 +160,25 @@ class Counter:
         self.counts.append(c)
         self.size += len(k)
 
+    def merged(self) -> tuple[np.ndarray, np.ndarray]:
+        k, c = summed(np.concatenate(self.keys), np.concatenate(self.counts))
+        self.keys, self.counts, self.size = [], [], 0
+        return k, c
+
     def drain(self) -> Iterator[pa.RecordBatch]:
         if self.size:
-            k, c = np.concatenate(self.keys), np.concatenate(self.counts)
-            self.keys, self.counts, self.size = [], [], 0
-            order = np.argsort(k, kind="stable")
-            k, c = k[order], c[order]
-            first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
-            k, c = k[first], np.add.reduceat(c, first)
+            k, c = self.merged()
             for i in range(0, len(k), 1 << 16):
                 yield pa.RecordBatch.from_arrays([pa.array(k[i : i + (1 << 16)].view(np.int64)), pa.array(c[i : i + (1 << 16)])], names=["h", "c"])
 
 
-def counted(docs: DataFrame, pairs: bool) -> DataFrame:
-    """h, c of every token, or of every pair of neighbours, of all rows. A map task has merged what it counted."""
+def counted(docs: DataFrame) -> DataFrame:
+    """h, c of every token of all rows. A map task has merged what it counted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = Counter()
         for batch in by_bytes(batches):
-            stream, sizes = token_stream(batch.column("text"))
-            counter.add(pair_hashes(stream, sizes)[1] if pairs else stream)
+            counter.add(token_stream(batch.column("text"))[0])
             if counter.size > HELD:
                 yield from counter.drain()
         yield from counter.drain()
@@ -184,34 +186,121 @@ def counted(docs: DataFrame, pairs: bool) -> DataFrame:
     return docs.select("text").transform(in_batches, run, "h long, c long").repartition("h").groupBy("h").agg(F.sum("c").alias("c"))
 
 
+def short(pairs: np.ndarray, known: int) -> bytes:
+    """Pairs without their lowest ``known`` bits, in as few bytes each as hold the rest."""
+    return (pairs >> np.uint64(known)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, : -(-(PAIR_BITS - known) // 8)].tobytes()
+
+
+def long(body: bytes, known: int, low: int) -> np.ndarray:
+    """The pairs of ``short``, whose lowest bits are ``low``."""
+    width = -(-(PAIR_BITS - known) // 8)
+    cells = np.zeros((len(body) // width, 8), dtype=np.uint8)
+    cells[:, :width] = np.frombuffer(body, dtype=np.uint8).reshape(-1, width)
+    return (cells.view("<u8").ravel().astype(np.uint64) << np.uint64(known)) | np.uint64(low)
+
+
 def pair_levels(docs: DataFrame, least: int) -> DataFrame:
-    """h, q of every pair of tokens seen ``least`` times or more."""
-    return counted(docs, pairs=True).filter(F.col("c") >= least).select("h", level_of(F.col("c"), least).alias("q"))
+    """The pairs of neighbouring tokens seen ``least`` times or more and their levels, packed: a row for each slice (the lowest bits of
+    a pair, as many as SEGMENTS has) and sub (the four bits above). Pairs meet in packed rows too, with a byte for a count under 255."""
+    low, known = SEGMENTS.bit_length() - 1, SEGMENTS.bit_length() + 3
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counter = Counter()
+
+        def drain() -> Iterator[pa.RecordBatch]:
+            if not counter.size:
+                return
+            k, c = counter.merged()
+            cell = ((k & np.uint64(SEGMENTS - 1)) << np.uint64(4) | k >> np.uint64(low) & np.uint64(15)).astype(np.uint16)
+            order = np.argsort(cell, kind="stable")
+            cell, k, c = cell[order], k[order], c[order]
+            starts = np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]]))
+            cuts = list(zip(starts.tolist(), [*starts[1:].tolist(), len(k)], strict=True))
+            few = np.minimum(c, 255).astype(np.uint8)
+            columns = [
+                pa.array(cell[starts] >> 4, pa.int32()),
+                pa.array(cell[starts] & 15, pa.int32()),
+                pa.array([short(k[a:b], known) for a, b in cuts], pa.binary()),
+                pa.array([few[a:b].tobytes() for a, b in cuts], pa.binary()),
+                pa.array([c[a:b][few[a:b] == 255].astype("<i8").tobytes() for a, b in cuts], pa.binary()),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, names=["slice", "sub", "pairs", "few", "many"])
+
+        for batch in by_bytes(batches):
+            counter.add(pair_hashes(*token_stream(batch.column("text")))[1])
+            if counter.size > HELD:
+                yield from drain()
+        yield from drain()
+
+    def level(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held = None, []
+
+        def done() -> pa.RecordBatch:
+            counts = []
+            for _, few, many in held:
+                c = np.frombuffer(few, dtype=np.uint8).astype(np.int64)
+                c[c == 255] = np.frombuffer(many, dtype="<i8")
+                counts.append(c)
+            k, c = summed(long(b"".join(x[0] for x in held), known, at[0] | at[1] << low), np.concatenate(counts))
+            k, c = k[c >= least], c[c >= least]
+            q = np.frexp((c + 1 - least).astype(float))[1].astype(np.uint8)  # 1 + floor(log2)
+            columns = [[at[0]], [at[1]], [short(k, known)], [q.tobytes()], [int(q.sum(dtype=np.int64))]]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.int64()), strict=True)], names=["slice", "sub", "pairs", "q", "entries"])
+
+        for batch in batches:
+            for row in zip(*(batch.column(c).to_pylist() for c in ("slice", "sub", "pairs", "few", "many")), strict=True):
+                if at != row[:2]:
+                    if held:
+                        yield done()
+                    at, held = row[:2], []
+                held.append(row[2:])
+        if held:
+            yield done()
+
+    sent = docs.select("text").transform(in_batches, count, "slice int, sub int, pairs binary, few binary, many binary")
+    return sent.repartition("slice").sortWithinPartitions("slice", "sub").transform(in_batches, level, "slice int, sub int, pairs binary, q binary, entries long")
 
 
 def bloom(levels: DataFrame, params: Params) -> tuple[DataFrame, int, int]:
-    """The filter (segment, body), its number of segments and the bytes of each."""
-    entries = levels.agg(F.coalesce(F.sum("q"), F.lit(0)).alias("n")).first()["n"]
+    """The filter (segment, body), its number of segments and the bytes of each. A segment may come in several rows, whose bits add up."""
+    entries = levels.agg(F.coalesce(F.sum("entries"), F.lit(0)).alias("n")).first()["n"]
     segments = SEGMENTS
     while segments * SEGMENT_ENTRIES < entries:
         segments *= 2
     width = -(-entries * params.bits // (8 * segments)) + 64 if entries else 0
+    low, known = SEGMENTS.bit_length() - 1, SEGMENTS.bit_length() + 3
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held = None, {}  # segments of the slice at hand
+
+        def done() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([x.tobytes() for x in held.values()], pa.binary())], names=["segment", "body"])
 
-    def fill(table: pa.Table) -> pa.Table:
-        pairs, q = table.column("h").to_numpy().view(np.uint64), table.column("q").to_numpy()
-        bits = np.zeros(width * 8, dtype=bool)
-        for j in range(1, int(q.max()) + 1):
-            bits[places(pairs[q >= j], j, width * 8).ravel()] = True
-        return pa.table({"segment": pa.array([int(pairs[0]) & (segments - 1)], pa.int32()), "body": pa.array([np.packbits(bits, bitorder="little").tobytes()], pa.binary())})
+        for batch in batches:
+            for part, sub, body, q in zip(*(batch.column(c).to_pylist() for c in ("slice", "sub", "pairs", "q")), strict=True):
+                if at != part:
+                    if held:
+                        yield done()
+                    at, held = part, {}
+                pairs, q = long(body, known, part | sub << low), np.frombuffer(q, dtype=np.uint8)
+                whose = (pairs & np.uint64(segments - 1)).astype(np.int64)
+                for segment in np.unique(whose).tolist():
+                    own = whose == segment
+                    mine, deep = pairs[own], q[own]
+                    bits = np.zeros(width * 8, dtype=bool)
+                    for j in range(1, int(deep.max()) + 1):
+                        bits[places(mine[deep >= j], j, width * 8).ravel()] = True
+                    bits = np.packbits(bits, bitorder="little")
+                    held[segment] = held[segment] | bits if segment in held else bits
+        if held:
+            yield done()
 
-    segment = F.col("h").bitwiseAND(F.lit(segments - 1))
-    rows = levels.select("h", F.col("q").cast("long").alias("q"), segment.alias("s")).groupBy("s").applyInArrow(fill, "segment int, body binary")
-    return stored(rows, "filter"), segments, width
+    return stored(levels.select("slice", "sub", "pairs", "q").transform(in_batches, fill, "segment int, body binary"), "filter"), segments, width
 
 
 def learn(docs: DataFrame, params: Params) -> tuple[Model, DataFrame, DataFrame]:
     """The model of all rows, the table of all token counts (h, c), and the filter (segment, body)."""
-    counts = stored(counted(docs, pairs=False), "token-counts")
+    counts = stored(counted(docs), "token-counts")
     rare = [1, 2, 3, 4, 6, 8, 12, 16, 24, *(2**k for k in range(5, 62))]
     ends = F.sum(F.when(F.col("h") == F.lit(int(END)), F.col("c")))
     sums = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("v"), F.coalesce(ends, F.lit(0)).alias("texts"), *(F.count_if(F.col("c") >= t).alias(f"t{t}") for t in rare)).first()
@@ -227,7 +316,7 @@ def learn(docs: DataFrame, params: Params) -> tuple[Model, DataFrame, DataFrame]
         model.filter = np.zeros((segments, width), dtype=np.uint8)
         for batch in rows.toArrow().to_batches():  # at most ``broadcast_bytes``
             for segment, body in zip(batch.column("segment").to_pylist(), batch.column("body"), strict=True):
-                model.filter[segment] = np.frombuffer(body.as_buffer(), dtype=np.uint8)
+                model.filter[segment] |= np.frombuffer(body.as_buffer(), dtype=np.uint8)
     return model, counts, rows
 
 
@@ -315,23 +404,11 @@ def gathered(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "held_out", "text").transform(in_batches, run, GATHERED)
 
 
-def short(pairs: np.ndarray, known: int) -> bytes:
-    """Pairs without their lowest ``known`` bits, in as few bytes each as hold the rest."""
-    return (pairs >> np.uint64(known)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, : -(-(PAIR_BITS - known) // 8)].tobytes()
-
-
-def long(body: bytes, known: int, low: int) -> np.ndarray:
-    """The pairs of ``short``, whose lowest bits are ``low``."""
-    width = -(-(PAIR_BITS - known) // 8)
-    cells = np.zeros((len(body) // width, 8), dtype=np.uint8)
-    cells[:, :width] = np.frombuffer(body, dtype=np.uint8).reshape(-1, width)
-    return (cells.view("<u8").ravel().astype(np.uint64) << np.uint64(known)) | np.uint64(low)
-
-
 def score_there(docs: DataFrame, model: Model, filter_rows: DataFrame) -> DataFrame:
     """The same rows, stored, where the filter is too large to broadcast: pairs travel to its segments, levels travel back."""
     shared, groups = docs.sparkSession.sparkContext.broadcast(model), min(GROUPS, model.segments)
     known = groups.bit_length() - 1  # bits that all pairs of a group share
+    each = -(-(PAIR_BITS - known) // 8)
 
     def split(m: Model, asked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """An order of the pairs by group, and where each group ends."""
@@ -352,25 +429,39 @@ def score_there(docs: DataFrame, model: Model, filter_rows: DataFrame) -> DataFr
 
     def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: Model = shared.value
-        part, bodies, place = None, np.zeros((0, 0), np.uint8), {}
+        part, bodies, place = None, [], {}
+        asked: list[tuple[int, bytes]] = []  # what was asked of this group in this batch of rows
+
+        def done() -> pa.RecordBatch:
+            pairs = long(b"".join(x for _, x in asked), known, part)
+            level = np.zeros(len(pairs), dtype=np.uint8)
+            if place:
+                rows = np.full(m.segments // groups, -1)
+                rows[[x // groups for x in place]] = list(place.values())
+                rows = rows[m.segment(pairs) // groups]
+                level[rows >= 0] = probe(np.stack(bodies), rows[rows >= 0], pairs[rows >= 0])
+            ends = np.cumsum([len(x) // each for _, x in asked]).tolist()
+            cut = [level[a:b].tobytes() for a, b in zip([0, *ends], ends, strict=False)]
+            return pa.RecordBatch.from_arrays([pa.array([x for x, _ in asked], pa.int64()), pa.array([part] * len(asked), pa.int32()), pa.array(cut, pa.binary())], names=["batch", "part", "body"])
+
         for batch in batches:
-            out = []
             for at, g, segment, body in zip(*(batch.column(c).to_pylist() for c in ("batch", "part", "segment", "body")), strict=True):
                 if g != part:
-                    part, bodies, place = g, np.zeros((0, 0), np.uint8), {}
-                if segment is not None:  # the group's segments come first
-                    row = np.frombuffer(body, dtype=np.uint8)[None, :]
-                    place[segment], bodies = len(place), np.concatenate([bodies.reshape(-1, row.shape[1]), row])
+                    if asked:
+                        yield done()
+                    part, bodies, place, asked = g, [], {}, []
+                if segment is None:
+                    asked.append((at, body))
                     continue
-                pairs = long(body, known, g)
-                rows = np.array([place.get(x, -1) for x in m.segment(pairs).tolist()])
-                level = np.zeros(len(pairs), dtype=np.uint8)
-                if place:
-                    level[rows >= 0] = probe(bodies, rows[rows >= 0], pairs[rows >= 0])
-                out.append((at, g, level.tobytes()))
-            if out:
-                columns = zip(*out, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.int32(), pa.binary()), strict=True)], names=["batch", "part", "body"])
+                row = np.frombuffer(body, dtype=np.uint8)  # the group's segments come first
+                if segment in place:
+                    bodies[place[segment]] = bodies[place[segment]] | row
+                else:
+                    place[segment] = len(bodies)
+                    bodies.append(row)
+            if asked:
+                yield done()
+                asked = []
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: Model = shared.value
