@@ -230,3 +230,27 @@ def test_pairs_travel_short(spark, small, monkeypatch):
     monkeypatch.setattr(lm, "stored", kept)
     assert lm.score(small, F.lit(False), lm.Params.whole(broadcast_bytes=0)).count() == small.count()
     assert "batches" in made and "asked" not in made
+
+
+def test_a_part_of_the_filter_is_broadcast(spark, small, monkeypatch):
+    """As many segments as fit are probed where the texts are: fewer pairs travel, texts do not, and scores are the same."""
+    assert [lm.bucket_numbers(np.array([x]), 7)[0] for x in (0, 5, -3, 3 << 40)] == [spark.sql(f"SELECT pmod(hash({x}L), 7)").first()[0] for x in (0, 5, -3, 3 << 40)]
+    plain_row = lambda r: str([round(x, 8) if isinstance(x, float) else x for x in r])
+    model, _, rows = lm.learn(small, lm.Params.whole())
+    half, size, stored = 100 * model.filter.shape[1], {}, lm.stored
+
+    def kept(df, name):
+        if name == "scored":
+            size[most] = size.get(most, 0), df._jdf.queryExecution().executedPlan().toString()
+        out = stored(df, name)
+        if name == "levels":
+            size[most] = out.agg(F.sum(F.length("body"))).first()[0]
+        return out
+
+    monkeypatch.setattr(lm, "stored", kept)
+    got = {}
+    for most in (1 << 30, half, 0):
+        got[most] = sorted(map(plain_row, lm.score(small, bucket_of("doc_id", 7) == 2, lm.Params.whole(broadcast_bytes=most)).collect()))
+    assert got[1 << 30] == got[half] == got[0]
+    assert 0 < size[half][0] < 0.8 * size[0][0]
+    assert size[half][1].count("Exchange") == 1  # that of the levels

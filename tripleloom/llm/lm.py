@@ -6,9 +6,9 @@ count is joined by shuffle, where such tokens are rare by definition. A pair see
 the level q = 1 + floor(log2(c)), and the filter holds (pair, 1), ..., (pair, q) at ``bits`` each. That is ``least`` = 1, which
 ``Params.whole()`` and op3_lm take; with ``least`` = 2 pairs seen once are left out and q = 1 + floor(log2(c - 1)). The filter grows
 with its entries and is cut by pair hash into segments of bounded size. While all of it is at most ``broadcast_bytes``, it
-is broadcast and probed where the texts are. Beyond, nothing unbounded is broadcast or held: each batch of texts sends
-its distinct pairs to the segments, which answer with levels (one exchange there, one back), so the work stays in proportion
-to the text. The batches are written as compressed texts; a pair travels in 5 bytes and its level in one, and token streams are made anew
+is broadcast and probed where the texts are. Beyond, as many segments as fit are, and nothing unbounded is broadcast or held: each batch of texts sends
+its distinct pairs of the other segments to these, which answer with levels (one exchange there, one back), so the work stays in proportion
+to the text. The batches are written as compressed texts, in buckets by task, so that levels come to them and texts are not exchanged; a pair travels in 5 bytes and its level in one, and token streams are made anew
 where they are needed. Pairs are counted packed too, in slices by their lowest bits, from which the filter is filled without another exchange. Both ways probe the same bits and give the same scores.
 
 Scoring probes (pair, 1), (pair, 2), ... until a miss, and interpolates
@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import GOLD, by_bytes, discard, in_batches, mix, stored, word_hashes
+from .common import GOLD, bucket_numbers, by_bytes, discard, in_batches, mix, stored, word_hashes
 
 END, BEGIN = np.uint64(0x5EED_0000_0000_0001), np.uint64(0x5EED_0000_0000_0002)
 #: Segments of the filter, at least; a power of two.
@@ -73,7 +73,7 @@ class Model:
     counts: np.ndarray
     segments: int
     weight: float
-    filter: np.ndarray | None = None  # segments x bytes, where it is broadcast
+    filter: np.ndarray | None = None  # segments x bytes, those that are broadcast: the first
     least: int = 2
 
     def count(self, hashes: np.ndarray) -> np.ndarray:
@@ -86,6 +86,13 @@ class Model:
     def segment(self, pairs: np.ndarray) -> np.ndarray:
         return (pairs & np.uint64(self.segments - 1)).astype(np.int64)
 
+    def whole(self) -> bool:
+        return len(self.filter) == self.segments
+
+    def held(self, pairs: np.ndarray) -> np.ndarray:
+        """Whether a pair's segment is broadcast."""
+        return self.segment(pairs) < len(self.filter)
+
     def level(self, pairs: np.ndarray) -> np.ndarray:
         """Levels by repeated membership probes; 0 for a pair that the filter does not hold."""
         return probe(self.filter, self.segment(pairs), pairs)
@@ -312,11 +319,11 @@ def learn(docs: DataFrame, params: Params) -> tuple[Model, DataFrame, DataFrame]
     rows, segments, width = bloom(levels, params)
     discard(levels)
     model = Model(sums["n"], sums["v"], sums["texts"], hashes[order], c[order], segments, params.weight, least=params.least)
-    if segments * width <= params.broadcast_bytes:
-        model.filter = np.zeros((segments, width), dtype=np.uint8)
-        for batch in rows.toArrow().to_batches():  # at most ``broadcast_bytes``
-            for segment, body in zip(batch.column("segment").to_pylist(), batch.column("body"), strict=True):
-                model.filter[segment] |= np.frombuffer(body.as_buffer(), dtype=np.uint8)
+    here = segments if segments * width <= params.broadcast_bytes else params.broadcast_bytes // width
+    model.filter = np.zeros((here, width), dtype=np.uint8)
+    for batch in rows.filter(F.col("segment") < here).toArrow().to_batches():  # at most ``broadcast_bytes``
+        for segment, body in zip(batch.column("segment").to_pylist(), batch.column("body"), strict=True):
+            model.filter[segment] |= np.frombuffer(body.as_buffer(), dtype=np.uint8)
     return model, counts, rows
 
 
@@ -387,21 +394,31 @@ def score_here(docs: DataFrame, model: Model) -> DataFrame:
     return docs.select("doc_id", "held_out", "text").transform(in_batches, run, SCORED)
 
 
+#: Buckets of batches, at most.
+MOST_BUCKETS = 4096
 GATHERED = "batch long, texts array<string>, ids array<long>, held array<boolean>"
 SENT = "batch long, part int, segment int, body binary"
 
 
 def gathered(docs: DataFrame) -> DataFrame:
-    """A row for each batch of texts, so that every later pass sees the same batches."""
+    """A row for each batch of texts, so that every later pass sees the same batches. A task takes numbers of one bucket."""
+    docs = docs.select("doc_id", "held_out", "text")
+    n = max(1, min(MOST_BUCKETS, docs.rdd.getNumPartitions()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at = TaskContext.get().partitionId() << 40
+        task = TaskContext.get().partitionId()
+        at = task << 40
         for batch in by_bytes(batches):
+            while not len(own := np.flatnonzero(bucket_numbers(np.arange(at, at + 8 * n), n) == task % n)):
+                at += 8 * n
+            at += int(own[0])
             whole = [pa.ListArray.from_arrays(pa.array([0, batch.num_rows], pa.int32()), batch.column(c)) for c in ("text", "doc_id", "held_out")]
             yield pa.RecordBatch.from_arrays([pa.array([at]), *whole], names=["batch", "texts", "ids", "held"])
             at += batch.num_rows
 
-    return docs.select("doc_id", "held_out", "text").transform(in_batches, run, GATHERED)
+    out = docs.transform(in_batches, run, GATHERED)
+    out.scratch_buckets = ("batch", n)
+    return out
 
 
 def score_there(docs: DataFrame, model: Model, filter_rows: DataFrame) -> DataFrame:
@@ -420,6 +437,7 @@ def score_there(docs: DataFrame, model: Model, filter_rows: DataFrame) -> DataFr
         for batch in batches:
             for k, at in enumerate(batch.column("batch").to_pylist()):
                 asked = np.unique(pair_hashes(*token_stream(batch.column("texts").slice(k, 1).flatten()))[1])
+                asked = asked[~m.held(asked)]
                 order, ends = split(m, asked)
                 asked, starts = asked[order], np.concatenate([[0], ends[:-1]])
                 full = np.flatnonzero(ends > starts)
@@ -465,31 +483,28 @@ def score_there(docs: DataFrame, model: Model, filter_rows: DataFrame) -> DataFr
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m: Model = shared.value
-        held: list[tuple] = []
-
-        def done() -> pa.RecordBatch:
-            at, _, _, texts, ids, out = held[0]
-            stream, sizes = token_stream(pa.array(texts, pa.string()))
-            asked = np.unique(pair_hashes(stream, sizes)[1])
-            levels = np.zeros(len(asked), dtype=np.int64)
-            levels[split(m, asked)[0]] = np.frombuffer(b"".join(x[2] for x in held[1:]), dtype=np.uint8)
-            return scored(m, np.arange(at, at + len(sizes)), pa.array(ids, pa.int64()), pa.array(out, pa.bool_()), stream, sizes, asked, levels)
-
         for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in ("batch", "part", "body", "texts", "ids", "held")), strict=True):
-                if held and held[0][0] != row[0]:
-                    yield done()
-                    held = []
-                held.append(row)
-        if held:
-            yield done()
-
-    texts = stored(gathered(docs), "batches")
-    bodies = filter_rows.select(F.lit(-1).cast("long").alias("batch"), F.col("segment").bitwiseAND(F.lit(groups - 1)).alias("part"), "segment", "body")
+            for k, at in enumerate(batch.column("batch").to_pylist()):
+                texts, ids, out, answers = (batch.column(c).slice(k, 1).flatten() for c in ("texts", "ids", "held", "answers"))
+                stream, sizes = token_stream(texts)
+                asked = np.unique(pair_hashes(stream, sizes)[1])
+                levels, here = np.zeros(len(asked), dtype=np.int64), m.held(asked)
+                levels[here] = m.level(asked[here])
+                there = np.flatnonzero(~here)
+                bodies = sorted(zip(answers.field("part").to_pylist(), answers.field("body").to_pylist(), strict=True))
+                levels[there[split(m, asked[there])[0]]] = np.frombuffer(b"".join(x for _, x in bodies), dtype=np.uint8)
+                yield scored(m, np.arange(at, at + len(sizes)), ids, out, stream, sizes, asked, levels)
+
+    batches = gathered(docs)
+    buckets = batches.scratch_buckets[1]
+    texts = stored(batches, "batches")
+    bodies = filter_rows.filter(F.col("segment") >= len(model.filter)).select(F.lit(-1).cast("long").alias("batch"), F.col("segment").bitwiseAND(F.lit(groups - 1)).alias("part"), "segment", "body")
     met = bodies.unionByName(texts.select("batch", "texts").transform(in_batches, send, SENT))
     levels = stored(met.repartition("part").sortWithinPartitions("part", "batch", "segment").transform(in_batches, answer, "batch long, part int, body binary"), "levels")
-    whole = texts.withColumn("part", F.lit(-1)).unionByName(levels, allowMissingColumns=True).select("batch", "part", "body", "texts", "ids", "held")
-    out = stored(whole.repartition("batch").sortWithinPartitions("batch", "part").transform(in_batches, finish, SCORED), "scored")
+    discard(filter_rows)
+    answers = levels.repartition(buckets, "batch").groupBy("batch").agg(F.collect_list(F.struct("part", "body")).alias("answers"))
+    whole = texts.join(answers.hint("shuffle_hash"), "batch", "left").select("batch", "texts", "ids", "held", F.coalesce("answers", F.array().cast("array<struct<part:int,body:binary>>")).alias("answers"))
+    out = stored(whole.transform(in_batches, finish, SCORED), "scored")
     discard(texts, levels)
     return out
 
@@ -537,8 +552,11 @@ def score(docs: DataFrame, held_out: Column, params: Params | None = None) -> Da
     params = params or Params()
     read = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), held_out.alias("held_out"))
     model, counts, filter_rows = learn(read.filter(~F.col("held_out")), params)
-    rows = stored(score_here(read, model), "scored") if model.filter is not None else score_there(read, model, filter_rows)
-    discard(filter_rows)
+    if model.whole():
+        discard(filter_rows)
+        rows = stored(score_here(read, model), "scored")
+    else:
+        rows = score_there(read, model, filter_rows)
     asked = rows.select("uid", F.explode(F.arrays_zip("rare", "times")).alias("r")).select("uid", F.col("r.rare").alias("h"), F.col("r.times").alias("times"))
     total = float(model.tokens + model.types + 1)
     found = asked.join(counts, "h", "left").select("uid", "h", "times", F.coalesce("c", F.lit(0)).cast("long").alias("c"))
