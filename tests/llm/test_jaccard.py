@@ -188,3 +188,21 @@ def test_counters_of_a_task_are_few_rows(spark):
         want = np.minimum(np.bincount((flat & np.uint64(width - 1)).astype(np.int64), minlength=width), 255)
         assert (jaccard.shingle_counters(docs, 1, width) == want).all() and want.max() == 255
         assert jaccard.task_counters(docs, 1, width).count() <= tasks * jaccard.CHUNKS
+
+
+def test_few_counters_leave_chance_ties_apart(spark, monkeypatch):
+    """Texts that share a passage with the next one, far under the bound, are parted also where the counters tell no shingle from another; near copies are not."""
+    monkeypatch.setattr(jaccard, "ORDER_BYTES", 64)
+    rng = random.Random(7)
+    texts = [[f"w{rng.randrange(10**9)}" for _ in range(300)] for _ in range(40)]
+    for a, b in zip(texts, texts[1:], strict=False):
+        b[:15] = a[-15:]
+    texts.append([*texts[20][:150], "new", *texts[20][150:]])
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string").repartition(3)
+    members = spark.createDataFrame([(i, 1, len(t) - 4) for i, t in enumerate(texts)], "doc_id long, comp long, n long")
+    groups = {}
+    for r in jaccard.parted(docs, members, 5, 80, 1).collect():
+        groups.setdefault(r["comp"], set()).add(r["doc_id"])
+    assert [g for g in groups.values() if len(g) > 1] == [{20, 40}]
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.join(docs, 5, 80, tile_docs=1).collect()}
+    assert got == {i: 20 if i == 40 else i for i in range(41)}

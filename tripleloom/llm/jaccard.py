@@ -14,7 +14,9 @@ Two documents link when 100 * |x ∩ y| >= percent * |x ∪ y|. Steps, all of th
    chain into large components; a component of more than one block (below) is parted again, by prefixes: with shingles in one order,
    seldom ones first, linked sets share one of the first |x| - ceil(percent * |x| / 100) + 1 of each. Documents that share
    such a shingle stay together, and one that shares none leaves. Any order is exact; the counts behind it are hashed into
-   a table of at most ``ORDER_BYTES``, which a map task passes on in at most ``CHUNKS`` rows.
+   a table of at most ``ORDER_BYTES``, which a map task passes on in at most ``CHUNKS`` rows. Where that table is too small to tell
+   seldom shingles, prefixes are longer by |x| // ``LONGER``, so that linked sets share 1 + min(|x|, |y|) // ``LONGER`` of them; each document
+   may then leave the documents that it met under the fewest shingles, as long as linked ones are left with one (``firm_edges``).
 3. Tiles: each component of that graph is one tile, or, when it has more than about ``tile_docs`` small sets (or fewer large
    ones: a set of n shingles counts n / 512), is cut into blocks of neighbouring sizes. First each block is a tile, with one pivot document in all blocks of a component; a group of near
    copies comes together there. What stays outside a component's largest joined part then meets the component's other
@@ -36,6 +38,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -48,7 +51,9 @@ LEAST_COST = 512
 #: Edges that one task turns into stars.
 TASK_EDGES = 250_000
 #: Counters (a byte each) that order the shingles of large components, at most; a power of two.
-ORDER_BYTES = 1 << 24
+ORDER_BYTES = 1 << 26
+#: The part of its shingles by which a set's prefix is longer where these counters are too few.
+LONGER = 8
 
 
 def shingle_sets(texts: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -198,14 +203,14 @@ def star_rows(pairs: list[np.ndarray]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(low[apart]), pa.array(nodes[apart])], names=["a", "b"])
 
 
-def prefix_keys(flat: np.ndarray, sizes: np.ndarray, percent: int, counters: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def prefix_keys(flat: np.ndarray, sizes: np.ndarray, percent: int, counters: np.ndarray, more: np.ndarray | int = 0) -> tuple[np.ndarray, np.ndarray]:
     """The shingles of each set's prefix that some other row may hold, and the position of their set. ``counters``: rows by
-    shingle hash, at most 255; a counter of 1 means that no other row holds the shingle."""
+    shingle hash, at most 255; a counter of 1 means that no other row holds the shingle. ``more``: by how many shingles each prefix is longer."""
     owner = np.repeat(np.arange(len(sizes)), sizes)
     held = counters[(flat & np.uint64(len(counters) - 1)).astype(np.int64)]
     order = np.lexsort((mix(flat + GOLD), held, owner))
     place = np.arange(len(flat)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    first = place < (sizes + 1 + -sizes * percent // 100)[owner]
+    first = place < (sizes + 1 + -sizes * percent // 100 + more)[owner]
     picked = order[first & (held[order] > 1)]
     return flat[picked], owner[picked]
 
@@ -258,23 +263,87 @@ def shingle_counters(docs: DataFrame, n: int, width: int) -> np.ndarray:
 
 
 def parted(docs: DataFrame, members: DataFrame, n: int, percent: int, tile_docs: int) -> DataFrame:
-    """members (doc_id, comp, n) with components of more than one block parted by prefixes; what shares no prefix goes."""
-    cost = members.groupBy("comp").agg((F.sum(F.greatest(F.col("n"), F.lit(LEAST_COST))) / (tile_docs * LEAST_COST)).alias("cost"))
-    large = stored(members.join(cost.filter("cost > 1").select("comp"), "comp", "left_semi").select("doc_id", "comp", "n"), "large")
-    shingles = large.agg(F.sum("n").alias("n")).first()["n"]
-    if shingles is None:
-        return members
-    _, few = split_by_ids(docs.select("doc_id", "text"), large)
-    texts = stored(few.join(large.select("doc_id").distinct(), "doc_id", "left_semi"), "large-texts")
-    width = min(ORDER_BYTES, 1 << max(16, int(4 * shingles).bit_length()))
-    shared = docs.sparkSession.sparkContext.broadcast(shingle_counters(texts, n, width))
-    edges = tied_edges(texts, lambda column: prefix_keys(*shingle_sets(column, n), percent, shared.value))
-    near = components(edges).select(F.col("node").alias("doc_id"), F.col("comp").alias("near"))
-    fine = stored(large.join(near, "doc_id").select("doc_id", F.xxhash64("comp", "near").alias("comp"), "n"), "parted")
-    whole = members.join(large.select("comp").distinct(), "comp", "left_anti").select("doc_id", "comp", "n")
-    out = stored(whole.unionByName(fine), "members")
-    discard(large, texts, fine)
-    return out
+    """members (doc_id, comp, n) with components of more than one block parted by prefixes; what shares no prefix goes. Where
+    the counters are too few for them, they are parted by longer prefixes first, as long as that takes a tenth of their shingles."""
+    before = None
+    while True:
+        cost = members.groupBy("comp").agg((F.sum(F.greatest(F.col("n"), F.lit(LEAST_COST))) / (tile_docs * LEAST_COST)).alias("cost"))
+        large = stored(members.join(cost.filter("cost > 1").select("comp"), "comp", "left_semi").select("doc_id", "comp", "n"), "large")
+        shingles = large.agg(F.sum("n").alias("n")).first()["n"]
+        crowded = shingles is not None and 4 * shingles > ORDER_BYTES
+        if shingles is None or (crowded and before is not None and 10 * shingles > 9 * before):
+            discard(large)
+            return members
+        _, few = split_by_ids(docs.select("doc_id", "text"), large)
+        texts = stored(few.join(large.select("doc_id", "comp").distinct(), "doc_id"), "large-texts")
+        width = min(ORDER_BYTES, 1 << max(16, int(4 * shingles).bit_length()))
+        shared = docs.sparkSession.sparkContext.broadcast(shingle_counters(texts.select("doc_id", "text"), n, width))
+        if crowded:
+            edges = firm_edges(texts, n, percent, shared)
+        else:
+            edges = tied_edges(texts.select("doc_id", "text"), lambda column: prefix_keys(*shingle_sets(column, n), percent, shared.value))  # noqa: B023
+        near = components(edges).select(F.col("node").alias("doc_id"), F.col("comp").alias("near"))
+        fine = stored(large.join(near, "doc_id").select("doc_id", F.xxhash64("comp", "near").alias("comp"), "n"), "parted")
+        whole = members.join(large.select("comp").distinct(), "comp", "left_anti").select("doc_id", "comp", "n")
+        out = stored(whole.unionByName(fine), "members")
+        discard(large, texts, fine)
+        shared.unpersist()
+        if not crowded:
+            return out
+        before, members = shingles, out
+
+
+def firm_edges(texts: DataFrame, n: int, percent: int, shared: Broadcast) -> DataFrame:
+    """Edges (a, b) whose components hold every link within a ``comp`` of texts (doc_id, text, comp).
+
+    The documents of a key (a shingle of a longer prefix, and the component) meet the smallest of them, the lead. Linked documents share more than
+    twice as many keys as either may leave (``room``, of its size cut to the least that can link), so one key joins both to its lead: a document leaves
+    the leads that it met under the fewest keys while these keys, together, are within its room.
+    """
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in by_bytes(batches):
+            flat, sizes = shingle_sets(batch.column("text"), n)
+            key, owner = prefix_keys(flat, sizes, percent, shared.value, sizes // LONGER)
+            ids, comps = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "comp"))
+            key = mix(key ^ mix(comps.view(np.uint64) * GOLD + np.uint64(5))[owner]).view(np.int64)
+            columns = key, ids[owner], (percent * sizes // 100 // LONGER // 2).astype(np.int32)[owner]
+            for i in range(0, len(key), 1 << 16):
+                yield pa.RecordBatch.from_arrays([pa.array(c[i : i + (1 << 16)]) for c in columns], names=["key", "doc", "room"])
+
+    def counted(held: list[np.ndarray]) -> pa.RecordBatch:
+        lead, doc, room = np.concatenate(held, axis=1)
+        order = np.lexsort((lead, doc))
+        lead, doc, room = lead[order], doc[order], room[order]
+        first = np.flatnonzero(np.concatenate([[True], (lead[1:] != lead[:-1]) | (doc[1:] != doc[:-1])]))
+        columns = lead[first], doc[first], np.diff(np.append(first, len(lead))), np.minimum.reduceat(room, first)
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["a", "b", "times", "room"])
+
+    def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, held, size = None, [], 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            key, doc = batch.column("key").to_numpy(), batch.column("doc").to_numpy()
+            new = np.concatenate([[last is None or key[0] != last[0]], key[1:] != key[:-1]])
+            first = np.maximum.accumulate(np.where(new, np.arange(len(key)), -1))
+            lead = np.where(first < 0, doc[0] if last is None else last[1], doc[np.maximum(first, 0)])
+            last = key[-1], lead[-1]
+            apart = lead != doc
+            if apart.any():
+                held.append(np.stack([lead[apart], doc[apart], batch.column("room").to_numpy()[apart].astype(np.int64)]))
+                size += held[-1].shape[1]
+            if size > 4 * TASK_EDGES:
+                yield counted(held)
+                held, size = [], 0
+        if size:
+            yield counted(held)
+
+    rows = texts.transform(in_batches, keyed, "key long, doc long, room int")
+    pairs = rows.repartition("key").sortWithinPartitions("key", "doc").transform(in_batches, met, "a long, b long, times long, room long")
+    each = pairs.groupBy("a", "b").agg(F.sum("times").alias("times"), F.min("room").alias("room"))
+    whole = Window.partitionBy("b")
+    return each.withColumns({"gone": F.sum("times").over(whole.orderBy("times", "a")), "room": F.min("room").over(whole)}).filter("gone > room").select("a", "b")
 
 
 def candidate_edges(docs: DataFrame, n: int, percent: int, common: np.ndarray) -> DataFrame:
@@ -523,22 +592,21 @@ def without(rows: DataFrame, ids: DataFrame) -> DataFrame:
 def links(docs: DataFrame, tiles: DataFrame, n: int, percent: int) -> DataFrame:
     """Verified links (a, b) of all tiles."""
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def sized(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in by_bytes(batches):
-            flat, sizes = shingle_sets(batch.column("text"), n)
-            offsets = pa.py_buffer(np.concatenate([[0], np.cumsum(sizes * 8)]).astype(np.int32))
-            body = pa.Array.from_buffers(pa.binary(), len(sizes), [None, offsets, pa.py_buffer(flat.astype("<u8"))])
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes.astype(np.int64)), body], names=["doc_id", "n", "body"])
+            sizes = shingle_sets(batch.column("text"), n)[1]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes.astype(np.int64)), batch.column("text")], names=["doc_id", "n", "text"])
 
     def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
 
         def done() -> pa.RecordBatch:
-            found = tile_links([r[2] for r in held], np.array([r[1] for r in held]), [np.frombuffer(r[3], dtype="<u8") for r in held], percent) if len(held) > 1 else []
+            found = tile_links([r[2] for r in held], np.array([r[1] for r in held]), [r[3] for r in held], percent) if len(held) > 1 else []
             return pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], names=["a", "b"])
 
-        for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in ("tile", "side", "doc_id", "body")), strict=True):
+        for batch in by_bytes(batches):
+            flat, sizes = shingle_sets(batch.column("text"), n)
+            for row in zip(*(batch.column(c).to_pylist() for c in ("tile", "side", "doc_id")), np.split(flat, np.cumsum(sizes)[:-1]), strict=True):
                 if held and held[0][0] != row[0]:
                     yield done()
                     held = []
@@ -547,8 +615,8 @@ def links(docs: DataFrame, tiles: DataFrame, n: int, percent: int) -> DataFrame:
             yield done()
 
     _, few = split_by_ids(docs.select("doc_id", "text"), tiles)  # most texts stay where they are
-    asked = few.transform(in_batches, sets, "doc_id long, n long, body binary").join(tiles, ["doc_id", "n"])
-    return asked.select("tile", "side", "doc_id", "body").repartition("tile").sortWithinPartitions("tile").transform(in_batches, solve, "a long, b long")
+    asked = few.transform(in_batches, sized, "doc_id long, n long, text string").join(tiles, ["doc_id", "n"])  # a text is shorter than its set
+    return asked.select("tile", "side", "doc_id", "text").repartition("tile").sortWithinPartitions("tile").transform(in_batches, solve, "a long, b long")
 
 
 def join(docs: DataFrame, n: int = 3, percent: int = 90, tile_docs: int = 256) -> DataFrame:
